@@ -92,15 +92,24 @@ def ratio(numerator: Column, denominator: Column) -> Column:
     return numerator / F.when(denominator != 0, denominator)
 
 
+def rounded(c: Column, places: int) -> Column:
+    """Round an aggregate half up, blind to the last bits of the double.
+
+    The order in which a cluster adds doubles changes those bits, and they must not decide
+    which way a tie such as 97.25 goes.
+    """
+    return F.round(F.round(c, 9), places)
+
+
 # --- dates and times ---------------------------------------------------------
 def to_moment(c: Column) -> Column:
     """Text to a zone-free timestamp; NULL where no accepted format fits.
 
     Accepted: yyyy-MM-dd, the same with a time after a blank or T, MM/dd/yyyy, yyyy/MM/dd.
     """
-    text = F.trim(c.cast("string"))
-    text = F.regexp_replace(text, r"^(\d{1,2})/(\d{1,2})/(\d{4})$", "$3-$1-$2")
-    text = F.regexp_replace(text, r"^(\d{4})/(\d{1,2})/(\d{1,2})$", "$1-$2-$3")
+    given = F.trim(c.cast("string"))
+    us = F.regexp_replace(given, r"^(\d{1,2})/(\d{1,2})/(\d{4})$", "$3-$1-$2")
+    text = F.when(given.contains("/"), F.replace(us, F.lit("/"), F.lit("-"))).otherwise(given)
     return F.when(text.rlike(ISO_MOMENT), text.try_cast("timestamp_ntz"))
 
 

@@ -34,7 +34,7 @@ def market_signals(
 def change_by_industry(signals: DataFrame) -> DataFrame:
     """Mean change per known industry, highest first."""
     return signals.filter(F.col("industry").isNotNull()).groupBy("industry").agg(
-        F.round(F.avg("change_pct"), 2).alias("avg_change")
+        C.rounded(F.avg("change_pct"), 2).alias("avg_change")
     ).orderBy(F.desc("avg_change"), "industry")
 
 

@@ -12,13 +12,18 @@ def percentile_brackets(value: Column, p: float, accuracy: int) -> tuple[Column,
     """Aggregates for `exact_percentile`: row count and two values around the percentile.
 
     The sketch is off by at most 1/accuracy of the rows, so three times that on either
-    side encloses both ranks the percentile is interpolated between.
+    side encloses both ranks the percentile is interpolated between. Where that is less
+    than three ranks, the group is small enough to be enclosed as a whole.
     """
     margin = 3.0 / accuracy
+    n = F.count(value)
     bounds = F.percentile_approx(
         value, F.array(F.lit(max(0.0, p - margin)), F.lit(min(1.0, p + margin))), F.lit(accuracy)
     )
-    return F.count(value), bounds[0], bounds[1]
+    small = n * F.lit(margin) < 3
+    low = F.when(small, F.min(value)).otherwise(bounds[0])
+    high = F.when(small, F.max(value)).otherwise(bounds[1])
+    return n, low, high
 
 
 def exact_percentile(

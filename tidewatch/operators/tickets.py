@@ -49,7 +49,7 @@ def ticket_summary(tickets: DataFrame, start, end, department: str | None = None
         F.count_if(status == "resolved").alias("resolved"),
         F.count_if(status == "closed").alias("closed"),
         F.count_if(F.col("sla_breached")).alias("sla_breach_count"),
-        _zero(F.round(F.avg("actual_resolution_hours"), 2)).alias("avg_resolution_hours"),
+        _zero(C.rounded(F.avg("actual_resolution_hours"), 2)).alias("avg_resolution_hours"),
         F.count_if((F.col("priority") == "critical") & is_open()).alias("critical_open"),
         F.count_if(F.col("escalated")).alias("escalated_count"),
     )
@@ -68,7 +68,7 @@ def ticket_trends(tickets: DataFrame, start, end) -> DataFrame:
     daily = within(tickets, DAY, start, end).groupBy(F.col(DAY).alias("date")).agg(
         F.count("*").alias("created_count"),
         F.count_if(F.col("status").isin("resolved", "closed")).alias("resolved_count"),
-        F.round(F.avg("sentiment_score"), 2).alias("avg_sentiment"),
+        C.rounded(F.avg("sentiment_score"), 2).alias("avg_sentiment"),
     )
     running = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     net = F.col("created_count") - F.col("resolved_count")
@@ -81,7 +81,7 @@ def tickets_by_category(tickets: DataFrame, start, end) -> DataFrame:
     """Share, resolution time and breach rate per category, largest first."""
     per = within(tickets, DAY, start, end).groupBy("category").agg(
         F.count("*").alias("count"),
-        _zero(F.round(F.avg("actual_resolution_hours"), 2)).alias("avg_resolution_hours"),
+        _zero(C.rounded(F.avg("actual_resolution_hours"), 2)).alias("avg_resolution_hours"),
         _zero(_pct_or_null(F.count_if("sla_breached"), F.count("*"))).alias("breach_rate_pct"),
     )
     total = F.sum("count").over(Window.partitionBy())
@@ -113,8 +113,8 @@ def sla_report(tickets: DataFrame, start, end, accuracy: int = 20_000) -> DataFr
     return per.join(F.broadcast(p95), by, "left").orderBy(rank).select(
         *by, "total", "breached",
         _rate(F.col("breached"), F.col("total")).alias("breach_rate_pct"),
-        _zero(F.round("_avg", 2)).alias("avg_resolution_hours"),
-        _zero(F.round("_p95", 2)).alias("p95_resolution_hours"),
+        _zero(C.rounded(F.col("_avg"), 2)).alias("avg_resolution_hours"),
+        _zero(C.rounded(F.col("_p95"), 2)).alias("p95_resolution_hours"),
     )
 
 
@@ -130,8 +130,8 @@ def tickets_overview_records(tickets: DataFrame, start, end) -> DataFrame:
         F.count_if(is_open()).alias("open_tickets"),
         F.count_if(F.col("priority") == "critical").alias("critical_tickets"),
         _pct_or_null(F.count_if("sla_breached"), F.count("*")).alias("sla_breach_pct"),
-        F.round(F.avg("resolution_minutes") / 60.0, 1).alias("avg_resolution_hours"),
-        F.round(F.avg(response), 0).alias("avg_first_response_min"),
+        C.rounded(F.avg("resolution_minutes") / 60.0, 1).alias("avg_resolution_hours"),
+        C.rounded(F.avg(response), 0).alias("avg_first_response_min"),
     )
 
 
@@ -142,7 +142,7 @@ def daily_ticket_measures(tickets: DataFrame) -> DataFrame:
         F.count_if(F.col("priority") == "critical").alias("critical_count"),
         F.count_if(F.col("priority") == "high").alias("high_count"),
         F.count_if("sla_breached").alias("sla_breaches"),
-        F.round(F.avg("resolution_minutes"), 0).alias("avg_resolution_min"),
+        C.rounded(F.avg("resolution_minutes"), 0).alias("avg_resolution_min"),
     )
 
 
@@ -154,5 +154,5 @@ def tickets_by_category_records(tickets: DataFrame, start, end) -> DataFrame:
     return within(tickets, DAY, start, end).groupBy("category").agg(
         F.count("*").alias("ticket_count"),
         _pct_or_null(F.count_if("sla_breached"), F.count("*")).alias("sla_breach_pct"),
-        F.round(F.avg("resolution_minutes") / 60.0, 1).alias("avg_resolution_hours"),
+        C.rounded(F.avg("resolution_minutes") / 60.0, 1).alias("avg_resolution_hours"),
     ).orderBy(F.desc("ticket_count"), "category")

@@ -25,7 +25,7 @@ def _zero(c: Column) -> Column:
 
 
 def _sum2(name: str) -> Column:
-    return _zero(F.round(F.sum(name), 2))
+    return _zero(C.rounded(F.sum(name), 2))
 
 
 def _absences(name: str = "absent") -> Column:
@@ -39,7 +39,7 @@ def _nonzero(capacity: Column) -> Column:
 
 
 def utilization_avg() -> Column:
-    return _zero(F.round(F.avg("utilization_rate") * 100, 1))
+    return _zero(C.rounded(F.avg("utilization_rate") * 100, 1))
 
 
 def classify_status(pct: Column) -> Column:
@@ -72,8 +72,8 @@ def workforce_summary(hours: DataFrame, start, end, department: str | None = Non
         utilization_avg().alias("avg_utilization_pct"),
         _sum2("overtime_hours").alias("total_overtime_hours"),
         _absences().alias("total_absences"),
-        _zero(F.round(F.avg("demand_units"), 2)).alias("avg_demand"),
-        _zero(F.round(F.avg("capacity_units"), 2)).alias("avg_capacity"),
+        _zero(C.rounded(F.avg("demand_units"), 2)).alias("avg_demand"),
+        _zero(C.rounded(F.avg("capacity_units"), 2)).alias("avg_capacity"),
     )
     people = F.greatest(F.col("total_employees"), F.lit(1))
     coverage = F.col("avg_demand") / _nonzero(F.col("avg_capacity")) * 100
@@ -135,7 +135,7 @@ def staffing_gaps(
 
 # --- reports of the record load ---------------------------------------------------
 def _utilization() -> Column:
-    return F.round(F.avg("utilization_pct"), 1)
+    return C.rounded(F.avg("utilization_pct"), 1)
 
 
 def absence_rows_pct() -> Column:
@@ -150,10 +150,10 @@ def workforce_overview_records(
     per = label_periods(rows, DAY, start, end, "overview").groupBy("period").agg(
         F.count_distinct("employee_code").alias("headcount"),
         _utilization().alias("avg_utilization_pct"),
-        F.round(F.sum("overtime_hours"), 1).alias("total_overtime_hours"),
+        C.rounded(F.sum("overtime_hours"), 1).alias("total_overtime_hours"),
         absence_rows_pct().alias("absence_rate_pct"),
         F.sum("tasks_completed").alias("total_tasks"),
-        F.round(F.avg("actual_hours"), 2).alias("avg_actual_hours"),
+        C.rounded(F.avg("actual_hours"), 2).alias("avg_actual_hours"),
     )
     measures = [c for c in per.columns if c != "period"]
     both = per.agg(
@@ -196,7 +196,7 @@ def workforce_by_department_records(
         ), departments
     ).groupBy(F.col("department_name").alias("department")).agg(
         F.count_distinct("employee_code").alias("headcount"),
-        F.round(C.ratio(F.sum("_util"), F.sum("_known")), 1).alias("avg_utilization_pct"),
+        C.rounded(C.ratio(F.sum("_util"), F.sum("_known")), 1).alias("avg_utilization_pct"),
         F.sum("_tasks").alias("total_tasks"),
         F.round(C.ratio(100.0 * F.sum("_absent"), F.sum("_rows")), 1).alias("absence_rate_pct"),
     )

@@ -1,0 +1,13 @@
+"""Named queries; `all_queries` loads every module that registers some."""
+
+from importlib import import_module
+
+MODULES = ["reports"]
+
+
+def all_queries():
+    from tidewatch.plans import registry
+
+    for name in MODULES:
+        import_module(f"tidewatch.plans.{name}")
+    return registry.QUERIES, registry.ORACLES

@@ -6,71 +6,53 @@ deterministic input of any size.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.operators.dedup import ROW_INDEX
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _text(moment: Column) -> Column:
-    """yyyy-MM-dd HH:mm:ss of a zone-free timestamp."""
-    return F.substring(moment.cast("string"), 1, 19)
-
-
-def _pick(index: Column, values: list[str | None]) -> Column:
-    chain = F.when(index == 0, F.lit(values[0]))
-    for i, value in enumerate(values[1:], start=1):
-        chain = chain.when(index == i, F.lit(value))
-    return chain
-
-
 def raw_tickets(spark: SparkSession, sf_dir: str, repeated: bool = False) -> DataFrame:
     """Tickets from `events`; `repeated` sends every 50th ticket again, as open."""
-    e = table(spark, sf_dir, "events")
-    key, ts = F.col("event_id"), F.col("ts")
-    k = F.get_json_object("props", "$.k").cast("int")
-    taken = F.floor(F.col("value") * 1800)
-    done = ts + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), taken.cast("decimal(18,6)"))
-    feed = e.select(
-        key.alias(ROW_INDEX),
-        F.concat(F.lit("TKT-"), key.cast("string")).alias("ticket_id"),
-        F.when(key % 101 == 0, "bad-date").otherwise(_text(ts)).alias("created_at"),
-        F.when(key % 10 < 7, _text(done)).alias("resolved_at"),
-        F.col("event_type").alias("category"),
-        F.when(key % 89 == 0, "invalid_priority").when(k % 10 < 3, "LOW").when(k % 10 < 7, "Medium")
-        .when(k % 10 < 9, " HIGH ").otherwise("critical").alias("priority"),
-        F.when(key % 10 < 4, "resolved").when(key % 10 < 7, "Closed")
-        .when(key % 10 < 8, "in_progress").otherwise("open").alias("status"),
-        _pick(F.col("user_id") % 6, ["ENG", "OPS", "SUPPORT", "SALES", "HR", "FINANCE"])
-        .alias("department_code"),
-        _pick(key % 4, ["email", "portal", "phone", None]).alias("channel"),
-        ((k - 50) / F.lit(50.0)).cast("string").alias("sentiment_score"),
-        F.when(k >= 95, "true").otherwise("false").alias("escalated"),
-        k.cast("string").alias("first_response_minutes"),
+    events = table(spark, sf_dir, "events").selectExpr(
+        "*", "cast(get_json_object(props, '$.k') as int) as k",
+        "ts + make_dt_interval(0, 0, 0, cast(floor(value * 1800) as decimal(18, 6))) as done",
+    )
+    copy = "explode(if(event_id % 50 = 0, array(0, 1), array(0)))" if repeated else "0"
+    return events.selectExpr("*", f"{copy} as copy").selectExpr(
+        "event_id + copy * 10000000 as row_index",
+        "'TKT-' || event_id as ticket_id",
+        "if(event_id % 101 = 0, 'bad-date', substring(cast(ts as string), 1, 19)) as created_at",
+        "case when event_id % 10 < 7 then substring(cast(done as string), 1, 19) end"
+        " as resolved_at",
+        "event_type as category",
+        "case when event_id % 89 = 0 then 'invalid_priority' when k % 10 < 3 then 'LOW'"
+        " when k % 10 < 7 then 'Medium' when k % 10 < 9 then ' HIGH ' else 'critical' end"
+        " as priority",
+        "case when copy = 1 then 'open' when event_id % 10 < 4 then 'resolved'"
+        " when event_id % 10 < 7 then 'Closed' when event_id % 10 < 8 then 'in_progress'"
+        " else 'open' end as status",
+        "case user_id % 6 when 0 then 'ENG' when 1 then 'OPS' when 2 then 'SUPPORT'"
+        " when 3 then 'SALES' when 4 then 'HR' else 'FINANCE' end as department_code",
+        "case event_id % 4 when 0 then 'email' when 1 then 'portal' when 2 then 'phone' end"
+        " as channel",
+        "cast((k - 50) / 50.0D as string) as sentiment_score",
+        "if(k >= 95, 'true', 'false') as escalated",
+        "cast(k as string) as first_response_minutes",
     )
-    if not repeated:
-        return feed
-    copies = F.when(F.col(ROW_INDEX) % 50 == 0, F.array(F.lit(0), F.lit(1)))
-    feed = feed.withColumn("copy", F.explode(F.coalesce(copies, F.array(F.lit(0)))))
-    again = F.col("copy") == 1
-    return feed.withColumns({
-        "status": F.when(again, "open").otherwise(F.col("status")),
-        ROW_INDEX: F.col(ROW_INDEX) + F.col("copy") * 10_000_000,
-    }).drop("copy")
 
 
 def raw_ticket_records(spark: SparkSession, sf_dir: str, repeated: bool = False) -> DataFrame:
     """The same tickets under the names of the record load, ticket numbers in lower case."""
     feed = raw_tickets(spark, sf_dir, repeated)
-    number = F.lower(F.concat(F.lit(" "), F.col("ticket_id"), F.lit(" ")))
-    return feed.withColumn("ticket_id", number).withColumnRenamed("ticket_id", "ticket_number")
+    names = [c for c in feed.columns if c != "ticket_id"]
+    return feed.selectExpr("lower(' ' || ticket_id || ' ') as ticket_number", *names)
 
 
-def raw_workforce(spark: SparkSession, sf_dir: str, shift_days: int = 0) -> DataFrame:
+def raw_workforce(spark: SparkSession, sf_dir: str, shift_days: int = 0,
+                  key: str = "employee_id") -> DataFrame:
     """Daily hours from `lineitem`; `shift_days` moves the dates onto those of the tickets."""
     line = table(spark, sf_dir, "lineitem")
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
@@ -78,35 +60,29 @@ def raw_workforce(spark: SparkSession, sf_dir: str, shift_days: int = 0) -> Data
     place = table(spark, sf_dir, "supplier").join(
         F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey")
     ).select("s_suppkey", "n_name", "n_regionkey")
-    joined = line.join(place, F.col("l_suppkey") == F.col("s_suppkey"))
-
-    part, qty = F.col("l_partkey"), F.col("l_quantity")
-    s = F.when(F.col("l_linenumber") % 3 == 0, 4.0).otherwise(8.0)
-    day = F.date_add(F.col("l_shipdate").cast("date"), shift_days)
-    return joined.select(
-        F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice")
-        .alias(ROW_INDEX),
-        F.concat(F.lit("EMP"), F.col("l_suppkey").cast("string")).alias("employee_id"),
-        F.when(F.col("l_orderkey") % 97 == 0, "bad-date").otherwise(day.cast("string"))
-        .alias("date"),
-        F.when(part % 211 == 0, "abc").when(part % 199 == 0, "30").otherwise(s.cast("string"))
-        .alias("scheduled_hours"),
-        F.when(qty <= 2, "0").when(qty == 50, "-1")
-        .otherwise(F.round(s * (0.7 + qty / 100), 2).cast("string")).alias("actual_hours"),
-        F.floor(qty / 5).cast("string").alias("tasks_completed"),
-        F.lit("10").alias("tasks_assigned"),
-        F.round(s * (0.75 + F.col("l_tax") * 5), 2).cast("string").alias("demand_units"),
-        (s * 0.95).cast("string").alias("capacity_units"),
-        F.when(part % 23 != 0, F.concat(F.lit("D"), F.col("n_regionkey").cast("string")))
-        .alias("department_code"),
-        F.col("n_name").alias("location_code"),
+    return line.join(place, F.col("l_suppkey") == F.col("s_suppkey")).selectExpr(
+        "*", "if(l_linenumber % 3 = 0, 4.0D, 8.0D) as s"
+    ).selectExpr(
+        "struct(l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice) as row_index",
+        f"'EMP' || l_suppkey as {key}",
+        "if(l_orderkey % 97 = 0, 'bad-date',"
+        f" cast(date_add(cast(l_shipdate as date), {shift_days}) as string)) as date",
+        "case when l_partkey % 211 = 0 then 'abc' when l_partkey % 199 = 0 then '30'"
+        " else cast(s as string) end as scheduled_hours",
+        "case when l_quantity <= 2 then '0' when l_quantity = 50 then '-1'"
+        " else cast(round(s * (0.7D + l_quantity / 100), 2) as string) end as actual_hours",
+        "cast(floor(l_quantity / 5) as string) as tasks_completed",
+        "'10' as tasks_assigned",
+        "cast(round(s * (0.75D + l_tax * 5), 2) as string) as demand_units",
+        "cast(s * 0.95D as string) as capacity_units",
+        "if(l_partkey % 23 = 0, null, 'D' || n_regionkey) as department_code",
+        "n_name as location_code",
     )
 
 
 def raw_operations_records(spark: SparkSession, sf_dir: str, shift_days: int = 0) -> DataFrame:
     """The same hours under the names of the record load."""
-    feed = raw_workforce(spark, sf_dir, shift_days)
-    return feed.withColumnRenamed("employee_id", "employee_code")
+    return raw_workforce(spark, sf_dir, shift_days, key="employee_code")
 
 
 def raw_market(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,50 +94,38 @@ def raw_market(spark: SparkSession, sf_dir: str) -> DataFrame:
     buyer = table(spark, sf_dir, "customer").join(
         F.broadcast(place), F.col("c_nationkey") == F.col("n_nationkey")
     ).select("c_custkey", "c_mktsegment", "c_acctbal", "r_name")
-    o = table(spark, sf_dir, "orders").join(buyer, F.col("o_custkey") == F.col("c_custkey"))
-
-    key, cust = F.col("o_orderkey"), F.col("o_custkey")
-    return o.select(
-        key.alias(ROW_INDEX),
-        F.when(key % 103 == 0, "n/a").otherwise(F.col("o_orderdate").cast("date").cast("string"))
-        .alias("signal_date"),
-        F.concat(F.lit("src_"), (cust % 5).cast("string")).alias("source"),
-        F.concat(F.lit("Signal "), key.cast("string")).alias("title"),
-        F.when(F.col("o_orderpriority") == "1-URGENT", "competitor")
-        .when(F.col("o_orderpriority") == "2-HIGH", "Market")
-        .when(F.col("o_orderpriority") == "3-MEDIUM", " hiring ")
-        .when(F.col("o_orderpriority") == "4-NOT SPECIFIED", "technology")
-        .otherwise("gossip").alias("category"),
-        F.when(cust % 7 != 0, F.col("c_mktsegment")).alias("industry"),
-        F.col("r_name").alias("region"),
-        F.col("o_totalprice").cast("string").alias("value"),
-        F.floor(F.col("c_acctbal") / 100).cast("string").alias("change_pct"),
-        ((cust % 31 - 15) / F.lit(10.0)).cast("string").alias("sentiment_score"),
-        _pick(key % 3, ["a, b,,c ", "", None]).alias("tags"),
+    orders = table(spark, sf_dir, "orders")
+    return orders.join(buyer, F.col("o_custkey") == F.col("c_custkey")).selectExpr(
+        "o_orderkey as row_index",
+        "if(o_orderkey % 103 = 0, 'n/a', cast(cast(o_orderdate as date) as string))"
+        " as signal_date",
+        "'src_' || (o_custkey % 5) as source",
+        "'Signal ' || o_orderkey as title",
+        "case o_orderpriority when '1-URGENT' then 'competitor' when '2-HIGH' then 'Market'"
+        " when '3-MEDIUM' then ' hiring ' when '4-NOT SPECIFIED' then 'technology'"
+        " else 'gossip' end as category",
+        "if(o_custkey % 7 = 0, null, c_mktsegment) as industry",
+        "r_name as region",
+        "cast(o_totalprice as string) as value",
+        "cast(floor(c_acctbal / 100) as string) as change_pct",
+        "cast((o_custkey % 31 - 15) / 10.0D as string) as sentiment_score",
+        "case o_orderkey % 3 when 0 then 'a, b,,c ' when 1 then '' end as tags",
     )
 
 
 def raw_employees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Employee records from `supplier`; codes repeat above 80 suppliers."""
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
-    s = table(spark, sf_dir, "supplier").join(
+    return table(spark, sf_dir, "supplier").join(
         F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey")
-    )
-    key = F.col("s_suppkey")
-
-    def text(c: Column) -> Column:
-        return c.cast("string")
-
-    return s.select(
-        key.alias(ROW_INDEX),
-        F.concat(F.lit(" emp"), text(key % 80)).alias("employee_code"),
-        F.when(key % 17 == 0, "").otherwise(F.col("s_name")).alias("full_name"),
-        F.when(key % 13 == 0, "not-an-email")
-        .otherwise(F.concat(F.lit("EMP"), text(key), F.lit("@Company.com"))).alias("email"),
-        F.lit("Analyst").alias("role"),
-        F.concat(F.lit("D"), text(F.col("n_regionkey"))).alias("department_code"),
-        F.when(key % 19 == 0, "31/31/2020").otherwise(
-            F.concat(F.lit("20"), F.lpad(text(10 + key % 14), 2, "0"), F.lit("-0"),
-                     text(1 + key % 9), F.lit("-15"))).alias("hire_date"),
-        F.when(key % 11 == 0, "abc").otherwise(text(F.col("s_acctbal"))).alias("hourly_rate"),
+    ).selectExpr(
+        "s_suppkey as row_index",
+        "' emp' || (s_suppkey % 80) as employee_code",
+        "if(s_suppkey % 17 = 0, '', s_name) as full_name",
+        "if(s_suppkey % 13 = 0, 'not-an-email', 'EMP' || s_suppkey || '@Company.com') as email",
+        "'Analyst' as role",
+        "'D' || n_regionkey as department_code",
+        "if(s_suppkey % 19 = 0, '31/31/2020', '20' || lpad(10 + s_suppkey % 14, 2, '0')"
+        " || '-0' || (1 + s_suppkey % 9) || '-15') as hire_date",
+        "if(s_suppkey % 11 = 0, 'abc', cast(s_acctbal as string)) as hourly_rate",
     )
