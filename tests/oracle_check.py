@@ -41,11 +41,6 @@ def plain(v):
     return v
 
 
-def sort_key(row):
-    return [(v is None, str(type(v) in (int, float)), round(v, 3) if isinstance(v, float) else v)
-            if v is not None else (True, "", "") for v in row]
-
-
 def table_of(names, rows):
     order = sorted(range(len(names)), key=lambda i: names[i])
     data = [tuple(plain(r[i]) for i in order) for r in rows]
@@ -60,10 +55,13 @@ def compare(left, right) -> str:
     if len(lrows) != len(rrows):
         return f"rows {len(lrows)} vs {len(rrows)}"
 
+    def number(v):
+        return isinstance(v, (int, float))
+
     def key(row):
-        return tuple((v is None, "n" if isinstance(v, (int, float)) else "s",
-                      (round(float(v), 6) if isinstance(v, (int, float)) else str(v))
-                      if v is not None else 0) for v in row)
+        near = tuple((v is None, number(v), 0 if v is None else round(float(v), 6) if number(v)
+                      else str(v)) for v in row)
+        return near, tuple(float(v) for v in row if number(v))
 
     a, b = sorted(lrows, key=key), sorted(rrows, key=key)
     bad = 0

@@ -43,8 +43,7 @@ def exact_percentile(
     """
     side = F.broadcast(brackets) if few_groups else brackets
     pairs = [F.col(f"v.{k}").eqNullSafe(F.col(f"b.{k}")) for k in by]
-    joined = df.filter(F.col(value).isNotNull()).alias("v")
-    joined = joined.join(side.alias("b"), pairs) if pairs else joined.crossJoin(side.alias("b"))
+    joined = df.filter(F.col(value).isNotNull()).alias("v").join(side.alias("b"), pairs)
     x = F.col(f"v.{value}")
     inside = F.when(x.between(F.col("b._low"), F.col("b._high")), x)
     keys = [F.col(f"v.{k}").alias(k) for k in by]

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["reports"]
+MODULES = ["reports", "cleaning_queries", "loading_queries", "series_queries"]
 
 
 def all_queries():
