@@ -43,16 +43,29 @@ def _metric(metric: str | Column) -> Column:
     return F.lit(metric) if isinstance(metric, str) else metric
 
 
+def _keys(by: Sequence[str], metric: str | Column) -> list:
+    """Key columns, day and metric of a finding; the metric may be one of the keys."""
+    keys = [F.col(k) for k in by if k != "metric"]
+    return [*keys, F.col("ds").alias("date"), _metric(metric).alias("metric")]
+
+
 # --- rolling z-score -----------------------------------------------------------------
 def _neighbours(by: Sequence[str]) -> tuple[Column, Column]:
-    """Mean and deviation of the rows around, without the row itself."""
-    near, centre = S.around(by), F.avg("y").over(S.whole(by))
-    n = F.count("y").over(near) - 1
-    total = F.sum("_c").over(near) - F.col("_c")
-    squares = F.sum(F.col("_c") * F.col("_c")).over(near) - F.col("_c") * F.col("_c")
-    mean = total / F.when(n > 0, n)
-    variance = F.greatest((squares - n * mean * mean) / F.when(n > 1, n - 1), F.lit(0.0))
-    return (S.at_least(n, 3, mean + centre), S.at_least(n, 3, S.spread(F.sqrt(variance))))
+    """Mean and deviation of the three rows before and the three after, together.
+
+    The two sides are combined by their counts, means and variances, which stays exact for
+    flat neighbours where sums of squares would leave rounding noise.
+    """
+    sides = [S.in_order(by).rowsBetween(-3, -1), S.in_order(by).rowsBetween(1, 3)]
+    (n1, m1, v1), (n2, m2, v2) = [
+        (F.count("y").over(w), F.coalesce(F.avg("y").over(w), F.lit(0.0)),
+         F.coalesce(F.var_pop("y").over(w), F.lit(0.0))) for w in sides]
+    n = n1 + n2
+    rows = F.when(n > 0, n)
+    mean = (n1 * m1 + n2 * m2) / rows
+    squares = n1 * v1 + n2 * v2 + (m1 - m2) * (m1 - m2) * n1 * n2 / rows
+    std = F.sqrt(squares / F.when(n > 1, n - 1))
+    return S.at_least(n, 3, mean), S.at_least(n, 3, S.spread(std))
 
 
 def zscore_anomalies(
@@ -68,8 +81,6 @@ def zscore_anomalies(
     if baseline == "centered":
         mean, std = S.rolling_mean(by), S.rolling_std(by)
     elif baseline == "exclude_self":
-        centre = F.avg("y").over(S.whole(by))
-        series = series.withColumn("_c", F.col("y") - centre)
         mean, std = _neighbours(by)
     else:
         raise ValueError(f"baseline must be centered or exclude_self, got {baseline}")
@@ -78,8 +89,7 @@ def zscore_anomalies(
     }).withColumn("z_score", (F.col("y") - F.col("expected_value")) / F.col("_std"))
     z = F.col("z_score")
     return scored.filter((F.col("_n") >= 7) & (F.abs(z) >= threshold)).select(
-        *by, F.col("ds").alias("date"), _metric(metric).alias("metric"),
-        F.col("y").alias("observed_value"), "expected_value", "z_score",
+        *_keys(by, metric), F.col("y").alias("observed_value"), "expected_value", "z_score",
         zscore_severity(z).alias("severity"),
         infer_cause(_metric(metric), F.col("y"), F.col("expected_value"), z).alias("likely_cause"),
         F.create_map(F.lit("rolling_window"), F.lit(7.0), F.lit("threshold"),
@@ -101,8 +111,7 @@ def iqr_anomalies(
     outside = (y < F.col("q1") - multiplier * iqr) | (y > F.col("q3") + multiplier * iqr)
     z = F.abs(y - median) / (iqr / 1.35 + 1e-9)
     return q.filter((F.col("_n") >= 4) & outside).withColumn("_z", z).select(
-        *by, F.col("ds").alias("date"), _metric(metric).alias("metric"),
-        y.alias("observed_value"), median.alias("expected_value"),
+        *_keys(by, metric), y.alias("observed_value"), median.alias("expected_value"),
         F.round("_z", 2).alias("z_score"),
         F.when(F.col("_z") < 3.5, "medium").otherwise("high").alias("severity"),
         infer_cause(_metric(metric), y, median, F.col("_z")).alias("likely_cause"),

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions import columns as C
+from tidewatch.operators.dashboard import priority_rank
 from tidewatch.operators.periods import as_date, within
 from tidewatch.operators.quantiles import exact_percentile, percentile_brackets
 
@@ -108,9 +109,7 @@ def sla_report(tickets: DataFrame, start, end, accuracy: int = 20_000) -> DataFr
     )
     p95 = exact_percentile(rows, per.select(*by, "_n", "_low", "_high"), by, hours, 0.95, "_p95",
                            few_groups=True)
-    rank = F.when(F.col("priority") == "critical", 1).when(F.col("priority") == "high", 2).when(
-        F.col("priority") == "medium", 3).otherwise(4)
-    return per.join(F.broadcast(p95), by, "left").orderBy(rank).select(
+    return per.join(F.broadcast(p95), by, "left").orderBy(priority_rank(F.col("priority"))).select(
         *by, "total", "breached",
         _rate(F.col("breached"), F.col("total")).alias("breach_rate_pct"),
         _zero(C.rounded(F.col("_avg"), 2)).alias("avg_resolution_hours"),

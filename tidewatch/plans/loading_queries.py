@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import columns as C
 from tidewatch.operators import cleaning, dimensions, loading
-from tidewatch.operators.periods import within
+from tidewatch.operators.periods import label_periods, within
 from tidewatch.operators.validation import validate
 from tidewatch.plans import facts
 from tidewatch.plans import feed_sql as S
@@ -419,6 +419,40 @@ def fact_department_left(spark, sf_dir):
         F.sum("rows").alias("rows"))
 
 
+@query("f4_absent_members", f"""
+WITH {S.HOURS}
+SELECT DISTINCT employee_id FROM hours
+WHERE NOT EXISTS (SELECT 1 FROM supplier WHERE 'EMP' || s_suppkey = employee_id AND s_nationkey < 15)""")
+def absent_members(spark, sf_dir):
+    known = feeds.table(spark, sf_dir, "supplier").filter("s_nationkey < 15").selectExpr(
+        "'EMP' || s_suppkey as employee_id")
+    seen = facts.hour_facts(spark, sf_dir).select("employee_id").distinct()
+    return dimensions.absent_from(seen, known, ["employee_id"])
+
+
+@query("f5_conflict_upsert", f"""
+WITH {S.TICKET_RECORDS}
+SELECT row_index % 3 = 0 AS was_known, CASE WHEN row_index % 3 = 0 THEN 'open' ELSE status END AS status,
+  count(*) AS tickets FROM ticket_records GROUP BY ALL""")
+def conflict_upsert(spark, sf_dir):
+    records = facts.ticket_records(spark, sf_dir).select("ticket_number", "status", "row_index")
+    known = F.col("row_index") % 3 == 0
+    incoming = records.withColumn("status", F.when(known, "open").otherwise(F.col("status")))
+    state = loading.upsert(records.filter(known), incoming, "ticket_number", ["status"])
+    return state.groupBy(known.alias("was_known"), "status").agg(F.count("*").alias("tickets"))
+
+
+@query("f6_current_and_prior", f"""
+WITH {S.HOURS}
+SELECT CASE WHEN date >= DATE '1998-01-01' THEN 'current' ELSE 'prior' END AS period,
+  department_code, count(*) AS rows, count(DISTINCT employee_id) AS headcount
+FROM hours WHERE date BETWEEN DATE '1998-01-01' - 90 AND DATE '1998-03-31' GROUP BY ALL""")
+def current_and_prior(spark, sf_dir):
+    rows = label_periods(facts.hour_facts(spark, sf_dir), "date", "1998-01-01", "1998-03-31", "equal")
+    return rows.groupBy("period", "department_code").agg(
+        F.count("*").alias("rows"), F.count_distinct("employee_id").alias("headcount"))
+
+
 # --- streams ------------------------------------------------------------------------------
 _FACT_COLUMNS = ["ticket_id", "created_date", "priority", "status", "department_code",
                  "actual_resolution_hours", "sla_breached", "channel"]

@@ -272,12 +272,6 @@ def _shown(found):
         "severity", "likely_cause")
 
 
-def _found_by(series, detect):
-    """The detectors add `metric` themselves; here it is one of the keys."""
-    found = detect(series)
-    return _shown(found)
-
-
 _ZSCORE_SQL = f"""
 WITH {_ALL}, m AS (SELECT *, avg(y) {_NEAR} AS mean, stddev_samp(y) {_NEAR} AS std,
     count(y) {_NEAR} AS near, count(*) OVER ({_KEYS}) AS n FROM s),
@@ -462,8 +456,9 @@ def time_features(spark, sf_dir):
     return rows.select(*DEPT, "ds", *[r(F.col(n), 9).alias(n) for n in FEATURES])
 
 
-def _ridge_sql(horizon: int) -> str:
+def _ridge_sql(source: str, table: str, future_start: str) -> str:
     """Normal equations per series, solved by Gauss-Jordan steps in a recursive query."""
+    horizon = HORIZON
     n = len(FEATURES)
     key = "PARTITION BY department_code"
     scaled = ", ".join(f"({f} - m_{f}) / s_{f} AS z_{f}" for f in FEATURES)
@@ -476,12 +471,13 @@ def _ridge_sql(horizon: int) -> str:
     kept = ", ".join(f"any_value(m_{f}) AS m_{f}, any_value(s_{f}) AS s_{f}" for f in FEATURES)
     dot = " + ".join(f"m[{i + 1}][{n + 1}] * z_{f}" for i, f in enumerate(FEATURES))
     return f"""
-WITH RECURSIVE {S.TICKETS}, {_VOLUME},
-f AS (SELECT *, min(ds) OVER ({key}) AS start FROM volume),
+WITH RECURSIVE {source},
+f AS (SELECT *, min(ds) OVER ({key}) AS start FROM {table}),
 g AS (SELECT department_code, ds, y, {_FEATURES_SQL} FROM f),
 h AS (SELECT *, avg(y) OVER ({key}) AS ybar, {stats} FROM g),
 z AS (SELECT *, {scaled} FROM h),
-model AS (SELECT department_code, [{matrix}] AS m0, any_value(ybar) AS ybar, max(ds) AS last, {kept}
+model AS (SELECT department_code, [{matrix}] AS m0, any_value(ybar) AS ybar, min(ds) AS first,
+  max(ds) AS last, {kept}
   FROM z GROUP BY department_code),
 steps AS (
   SELECT department_code, 1 AS k, m0 AS m FROM model
@@ -496,7 +492,7 @@ fitted AS (SELECT z.department_code, z.ds, z.y, solved.ybar + {dot} AS p FROM z
   JOIN solved USING (department_code)),
 quality AS (SELECT department_code, stddev_pop(y - p) AS sigma, avg(abs(y - p)) AS mae,
   sqrt(avg((y - p) * (y - p))) AS rmse FROM fitted GROUP BY department_code),
-days AS (SELECT solved.*, last + i::INTEGER AS ds, last + 1 AS start FROM solved,
+days AS (SELECT solved.*, last + i::INTEGER AS ds, {future_start} AS start FROM solved,
   range(1, {horizon + 1}) r(i)),
 ahead AS (SELECT * EXCLUDE (month), {_FEATURES_SQL} FROM (SELECT *, 0 AS month FROM days)),
 guess AS (SELECT *, {', '.join(f'({f} - m_{f}) / s_{f} AS z_{f}' for f in FEATURES)} FROM ahead),
@@ -520,12 +516,12 @@ def _ridge(points):
         "is_forecast", r("mae").alias("mae"), r("rmse").alias("rmse"))
 
 
-@query("l2_ridge_forecast", _ridge_sql(HORIZON))
+@query("l2_ridge_forecast", _ridge_sql(f"{S.TICKETS}, {_VOLUME}", "volume", "last + 1"))
 def ridge_forecast(spark, sf_dir):
     return _ridge(forecast.ridge_forecast(volume(spark, sf_dir), DEPT, HORIZON))
 
 
-@query("l2_ridge_demand_extrapolated")
+@query("l2_ridge_demand_extrapolated", _ridge_sql(_DEMAND, "s", "first"))
 def ridge_demand(spark, sf_dir):
     series = demand(spark, sf_dir)
     return _ridge(forecast.ridge_forecast(series, DEPT, HORIZON, extrapolate_trend=True))
