@@ -78,6 +78,16 @@ def compare(left, right) -> str:
     return f"{bad} values, first {first}" if bad else ""
 
 
+KINDS = {
+    "int": "int", "bigint": "int", "smallint": "int", "tinyint": "int", "integer": "int",
+    "double": "float", "string": "text", "varchar": "text", "boolean": "bool", "date": "date",
+}
+
+
+def kinds(pairs) -> dict[str, str]:
+    return {name: KINDS.get(str(kind).lower(), str(kind).lower()) for name, kind in pairs}
+
+
 def check(spark, con, sf_dir, name, function, sql) -> tuple[str, int, float]:
     start = time.time()
     df = function(spark, sf_dir)
@@ -87,6 +97,10 @@ def check(spark, con, sf_dir, name, function, sql) -> tuple[str, int, float]:
         return "", len(rows), took
     result = con.execute(sql)
     names = [d[0] for d in result.description]
+    left, right = kinds(df.dtypes), kinds((d[0], d[1]) for d in result.description)
+    if left != right:
+        odd = {n: (left.get(n), right.get(n)) for n in {*left, *right} if left.get(n) != right.get(n)}
+        return f"types {odd}", len(rows), took
     return compare(table_of(df.columns, rows), table_of(names, result.fetchall())), len(rows), took
 
 

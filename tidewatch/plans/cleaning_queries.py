@@ -364,7 +364,7 @@ WITH {S.raw_workforce()}, r AS (
     greatest(coalesce(try_cast(scheduled_hours AS DOUBLE), 0.0), 0.0) AS scheduled_hours,
     greatest(coalesce(try_cast(actual_hours AS DOUBLE), 0.0), 0.0) AS actual_hours,
     CAST(tasks_completed AS INTEGER) AS tasks_completed FROM raw_workforce))
-SELECT employee_id AS employee_code, date, scheduled_hours, actual_hours, 0.0 AS overtime_hours,
+SELECT employee_id AS employee_code, date, scheduled_hours, actual_hours, 0.0::DOUBLE AS overtime_hours,
   tasks_completed, actual_hours = 0 AS is_absent,
   CASE WHEN scheduled_hours > 0 THEN round(actual_hours / scheduled_hours * 100, 1) END
     AS utilization_pct, department_code

@@ -19,7 +19,7 @@ HORIZON = 30
 
 
 def _r(expr: str, places: int = 6) -> str:
-    return f"round({expr}, {places}) + 0.0"
+    return f"round(CAST({expr} AS DOUBLE), {places}) + 0.0"
 
 
 def r(column, places: int = 6):
@@ -365,7 +365,7 @@ def _reasons_sql(primary: str, reasons: str, fields: list[str]) -> str:
              "' historical norm by ' || printf('%.1f', round(z, 1)) || ' standard deviations']")
     shown = ", ".join(f"{_r(f, 2)} AS {f}" for f in fields if f != primary)
     return f"""
-SELECT date, {_r(primary, 2)} AS observed_value, {_r('mean - 2 * std', 2)} AS expected_lo,
+SELECT date, round(CAST({primary} AS DOUBLE), 2) AS observed_value, {_r('mean - 2 * std', 2)} AS expected_lo,
   {_r('mean + 2 * std', 2)} AS expected_hi,
   CASE WHEN z > 3 THEN 'critical' ELSE 'warning' END AS severity, {_r('-z', 4)} AS anomaly_score,
   array_to_string(CASE WHEN len({reasons}) > 0 THEN {reasons} ELSE {other} END, '; ') AS reasons,
