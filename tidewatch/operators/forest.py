@@ -77,7 +77,7 @@ def isolation_scores(
 
     Missing measures take the median of their series, then all are standardised.
     """
-    daily, keys = S.keyed(daily, by)
+    daily, keys = S.keyed(daily, by, "date")
     w = S.whole(keys)
     filled = {f: F.coalesce(F.col(f).cast("double"), F.median(F.col(f).cast("double")).over(w),
                             F.lit(0.0)) for f in features}

@@ -34,17 +34,15 @@ def _say(template: str, *parts: Column) -> Column:
     return F.format_string(template, *parts) if parts else F.lit(template)
 
 
-def _join(left: DataFrame, right: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Full join of two measure frames, NULL keys included; without keys both are one row."""
-    keys = list(by) or ["_k"]
-    if not by:
-        left, right = left.withColumn("_k", F.lit(0)), right.withColumn("_k", F.lit(0))
-    left, right = left.alias("l"), right.alias("r")
-    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
-    others = [f"{side}.{c}" for side, df in (("l", left), ("r", right))
-              for c in df.columns if c not in keys]
-    return left.join(right, same, "full_outer").select(
-        *[F.coalesce(f"l.{k}", f"r.{k}").alias(k) for k in by], *others)
+def _combine(left: DataFrame, right: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Two frames of measures with one row per key side by side, without a join.
+
+    Each measure is NULL in all but one of the rows of a key, so max picks its value.
+    Without keys, both frames are one row and so is the result.
+    """
+    rows = left.unionByName(right, allowMissingColumns=True)
+    picked = [F.max(c).alias(c) for c in rows.columns if c not in by]
+    return rows.groupBy(*by).agg(*picked) if by else rows.agg(*picked)
 
 
 # --- measures of a period against the one before -----------------------------------------
@@ -82,7 +80,7 @@ def period_kpis(
         of_period(PRIOR, "tickets").alias("prior_tickets")]
     tk = per.groupBy(*by).agg(*both) if by else per.agg(*both)
 
-    joined = _join(wf, tk, by).withColumns({
+    joined = _combine(wf, tk, by).withColumns({
         "period_start": F.lit(start), "period_end": F.lit(end),
         **{c: F.coalesce(c, F.lit(0)) for c in
            ("headcount", "absences", "tickets", "open_tickets", "breaches", "prior_tickets")},
@@ -193,7 +191,7 @@ def weekly_kpis(
     }, {"total_tickets_this_week": "prev_tickets"})
 
     counts = ("headcount", "prev_headcount", "total_tickets_this_week", "prev_tickets")
-    joined = _join(wf, tk, by).withColumns({c: F.coalesce(c, F.lit(0)) for c in counts})
+    joined = _combine(wf, tk, by).withColumns({c: F.coalesce(c, F.lit(0)) for c in counts})
     volume = change_pct(F.col("total_tickets_this_week"), F.col("prev_tickets"))
     return joined.withColumns({
         "staffing_change_pct": change_pct(F.col("headcount"), F.col("prev_headcount")),

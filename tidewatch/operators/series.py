@@ -97,8 +97,12 @@ def tail(series: DataFrame, n: int, by: Sequence[str] = ()) -> DataFrame:
     return series.withColumn("_back", latest).filter(F.col("_back") <= n).drop("_back")
 
 
-def keyed(series: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[str]]:
-    """The key columns; a lone series gets a constant one, so that it can be joined."""
+def keyed(series: DataFrame, by: Sequence[str], day: str = "ds") -> tuple[DataFrame, list[str]]:
+    """The key columns; a lone series gets one that is 0 in all rows, so that it can be joined.
+
+    It is computed from the day: a literal would be folded, and the joins on it would become
+    cross joins.
+    """
     if by:
         return series, list(by)
-    return series.withColumn("_series", F.lit(0)), ["_series"]
+    return series.withColumn("_series", F.weekday(day) * 0), ["_series"]
