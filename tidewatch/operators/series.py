@@ -105,4 +105,4 @@ def keyed(series: DataFrame, by: Sequence[str], day: str = "ds") -> tuple[DataFr
     """
     if by:
         return series, list(by)
-    return series.withColumn("_series", F.weekday(day) * 0), ["_series"]
+    return series.withColumn("_series", F.pmod(F.weekday(day), F.lit(1))), ["_series"]
