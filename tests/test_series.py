@@ -252,7 +252,7 @@ def test_naive_below_seven_points(spark):
 def test_points_band_grows(spark):
     series = daily(spark, trend(100))
     models = forecast.run_forecast(series, horizon=10)
-    points = forecast.build_points(series, models).orderBy("ds").collect()
+    points = forecast.build_points(models).orderBy("ds").collect()
     assert sum(p.is_actual for p in points) == 60 and len(points) == 70
     ahead = [p for p in points if not p.is_actual]
     widths = [p.upper_ci - p.lower_ci for p in ahead]

@@ -12,9 +12,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-NUMBER = r"^\s*[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?\s*$"
-INFINITE = r"(?i)^\s*[+-]?inf(inity)?\s*$"
-NOT_A_NUMBER = r"(?i)^\s*[+-]?nan\s*$"
+NUMBER_CHARACTERS = r"^[\s\d.eE+-]+$"
+INFINITIES = ["inf", "+inf", "-inf", "infinity", "+infinity", "-infinity"]
 ISO_MOMENT = r"^\d{4}-\d{1,2}-\d{1,2}([ T]\d{1,2}:\d{2}(:\d{2}(\.\d{1,9})?)?Z?)?$"
 
 _HEADER_STYLES = {
@@ -54,14 +53,21 @@ def with_default(df: DataFrame, name: str, value) -> DataFrame:
 
 # --- numbers -----------------------------------------------------------------
 def to_number(c: Column) -> Column:
-    """Text to double, NULL for anything that is not a number (NaN included)."""
+    """Text to double, NULL for anything that is not a number (NaN included).
+
+    The characters are checked first: the cast alone would also take Java forms such as
+    "8f", and costs an exception per value that it cannot read.
+    """
     text = c.cast("string")
-    return F.when(text.rlike(NUMBER) | text.rlike(INFINITE), F.trim(text).try_cast("double"))
+    value = text.try_cast("double")
+    return F.when(text.rlike(NUMBER_CHARACTERS), value).when(
+        F.lower(F.trim(text)).isin(INFINITIES), value)
 
 
 def to_float(c: Column) -> Column:
     """As `to_number`, but "nan" is read as the float NaN."""
-    return F.when(c.cast("string").rlike(NOT_A_NUMBER), F.lit(float("nan"))).otherwise(to_number(c))
+    text = F.lower(F.trim(c.cast("string")))
+    return F.coalesce(to_number(c), F.when(text.isin("nan", "+nan", "-nan"), F.lit(float("nan"))))
 
 
 def coerce_numeric(c: Column, default: float = 0.0) -> Column:

@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewatch import fixed_values as V
 from tidewatch.functions import columns as C
@@ -63,22 +64,29 @@ def solver(alpha: float):
     return solve
 
 
-def _dot(coefficients: str, values: Sequence[Column]) -> Column:
-    total = F.col(coefficients)[0] * values[0]
-    for i, value in enumerate(values[1:], start=1):
-        total = total + F.col(coefficients)[i] * value
-    return total
+def _dot(coefficients: Column, values: Column) -> Column:
+    pairs = F.zip_with(coefficients, values, lambda b, v: b * v)
+    return F.aggregate(pairs, F.lit(0.0), lambda total, x: total + x)
 
 
-def fit_ridge(series: DataFrame, keys: Sequence[str], alpha: float = 1.0) -> tuple[DataFrame, DataFrame]:
-    """(standardised history, one model row per series of at least seven points)."""
+def _mean(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda total, x: total + x) / F.size(values)
+
+
+def fit_ridge(series: DataFrame, keys: Sequence[str], alpha: float = 1.0) -> DataFrame:
+    """One model row per series of at least seven points, with its standardised history.
+
+    The history travels in the model row as an array (a row per calendar day at most), so the
+    series is read once and nothing has to be joined back.
+    """
     w = S.whole(keys)
-    y = F.coalesce(F.nanvl("y", F.lit(None).cast("double")), F.avg(F.nanvl("y", F.lit(None))).over(w))
-    rows = feature_frame(series, keys).withColumn("y", y)
+    known = F.nanvl("y", F.lit(None).cast("double"))
+    rows = feature_frame(series, keys).withColumn("y", F.coalesce(known, F.avg(known).over(w)))
     stats = {}
     for f in FEATURES:
+        deviation = F.stddev_pop(f).over(w)
         stats[f"_m_{f}"] = F.avg(f).over(w)
-        stats[f"_s_{f}"] = F.when(F.stddev_pop(f).over(w) > 1e-12, F.stddev_pop(f).over(w)).otherwise(1.0)
+        stats[f"_s_{f}"] = F.when(deviation > 1e-12, deviation).otherwise(1.0)
     rows = rows.withColumns(
         {**stats, "_mean": F.avg("y").over(w), "_n": F.count("y").over(w)}
     ).filter(F.col("_n") >= MIN_POINTS)
@@ -87,14 +95,15 @@ def fit_ridge(series: DataFrame, keys: Sequence[str], alpha: float = 1.0) -> tup
 
     z = [F.col(f"_z_{f}") for f in FEATURES]
     residual = F.col("y") - F.col("_mean")
-    model = rows.groupBy(*keys).agg(
+    day = F.struct("ds", "y", F.array(*z).alias("z"))
+    return rows.groupBy(*keys).agg(
         F.array(*[F.sum(a * b) for a in z for b in z]).alias("_gram"),
         F.array(*[F.sum(a * residual) for a in z]).alias("_moments"),
         F.array(*[F.first(f"_m_{f}") for f in FEATURES]).alias("_means"),
         F.array(*[F.first(f"_s_{f}") for f in FEATURES]).alias("_stds"),
         F.first("_mean").alias("_mean"), F.min("ds").alias("_start"), F.max("ds").alias("_last"),
-    ).withColumn("_beta", solver(alpha)("_gram", "_moments"))
-    return rows.drop("_mean"), model.drop("_gram", "_moments")
+        F.collect_list(day).alias("_days"),
+    ).withColumn("_beta", solver(alpha)("_gram", "_moments")).drop("_gram", "_moments")
 
 
 def ridge_forecast(
@@ -109,102 +118,43 @@ def ridge_forecast(
     """
     check_horizon(horizon)
     keyed, keys = S.keyed(series, by)
-    rows, model = fit_ridge(keyed, keys)
-    z = [F.col(f"_z_{f}") for f in FEATURES]
-    fitted = rows.join(model.select(*keys, "_beta", "_mean"), keys).select(
-        *keys, "ds", "y", (F.col("_mean") + _dot("_beta", z)).alias("predicted"))
-
-    off = F.col("y") - F.col("predicted")
-    quality = fitted.groupBy(*keys).agg(
-        F.stddev_pop(off).alias("_sigma"), F.avg(F.abs(off)).alias("mae"),
-        F.sqrt(F.avg(off * off)).alias("rmse"))
-    z_value = 1.96 if confidence >= 0.95 else 1.645
-    margin = F.lit(z_value) * F.col("_sigma")
-    history = fitted.join(quality, keys).select(
-        *keys, "ds", "predicted", (F.col("predicted") - margin).alias("lower_bound"),
-        (F.col("predicted") + margin).alias("upper_bound"), F.lit(False).alias("is_forecast"),
-        "mae", "rmse")
-
-    future = model.join(quality, keys).withColumn(
-        "ds", F.explode(F.sequence(F.date_add("_last", 1), F.date_add("_last", horizon))))
-    start = F.col("_start") if extrapolate_trend else F.date_add("_last", 1)
-    values = time_features(F.col("ds"), start)
-    scaled = [(values[f] - F.col("_means")[i]) / F.col("_stds")[i] for i, f in enumerate(FEATURES)]
-    future = future.withColumn("_p", F.col("_mean") + _dot("_beta", scaled))
-    ahead = future.select(
-        *keys, "ds", F.greatest("_p", F.lit(0.0)).alias("predicted"),
-        F.greatest(F.col("_p") - margin, F.lit(0.0)).alias("lower_bound"),
-        F.greatest(F.col("_p") + margin, F.lit(0.0)).alias("upper_bound"),
-        F.lit(True).alias("is_forecast"), "mae", "rmse")
-    points = history.unionByName(ahead).withColumns({
-        "model_type": F.lit(V.METHOD_RIDGE), "confidence_interval": F.lit(confidence),
+    model = fit_ridge(keyed, keys)
+    beta, mean = F.col("_beta"), F.col("_mean")
+    fitted = F.transform("_days", lambda d: F.struct(
+        d["ds"].alias("ds"), (mean + _dot(beta, d["z"])).alias("p"), d["y"].alias("y")))
+    model = model.withColumn("_fitted", fitted).withColumn(
+        "_off", F.transform("_fitted", lambda d: d["y"] - d["p"]))
+    off = F.col("_off")
+    model = model.withColumn("_bias", _mean(off)).withColumns({
+        "_sigma": F.sqrt(_mean(F.transform(off, lambda r: F.pow(r - F.col("_bias"), F.lit(2.0))))),
+        "mae": _mean(F.transform(off, lambda r: F.abs(r))),
+        "rmse": F.sqrt(_mean(F.transform(off, lambda r: r * r))),
     })
-    return points if by else points.drop("_series")
-
-
-# --- model rows of the other methods -------------------------------------------------
-def _horizon_values(horizon: int, value) -> Column:
-    return F.transform(F.sequence(F.lit(0), F.lit(horizon - 1)), value)
-
-
-def _base(series: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows without NULLs, with their position and place from the end."""
-    latest = Window.partitionBy(*keys).orderBy(F.desc("ds"))
-    return series.filter(F.col("y").isNotNull()).withColumns({
-        "_i": S.position(keys), "_back": F.row_number().over(latest)})
-
-
-def _common() -> list[Column]:
-    return [
-        F.count("*").alias("points"), F.max("ds").alias("last_ds"),
-        F.avg(F.when(F.col("_back") <= 7, F.col("y"))).alias("recent_avg"),
-    ]
-
-
-def linear_models(series: DataFrame, keys: Sequence[str], horizon: int) -> DataFrame:
-    """Least squares over the position in the series; gaps in the dates do not count."""
-    w = S.whole(keys)
-    rows = _base(series, keys).withColumns({
-        "_slope": F.regr_slope("y", "_i").over(w), "_icept": F.regr_intercept("y", "_i").over(w)})
-    off = F.col("y") - (F.col("_slope") * F.col("_i") + F.col("_icept"))
-    per = rows.groupBy(*keys).agg(
-        *_common(), F.stddev_pop(off).alias("sigma"),
-        F.first("_slope").alias("slope"), F.first("_icept").alias("intercept"))
-    slope = F.col("slope")
-    return per.select(
-        *keys, "points", "last_ds", "recent_avg", "sigma",
-        F.lit(V.METHOD_LINEAR).alias("methodology"), F.lit(None).cast("double").alias("mape"),
-        F.when(slope > 0.1, "up").when(slope < -0.1, "down").otherwise("flat")
-        .alias("trend_direction"),
-        _horizon_values(horizon, lambda i: slope * (F.col("points") + i) + F.col("intercept"))
-        .alias("values"))
-
-
-def naive_models(series: DataFrame, keys: Sequence[str], horizon: int) -> DataFrame:
-    """The mean of the series, for series too short for a trend."""
-    per = _base(series, keys).groupBy(*keys).agg(
-        *_common(), F.avg("y").alias("_mean"),
-        F.coalesce(F.stddev_samp("y"), F.lit(0.0)).alias("sigma"))
-    return per.select(
-        *keys, "points", "last_ds", "recent_avg", "sigma",
-        F.lit(V.METHOD_NAIVE).alias("methodology"), F.lit(None).cast("double").alias("mape"),
-        F.lit("flat").alias("trend_direction"),
-        _horizon_values(horizon, lambda i: F.col("_mean")).alias("values"))
+    margin = F.lit(1.96 if confidence >= 0.95 else 1.645) * F.col("_sigma")
 
+    def point(ds: Column, p: Column, future: bool) -> Column:
+        def cut(c: Column) -> Column:
+            return F.greatest(c, F.lit(0.0)) if future else c
 
-def detect_trend(values: Column, horizon: int) -> Column:
-    """up or down when the second half of the horizon is 5 % off the first."""
-    if horizon < 2:
-        return F.lit("flat")
-    half = horizon // 2
+        return F.struct(
+            ds.alias("ds"), cut(p).alias("predicted"), cut(p - margin).alias("lower_bound"),
+            cut(p + margin).alias("upper_bound"), F.lit(future).alias("is_forecast"))
 
-    def mean(part: Column, size: int) -> Column:
-        return F.aggregate(part, F.lit(0.0), lambda a, x: a + x) / size
+    def ahead(step: Column) -> Column:
+        ds = F.date_add("_last", step)
+        start = F.col("_start") if extrapolate_trend else F.date_add("_last", 1)
+        raw = F.array(*time_features(ds, start).values())
+        shifted = F.zip_with(raw, F.col("_means"), lambda v, m: v - m)
+        scaled = F.zip_with(shifted, F.col("_stds"), lambda v, d: v / d)
+        return point(ds, mean + _dot(beta, scaled), True)
 
-    first = mean(F.slice(values, 1, half), half)
-    second = mean(F.slice(values, half + 1, horizon - half), horizon - half)
-    change = (second - first) / (first + 1e-9)
-    return F.when(change > 0.05, "up").when(change < -0.05, "down").otherwise("flat")
+    points = F.concat(
+        F.transform("_fitted", lambda d: point(d["ds"], d["p"], False)),
+        F.transform(F.sequence(F.lit(1), F.lit(horizon)), ahead))
+    rows = model.select(*keys, F.explode(points).alias("_point"), "mae", "rmse").select(
+        *keys, "_point.*", "mae", "rmse", F.lit(V.METHOD_RIDGE).alias("model_type"),
+        F.lit(confidence).alias("confidence_interval"))
+    return rows if by else rows.drop("_series")
 
 
 # --- Holt-Winters -----------------------------------------------------------------------
@@ -251,40 +201,84 @@ def holt_winters(y: np.ndarray, horizon: int, seasonal: bool):
     return fitted, ahead
 
 
-def holt_winters_models(series: DataFrame, keys: Sequence[str], horizon: int) -> DataFrame:
-    """Additive trend, weekly season from 28 points on; error measured on the last fifth."""
-    rows = _base(series, keys)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}"
-                       for f in series.select(*keys).schema.fields)
+SMOOTHED = T.StructType([
+    T.StructField("mape", T.DoubleType()), T.StructField("sigma", T.DoubleType()),
+    T.StructField("values", T.ArrayType(T.DoubleType())),
+])
+
+
+@F.pandas_udf(SMOOTHED)
+def fit_holt_winters(history: pd.Series, horizon: pd.Series) -> pd.DataFrame:
+    """Additive trend, weekly season from 28 points on; error measured on the last fifth.
 
-    def fit(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("_i")
-        y = group["y"].to_numpy(dtype=float)
-        out = {k: [group[k].iloc[0]] for k in keys}
+    Gives NULLs for series that are too short to be fitted.
+    """
+    rows = []
+    for values, days in zip(history, horizon):
+        y = np.asarray(values, dtype=float)
         held = max(MIN_POINTS, int(len(y) * 0.2))
         seasonal = len(y) >= 4 * SEASON
         train, test = y[:-held], y[-held:]
-        enough = len(train) >= (2 * SEASON if seasonal else 2)
-        mape, sigma, values = None, None, None
-        if enough:
-            _, guess = holt_winters(train, held, seasonal)
-            known = test != 0
-            if known.any():
-                mape = float(np.mean(np.abs((test[known] - guess[known]) / test[known])) * 100)
-            fitted, ahead = holt_winters(y, horizon, seasonal)
-            sigma, values = float(np.std(y - fitted, ddof=1)), ahead.tolist()
-        return pd.DataFrame({**out, "mape": [mape], "sigma": [sigma], "values": [values]})
-
-    fitted = rows.groupBy(*keys).applyInPandas(
-        fit, f"{fields}, mape double, sigma double, values array<double>")
-    per = rows.groupBy(*keys).agg(*_common())
-    return per.join(fitted.filter(F.col("values").isNotNull()), list(keys)).select(
-        *keys, "points", "last_ds", "recent_avg", "sigma",
-        F.lit(V.METHOD_HOLT_WINTERS).alias("methodology"), F.round("mape", 1).alias("mape"),
-        detect_trend(F.col("values"), horizon).alias("trend_direction"), "values")
-
-
-# --- model choice, points and text --------------------------------------------------------
+        if len(train) < (2 * SEASON if seasonal else 2):
+            rows.append((None, None, None))
+            continue
+        _, guess = holt_winters(train, held, seasonal)
+        known = test != 0
+        mape = np.mean(np.abs((test[known] - guess[known]) / test[known])) * 100 if known.any() else None
+        fitted, ahead = holt_winters(y, int(days), seasonal)
+        rows.append((mape, np.std(y - fitted, ddof=1), ahead.tolist()))
+    return pd.DataFrame(rows, columns=["mape", "sigma", "values"])
+
+
+# --- one model row per series ------------------------------------------------------------
+def _horizon_values(horizon: int, value) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.lit(horizon - 1)), value)
+
+
+def detect_trend(values: Column, horizon: int) -> Column:
+    """up or down when the second half of the horizon is 5 % off the first."""
+    if horizon < 2:
+        return F.lit("flat")
+    half = horizon // 2
+    first = _mean(F.slice(values, 1, half))
+    second = _mean(F.slice(values, half + 1, horizon - half))
+    change = (second - first) / (first + 1e-9)
+    return F.when(change > 0.05, "up").when(change < -0.05, "down").otherwise("flat")
+
+
+def model_frame(series: DataFrame, keys: Sequence[str], horizon: int) -> DataFrame:
+    """Everything the models need, one row per series, from one pass over the series.
+
+    linear: least squares over the position in the series (gaps in the dates do not count).
+    naive: the mean. The history is kept as an array; a series has a row per day at most.
+    """
+    w = S.whole(keys)
+    latest = Window.partitionBy(*keys).orderBy(F.desc("ds"))
+    rows = series.filter(F.col("y").isNotNull()).withColumns({
+        "_i": S.position(keys), "_back": F.row_number().over(latest)})
+    rows = rows.withColumns({
+        "_slope": F.regr_slope("y", "_i").over(w), "_icept": F.regr_intercept("y", "_i").over(w)})
+    off = F.col("y") - (F.col("_slope") * F.col("_i") + F.col("_icept"))
+    per = rows.groupBy(*keys).agg(
+        F.count("*").alias("points"), F.max("ds").alias("last_ds"),
+        F.avg(F.when(F.col("_back") <= 7, F.col("y"))).alias("recent_avg"),
+        F.array_sort(F.collect_list(F.struct("ds", "y"))).alias("history"),
+        F.first("_slope").alias("_slope"), F.first("_icept").alias("_icept"),
+        F.stddev_pop(off).alias("_linear_sigma"), F.avg("y").alias("_mean"),
+        F.coalesce(F.stddev_samp("y"), F.lit(0.0)).alias("_naive_sigma"))
+    slope = F.col("_slope")
+    return per.withColumns({
+        "_linear_values": _horizon_values(
+            horizon, lambda i: slope * (F.col("points") + i) + F.col("_icept")),
+        "_naive_values": _horizon_values(horizon, lambda i: F.col("_mean")),
+        "_linear_trend": F.when(slope > 0.1, "up").when(slope < -0.1, "down").otherwise("flat"),
+    })
+
+
+MODEL_COLUMNS = ["points", "last_ds", "recent_avg", "history", "sigma", "methodology", "mape",
+                 "trend_direction", "values"]
+
+
 def run_forecast(
     series: DataFrame, by: Sequence[str] = (), horizon: int = 30, smoothing: bool = False
 ) -> DataFrame:
@@ -294,14 +288,30 @@ def run_forecast(
     """
     check_horizon(horizon)
     keyed, keys = S.keyed(series, by)
-    rows = keyed.filter(F.col("y").isNotNull()).withColumn("_n", F.count("y").over(S.whole(keys)))
-    short = naive_models(rows.filter(F.col("_n") < MIN_POINTS), keys, horizon)
-    long = rows.filter(F.col("_n") >= MIN_POINTS)
-    linear = linear_models(long, keys, horizon)
+    per = model_frame(keyed, keys, horizon)
+    short = F.col("points") < MIN_POINTS
     if smoothing:
-        smoothed = holt_winters_models(long, keys, horizon)
-        linear = linear.join(smoothed.select(*keys), keys, "left_anti").unionByName(smoothed)
-    models = short.unionByName(linear)
+        fit = fit_holt_winters(F.transform("history", lambda d: d["y"]), F.lit(horizon))
+        per = per.withColumn("_smooth", fit)
+        fitted = ~short & F.col("_smooth.values").isNotNull()
+        mape, smooth_sigma, smooth_values = (F.col(f"_smooth.{n}") for n in ("mape", "sigma", "values"))
+    else:
+        fitted, mape, smooth_sigma, smooth_values = F.lit(False), F.lit(None), F.lit(None), None
+
+    def choose(naive, smooth, linear):
+        chain = F.when(short, naive)
+        if smoothing:
+            chain = chain.when(fitted, smooth)
+        return chain.otherwise(linear)
+
+    trend = detect_trend(smooth_values, horizon) if smoothing else None
+    models = per.withColumns({
+        "sigma": choose(F.col("_naive_sigma"), smooth_sigma, F.col("_linear_sigma")),
+        "methodology": choose(F.lit(V.METHOD_NAIVE), F.lit(V.METHOD_HOLT_WINTERS), F.lit(V.METHOD_LINEAR)),
+        "mape": F.round(F.when(fitted, mape).cast("double"), 1),
+        "trend_direction": choose(F.lit("flat"), trend, F.col("_linear_trend")),
+        "values": choose(F.col("_naive_values"), smooth_values, F.col("_linear_values")),
+    }).select(*keys, *MODEL_COLUMNS)
     return models if by else models.drop("_series")
 
 
@@ -315,27 +325,31 @@ def forecast_demand(series: DataFrame, by: Sequence[str] = (), horizon: int = 30
     return summarize(models, "demand", horizon)
 
 
-def build_points(series: DataFrame, models: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def build_points(models: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """The last 60 actual days and the horizon, whose band widens by 2 % per day."""
     def at_zero(c: Column) -> Column:
         return F.round(F.greatest(c, F.lit(0.0)), 2)
 
-    y = F.round("y", 2)
-    actual = S.tail(series.filter(F.col("y").isNotNull()), 60, by).select(
-        *by, "ds", y.alias("forecast"), y.alias("lower_ci"), y.alias("upper_ci"),
-        F.lit(True).alias("is_actual"), y.alias("actual"))
-    steps = models.select(*by, "last_ds", "sigma", F.posexplode("values").alias("_i", "_v"))
-    band = F.lit(1.96) * F.col("sigma") * (1 + F.col("_i") * 0.02)
-    ahead = steps.select(
-        *by, F.date_add("last_ds", F.col("_i") + 1).alias("ds"), at_zero(F.col("_v")).alias("forecast"),
-        at_zero(F.col("_v") - band).alias("lower_ci"), at_zero(F.col("_v") + band).alias("upper_ci"),
-        F.lit(False).alias("is_actual"), F.lit(None).cast("double").alias("actual"))
-    return actual.unionByName(ahead)
+    def past(d: Column) -> Column:
+        y = F.round(d["y"], 2)
+        return F.struct(d["ds"].alias("ds"), y.alias("forecast"), y.alias("lower_ci"),
+                        y.alias("upper_ci"), F.lit(True).alias("is_actual"), y.alias("actual"))
+
+    def ahead(value: Column, i: Column) -> Column:
+        band = F.lit(1.96) * F.col("sigma") * (1 + i * 0.02)
+        return F.struct(
+            F.date_add("last_ds", i + 1).alias("ds"), at_zero(value).alias("forecast"),
+            at_zero(value - band).alias("lower_ci"), at_zero(value + band).alias("upper_ci"),
+            F.lit(False).alias("is_actual"), F.lit(None).cast("double").alias("actual"))
+
+    recent = F.slice("history", F.greatest(F.size("history") - 59, F.lit(1)), 60)
+    points = F.concat(F.transform(recent, past), F.transform("values", ahead))
+    return models.select(*by, F.explode(points).alias("_point")).select(*by, "_point.*")
 
 
 def summarize(models: DataFrame, metric: str, horizon: int) -> DataFrame:
     """Add the sentence on the expected change against the last seven days."""
-    mean = F.aggregate("values", F.lit(0.0), lambda a, x: a + x) / horizon
+    mean = _mean(F.col("values"))
     recent = F.col("recent_avg")
     pct = (mean - recent) / (recent + 1e-9) * 100
     title = C.title_case(F.lit(metric.replace("_", " ")))

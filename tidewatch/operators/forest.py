@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewatch.operators import series as S
 
@@ -79,15 +80,16 @@ def isolation_scores(
     """
     daily, keys = S.keyed(daily, by, "date")
     w = S.whole(keys)
-    filled = {f: F.coalesce(F.col(f).cast("double"), F.median(F.col(f).cast("double")).over(w),
-                            F.lit(0.0)) for f in features}
-    points = daily.select(*keys, "date", *[c.alias(f) for f, c in filled.items()])
-    scaled = [(F.col(f) - F.avg(f).over(w)) / F.when(F.stddev_pop(f).over(w) > 0,
-                                                     F.stddev_pop(f).over(w)).otherwise(1.0)
-              for f in features]
-    points = points.select(*keys, "date", F.array(*scaled).alias("x"))
-
-    numbered = points.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
+    filled = {f"_f_{f}": F.coalesce(
+        F.col(f).cast("double"), F.median(F.col(f).cast("double")).over(w), F.lit(0.0))
+        for f in features}
+    points = daily.withColumns(filled)
+    deviation = {f: F.stddev_pop(f).over(w) for f in filled}
+    scaled = [(F.col(f) - F.avg(f).over(w)) / F.when(deviation[f] > 0, deviation[f]).otherwise(1.0)
+              for f in filled]
+    points = points.withColumn("x", F.array(*scaled)).drop(*filled)
+
+    numbered = points.select(*keys, "date", "x").withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
     draw = Window.partitionBy(*keys, "tree").orderBy(F.xxhash64(F.lit(seed), "tree", "date"), "date")
     drawn = numbered.withColumn("_rank", F.row_number().over(draw)).filter(F.col("_rank") <= sample)
     key_fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}"
@@ -104,7 +106,7 @@ def isolation_scores(
         build, f"{key_fields}, size int, {TREE_FIELDS}")
 
     def score(rows: pd.DataFrame, forest: pd.DataFrame) -> pd.DataFrame:
-        out = rows[[*keys, "date"]].copy()
+        out = rows.drop(columns="x")
         if rows.empty or forest.empty:
             return out.assign(anomaly_score=np.zeros(len(out)))
         x = np.stack(rows["x"].to_numpy())
@@ -116,7 +118,6 @@ def isolation_scores(
         norm = max(mean_path(float(forest["size"].iloc[0])), 1e-9)
         return out.assign(anomaly_score=-np.power(2.0, -depth / norm))
 
-    scores = points.groupBy(*keys).cogroup(grown.groupBy(*keys)).applyInPandas(
-        score, f"{key_fields}, date date, anomaly_score double")
-    joined = daily.join(scores, [*keys, "date"])
-    return joined if by else joined.drop("_series")
+    schema = T.StructType([*daily.schema.fields, T.StructField("anomaly_score", T.DoubleType())])
+    scored = points.groupBy(*keys).cogroup(grown.groupBy(*keys)).applyInPandas(score, schema)
+    return scored if by else scored.drop("_series")

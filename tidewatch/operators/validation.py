@@ -20,23 +20,27 @@ Check = tuple[Column, str, Column]  # failed?, code, detail
 
 @dataclass(frozen=True)
 class Validated:
-    """`tagged` is the whole feed with `error_codes` and `error_details` (empty when valid)."""
+    """`tagged` is the whole feed with `is_valid`, `error_codes` and `error_details`.
+
+    `is_valid` is computed from the conditions alone: whoever wants the valid rows does not
+    pay for the lists and texts of the others.
+    """
 
     tagged: DataFrame
 
     @property
     def valid(self) -> DataFrame:
-        good = self.tagged.filter(F.size("error_codes") == 0)
-        return good.drop("error_codes", "error_details", "raw_data")
+        good = self.tagged.filter("is_valid")
+        return good.drop("is_valid", "error_codes", "error_details", "raw_data")
 
     @property
     def quarantined(self) -> DataFrame:
-        bad = self.tagged.filter(F.size("error_codes") > 0)
+        bad = self.tagged.filter(~F.col("is_valid"))
         return bad.select(ROW_INDEX, "raw_data", "error_codes", "error_details")
 
     def totals(self) -> DataFrame:
         """One row: total, valid and quarantined rows and the quarantine rate (0 if empty)."""
-        bad = F.count_if(F.size("error_codes") > 0)
+        bad = F.count_if(~F.col("is_valid"))
         return self.tagged.agg(
             F.count("*").alias("total_rows"),
             (F.count("*") - bad).alias("valid_rows"),
@@ -109,6 +113,13 @@ def _failures(checks: list[Check]) -> Column:
     return F.array_compact(F.array(*(found or [empty])))
 
 
+def _any(checks: list[Check]) -> Column:
+    found = F.lit(False)
+    for failed, _, _ in checks:
+        found = found | F.coalesce(failed, F.lit(False))
+    return found
+
+
 def validate(df: DataFrame, dataset: str, rules: dict | None = None) -> Validated:
     """Tag every row with the rules it fails.
 
@@ -117,12 +128,14 @@ def validate(df: DataFrame, dataset: str, rules: dict | None = None) -> Validate
     """
     rules = rules or V.RULES[dataset]
     df = C.normalize_columns(df, "rules")
-    required = _failures([_missing(n, C.first_present(df, n)) for n in rules["required"]])
-    other = _failures(_format_checks(df, rules))
+    required = [_missing(n, C.first_present(df, n)) for n in rules["required"]]
+    other = _format_checks(df, rules)
     tagged = (
         df.withColumn("raw_data", C.raw_json(df, skip=(ROW_INDEX, "source_file")))
-        .withColumn("_missing", required)
-        .withColumn("_failed", F.when(F.size("_missing") > 0, F.col("_missing")).otherwise(other))
+        .withColumn("is_valid", ~(_any(required) | _any(other)))
+        .withColumn("_missing", _failures(required))
+        .withColumn("_failed", F.when(F.size("_missing") > 0, F.col("_missing"))
+                    .otherwise(_failures(other)))
         .withColumn("error_codes", F.col("_failed.code"))
         .withColumn("error_details", F.array_join(F.col("_failed.detail"), "; "))
     )

@@ -548,7 +548,7 @@ SELECT department_code, points, last_ds, {_r('sigma')} AS sigma, trend_direction
   {_r(f'slope * (points + {HORIZON - 1}) + icept')} AS last_value
 FROM model""")
 def linear_trend(spark, sf_dir):
-    models = forecast.linear_models(volume(spark, sf_dir), DEPT, HORIZON)
+    models = forecast.run_forecast(volume(spark, sf_dir), DEPT, HORIZON)
     return models.select(
         *DEPT, "points", "last_ds", r("sigma").alias("sigma"), "trend_direction",
         r(F.element_at("values", 1)).alias("first_value"),
@@ -594,8 +594,8 @@ SELECT department_code, last_ds + (h + 1)::INTEGER, round(greatest(v, 0), 2),
   round(greatest(v + 1.96 * sigma * (1 + h * 0.02), 0), 2), FALSE, NULL
 FROM ahead""")
 def build_points(spark, sf_dir):
-    series = volume(spark, sf_dir)
-    return forecast.build_points(series, forecast.linear_models(series, DEPT, HORIZON), DEPT)
+    models = forecast.run_forecast(volume(spark, sf_dir), DEPT, HORIZON)
+    return forecast.build_points(models, DEPT)
 
 
 @query("l7_detect_trend", f"""
@@ -604,7 +604,7 @@ WITH {_LINEAR}, halves AS (SELECT department_code, avg(v) FILTER (WHERE h < {HOR
 SELECT department_code, CASE WHEN (b - a) / (a + 1e-9) > 0.05 THEN 'up'
   WHEN (b - a) / (a + 1e-9) < -0.05 THEN 'down' ELSE 'flat' END AS trend FROM halves""")
 def detect_trend(spark, sf_dir):
-    models = forecast.linear_models(volume(spark, sf_dir), DEPT, HORIZON)
+    models = forecast.run_forecast(volume(spark, sf_dir), DEPT, HORIZON)
     return models.select(*DEPT, forecast.detect_trend(F.col("values"), HORIZON).alias("trend"))
 
 
@@ -618,7 +618,7 @@ SELECT department_code, 'Ticket Volume is forecast to '
   || printf('%.1f', round(mean, 1)) || '). Trend direction: ' || trend || '.' AS summary
 FROM p""")
 def summarize_forecast(spark, sf_dir):
-    models = forecast.linear_models(volume(spark, sf_dir), DEPT, HORIZON)
+    models = forecast.run_forecast(volume(spark, sf_dir), DEPT, HORIZON)
     return forecast.summarize(models, "ticket_volume", HORIZON).select(*DEPT, "summary")
 
 
