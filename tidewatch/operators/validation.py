@@ -58,6 +58,10 @@ def _missing(name: str, c: Column) -> Check:
     return failed, f"MISSING_{name.upper()}", F.lit(f"Required field '{name}' is missing or empty")
 
 
+def _number(name: str) -> str:
+    return f"_number_{name}"
+
+
 def _format_checks(df: DataFrame, rules: dict) -> list[Check]:
     """Checks of the second step, in the order in which their codes are listed."""
     checks: list[Check] = []
@@ -76,7 +80,7 @@ def _format_checks(df: DataFrame, rules: dict) -> list[Check]:
             _detail(f"'{name}' could not be parsed as a date: %s", c),
         ))
     for name, c in given(rules.get("non_negative", [])):
-        number = C.to_float(c)
+        number = F.col(_number(name))
         checks.append((
             (c != "") & number.isNull(), f"NOT_NUMERIC_{name.upper()}",
             _detail(f"'{name}' must be numeric, got %s", c),
@@ -87,7 +91,7 @@ def _format_checks(df: DataFrame, rules: dict) -> list[Check]:
         ))
     for name, c in given(rules.get("range", {})):
         lo, hi = rules["range"][name]
-        number = C.to_float(c)
+        number = F.col(_number(name))
         checks.append((
             (c != "") & (F.isnan(number) | ~number.between(lo, hi)), f"OUT_OF_RANGE_{name.upper()}",
             _detail(f"'{name}' must be between {lo} and {hi}, got %s", number.cast("string")),
@@ -128,15 +132,22 @@ def validate(df: DataFrame, dataset: str, rules: dict | None = None) -> Validate
     """
     rules = rules or V.RULES[dataset]
     df = C.normalize_columns(df, "rules")
+    df = df.withColumn("raw_data", C.raw_json(df, skip=(ROW_INDEX, "source_file")))
+    numeric = {*rules.get("non_negative", []), *rules.get("range", {})}.intersection(df.columns)
+    df = df.withColumns({_number(n): C.to_float(F.col(n)) for n in sorted(numeric)})
+
     required = [_missing(n, C.first_present(df, n)) for n in rules["required"]]
     other = _format_checks(df, rules)
+    # As the result of a generator, the verdict is computed once per row. As a plain column it
+    # would be copied, checks and all, into every filter on it, which makes code so large that
+    # the JVM only interprets it.
+    verdict = F.explode(F.array(~(_any(required) | _any(other))))
     tagged = (
-        df.withColumn("raw_data", C.raw_json(df, skip=(ROW_INDEX, "source_file")))
-        .withColumn("is_valid", ~(_any(required) | _any(other)))
+        df.select("*", verdict.alias("is_valid"))
         .withColumn("_missing", _failures(required))
         .withColumn("_failed", F.when(F.size("_missing") > 0, F.col("_missing"))
                     .otherwise(_failures(other)))
         .withColumn("error_codes", F.col("_failed.code"))
         .withColumn("error_details", F.array_join(F.col("_failed.detail"), "; "))
     )
-    return Validated(tagged.drop("_missing", "_failed"))
+    return Validated(tagged.drop("_missing", "_failed", *[_number(n) for n in numeric]))
