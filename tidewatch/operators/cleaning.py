@@ -39,8 +39,9 @@ class Cleaned:
         )
 
 
-def _with_raw(df: DataFrame) -> DataFrame:
-    return df.withColumn("raw_data", C.raw_json(df, skip=SKIPPED_IN_RAW))
+def _with_raw(df: DataFrame, *parsed: str) -> DataFrame:
+    """Add the row as JSON; `parsed` helper columns are not part of it."""
+    return df.withColumn("raw_data", C.raw_json(df, skip=(*SKIPPED_IN_RAW, *parsed)))
 
 
 def _trimmed(df: DataFrame, names: Sequence[str], change=lambda c: c) -> DataFrame:
@@ -61,10 +62,14 @@ def clean_workforce(df: DataFrame) -> Cleaned:
     Errors: invalid_date, hours_out_of_range (scheduled outside 0..24).
     """
     df = C.require_columns(C.normalize_columns(df), V.WORKFORCE_REQUIRED)
-    df = _with_raw(dedup(df, ["employee_id", "date"]))
     given = set(df.columns)
+    # Parsed below the dedup, a date is computed once; above it, every filter on the date
+    # would carry a copy of the parsing.
+    df = df.withColumn("_date", C.to_day(F.col("date")))
+    df = _with_raw(dedup(df, ["employee_id", "date"]), "_date").drop("date").withColumnRenamed(
+        "_date", "date")
 
-    df = df.withColumn("date", C.to_day(F.col("date"))).withColumns(
+    df = df.withColumns(
         {c: C.coerce_numeric(F.col(c)) for c in V.WORKFORCE_NUMERIC if c in given}
     )
     scheduled = F.col("scheduled_hours")
@@ -90,12 +95,14 @@ def clean_tickets(df: DataFrame, as_of: str) -> Cleaned:
     Error: invalid_created_at.
     """
     df = C.require_columns(C.normalize_columns(df), V.TICKET_REQUIRED)
-    df = _with_raw(dedup(df, ["ticket_id"]))
     now = F.lit(as_of).cast("timestamp_ntz")
+    times = {"_created": C.to_moment(F.col("created_at")),
+             "_resolved": _as(df, "resolved_at", C.to_moment)}
+    df = _with_raw(dedup(df.withColumns(times), ["ticket_id"]), *times)  # parsed once, see above
 
+    df = df.drop("created_at", "resolved_at").withColumnsRenamed(
+        {"_created": "created_at", "_resolved": "resolved_at"})
     df = df.withColumns({
-        "created_at": C.to_moment(F.col("created_at")),
-        "resolved_at": _as(df, "resolved_at", C.to_moment),
         "priority": C.standardize_enum(F.col("priority"), V.PRIORITIES, "medium"),
         "status": C.standardize_enum(F.col("status"), V.STATUSES, "open"),
         "sentiment_score": _as(df, "sentiment_score", C.coerce_numeric),

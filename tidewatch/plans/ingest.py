@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from tidewatch.operators import cleaning, dimensions, loading
-from tidewatch.operators.validation import validate
+from tidewatch.operators.validation import Validated, validate
 from tidewatch.sources import readers
 from tidewatch.sources.warehouse import Warehouse
 
@@ -68,8 +69,6 @@ def ingest_records(
     """
     tagged = validate(feed, dataset).tagged.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        from tidewatch.operators.validation import Validated
-
         checked = Validated(tagged)
         record = loading.run_record(
             checked.totals(), run_id, "csv", source_name, dataset, started_at, threshold)
@@ -87,8 +86,11 @@ def ingest_records(
         tagged.unpersist()
 
 
-def _replace(store: Warehouse, table: str, existing: DataFrame, new_state) -> None:
-    """Write the new state beside the table first, since it is computed from the table."""
+def _replace(store: Warehouse, table: str, new_state: DataFrame) -> None:
+    """Write the new state beside the table first, since it is computed from the table.
+
+    The copy stays until the next run, so the state survives a failure between the two writes.
+    """
     staged = f"{table}_next"
     store.overwrite(staged, new_state)
     store.overwrite(table, store.read(staged))
@@ -97,13 +99,15 @@ def _replace(store: Warehouse, table: str, existing: DataFrame, new_state) -> No
 def _load_records(store: Warehouse, valid: DataFrame, dataset: str) -> None:
     if dataset == "employee":
         new = cleaning.clean_employees(valid).drop("row_index", "source_file")
-        new = new.withColumn("employee_key", dimensions.member_key("employee_code")).withColumn(
-            "updated_at", _now())
+        new = new.withColumns({
+            "employee_key": dimensions.member_key("employee_code"),
+            "updated_at": F.current_timestamp().cast("timestamp_ntz"),
+        })
         existing = store.read("dim_employee_record")
         if existing is None:
             store.append("dim_employee_record", new)
         else:
-            _replace(store, "dim_employee_record", existing, loading.upsert_employees(existing, new))
+            _replace(store, "dim_employee_record", loading.upsert_employees(existing, new))
     elif dataset == "operations":
         records = cleaning.clean_operations_records(valid).drop("row_index", "source_file")
         dim_date = store.read("dim_date")
@@ -124,8 +128,7 @@ def _load_records(store: Warehouse, valid: DataFrame, dataset: str) -> None:
         if existing is None:
             store.append("fact_ticket_record", new)
         else:
-            _replace(store, "fact_ticket_record", existing,
-                     loading.upsert_ticket_records(existing, new))
+            _replace(store, "fact_ticket_record", loading.upsert_ticket_records(existing, new))
     elif dataset == "market_signal":
         records = cleaning.clean_signal_records(valid).drop("row_index", "source_file")
         dim_date = store.read("dim_date")
@@ -135,9 +138,3 @@ def _load_records(store: Warehouse, valid: DataFrame, dataset: str) -> None:
         store.append("fact_signal_record", loading.resolve_signals(records, dim_date))
     else:
         raise ValueError(f"unknown dataset {dataset}")
-
-
-def _now():
-    from pyspark.sql import functions as F
-
-    return F.current_timestamp().cast("timestamp_ntz")
