@@ -142,6 +142,16 @@ def hours_between(start: Column, end: Column) -> Column:
     return micros_between(start, end) / F.lit(3_600_000_000.0)
 
 
+def utc_instant(moment: Column) -> Column:
+    """A zone-free timestamp as the instant it names in UTC, whatever the session zone."""
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return F.timestamp_micros(micros_between(epoch, moment))
+
+
+def utc_day(instant: Column) -> Column:
+    return F.date_from_unix_date(F.floor(F.unix_micros(instant) / 86_400_000_000).cast("int"))
+
+
 # --- text and flags ----------------------------------------------------------
 def standardize_enum(c: Column, allowed: Sequence[str], default: str) -> Column:
     """Trimmed lower case; anything outside the list, NULL too, becomes the default."""

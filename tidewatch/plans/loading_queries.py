@@ -502,7 +502,7 @@ def stream_daily_volume(spark, sf_dir):
     """Days that closed; the last ones stay open until the watermark passes them."""
     landing, out = work_dir(spark, "ticket-facts"), work_dir(spark, "daily-volume")
     rows = facts.ticket_facts(spark, sf_dir).select(
-        F.expr("cast(created_at as timestamp)").alias("created_at"), "priority")
+        C.utc_instant(F.col("created_at")).alias("created_at"), "priority")
     rows.write.parquet(landing)
     stream = spark.readStream.schema(rows.schema).parquet(landing)
     streams.daily_ticket_volume(stream).writeStream.format("parquet").option(

@@ -97,15 +97,19 @@ def first_tickets(stream: DataFrame, delay: str) -> DataFrame:
 
     State is bounded by `delay`; an older repeat is caught by the `left_anti` on load.
     """
-    created = C.to_moment(F.col("created_at")).cast("timestamp")
+    created = C.utc_instant(C.to_moment(F.col("created_at")))
     return stream.withColumn("created_at", created).withWatermark(
         "created_at", delay).dropDuplicatesWithinWatermark(["ticket_id"])
 
 
 def daily_ticket_volume(tickets: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Tickets per creation day as a stream; a day is emitted once it can no longer change."""
+    """Tickets per creation day as a stream; a day is emitted once it can no longer change.
+
+    Watermarks need instants, so `created_at` is one here (`columns.utc_instant`). Day windows
+    start at midnight UTC, and the date is taken in UTC as well.
+    """
     day = F.window("created_at", "1 day")
     return tickets.withWatermark("created_at", delay).groupBy(day).agg(
         F.count("*").alias("ticket_count"),
         F.count_if(F.col("priority") == "critical").alias("critical_count"),
-    ).select(F.col("window.start").cast("date").alias("date"), "ticket_count", "critical_count")
+    ).select(C.utc_day(F.col("window.start")).alias("date"), "ticket_count", "critical_count")
