@@ -4,7 +4,7 @@ from importlib import import_module
 
 from tidewatch.llm.common import ORACLES, QUERIES
 
-MODULES = ["exact_dedup", "sharding"]
+MODULES = ["exact_dedup", "ngram_join", "sharding"]
 
 for _name in MODULES:
     import_module(f"tidewatch.llm.{_name}")
