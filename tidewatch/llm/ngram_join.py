@@ -2,15 +2,16 @@
 
 1. Every text becomes its set of shingle hashes; equal sets are one class (`set_id`, a 64-bit
    hash of the set), so exact copies meet nowhere below.
-2. All shingles have one order: those that are frequent somewhere last (a sketch of all documents in
-   2**SKETCH_BITS cells says which), else by hash. Two linked sets share a key among their first
-   n - ceil(0.8 n) + 1, so blocks of equal keys hold every linked pair.
-3. Joining round: blocks of the FIRST_KEYS first keys, large ones in chunks that share one
+2. All shingles have one order: those that are frequent last, then those of frequent words, then by
+   hash; sketches of all documents, of a fixed number of cells, say how frequent. Two linked sets share a
+   key among their first n - ceil(0.8 n) + 1, so blocks of equal keys hold every linked pair.
+3. Joining round: blocks of the FIRST_KEYS least hashes, large ones in chunks that share one
    set. Within a chunk a signature tree gives candidates, exact sets decide, and only
    links between what is not yet connected are looked at: groups of copies cost their size, not its square.
-4. Closing round: blocks of all keys, as far as they hold more than one component. Signature trees
-   over the bitmaps alone give the pairs that may link two components; those are decided exactly, the
-   most similar of each two components first, the rest only where these are still apart.
+4. Closing round: blocks of all keys, as far as they hold more than one component. Sizes, the places of the
+   shared key and the bitmaps, in signature trees where the block is large, give the pairs that may link
+   two components; those are decided exactly, the most similar of each two components first, the
+   rest only where these are still apart.
 
 Nothing is skipped: a pair is left undecided only if its documents are already connected.
 """
@@ -29,9 +30,9 @@ from pyspark.sql.pandas.types import to_arrow_type
 from tidewatch.llm import signature_tree
 from tidewatch.llm.common import materialise, query, table
 from tidewatch.llm.components import connected_components
-from tidewatch.llm.shingles import PERCENT, WIDTH, WordHashes, linked, shingle_set
+from tidewatch.llm.shingles import PERCENT, WIDTH, blocks, linked, shingle_sets
 
-SKETCH_BITS = 20
+SKETCH_BITS, WORD_BITS = 20, 16
 #: A task reports a cell that holds more than this, plus 4 times its mean cell.
 SKETCH_FLOOR = 8
 FIRST_KEYS = 2
@@ -41,11 +42,15 @@ CHUNK_SETS, CHUNK_SHINGLES = 1024, 2_000_000
 FIRST_PAIRS = 8
 #: Documents up to which a list of ids is broadcast (16 bytes each); longer lists are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Sets of a block whose pairs are listed as they are; larger blocks go through signature trees.
+SMALL_BLOCK = 32
+#: Rows of one key that a task holds at once.
+HELD_ROWS = 2048
 
 
 def _texts(batches: Iterator[pa.RecordBatch]):
     for batch in batches:
-        yield batch, batch.column(batch.schema.get_field_index("text")).to_pylist()
+        yield batch, batch.column(batch.schema.get_field_index("text"))
 
 
 def _signed(number: int) -> int:
@@ -56,65 +61,89 @@ def _set_id(found: np.ndarray) -> int:
     return _signed(xxhash.xxh3_64_intdigest(found.tobytes()))
 
 
+def _cells(hashes: np.ndarray, bits: int) -> np.ndarray:
+    return (hashes >> np.uint64(64 - bits)).astype(np.int64)
+
+
+_FIRST = ["doc_id", "n", "set_id", "words", "cell", "count"]
+
+
 def _sets(width: int, id_type: pa.DataType):
-    """Per document n and set_id; per task the cells of its frequent shingles."""
-    names = ["doc_id", "n", "set_id", "cell", "count"]
+    """Per document n and set_id; per task its words by cell, and the cells of its frequent shingles."""
 
-    def run(batches):
-        cache, counts = WordHashes(), np.zeros(1 << SKETCH_BITS, np.int64)
-        for batch, texts in _texts(batches):
-            sets = [shingle_set(text, cache, width) for text in texts]
-            if sets:
-                cells = (np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
-                counts += np.bincount(cells, minlength=len(counts))
-            columns = [
-                batch.column(0),
-                pa.array([len(s) for s in sets], pa.int64()),
-                pa.array([_set_id(s) for s in sets], pa.int64()),
-                pa.nulls(len(sets), pa.int32()),
-                pa.nulls(len(sets), pa.int64()),
-            ]
-            yield pa.record_batch(columns, names)
-        cells = np.nonzero(counts > SKETCH_FLOOR + 4 * counts.mean())[0]
+    def tallies(counts, cells, words):
         none = pa.nulls(len(cells), pa.int64())
         columns = [
             pa.nulls(len(cells), id_type),
             none,
             none,
+            pa.array([words] * len(cells), pa.bool_()),
             pa.array(cells, pa.int32()),
             pa.array(counts[cells], pa.int64()),
         ]
-        yield pa.record_batch(columns, names)
+        return pa.record_batch(columns, _FIRST)
+
+    def run(batches):
+        shingles, words = np.zeros(1 << SKETCH_BITS, np.int64), np.zeros(1 << WORD_BITS, np.int64)
+        for batch, texts in _texts(batches):
+            sets = []
+            for _, hashes, _ in blocks(texts):
+                words += np.bincount(_cells(hashes, WORD_BITS), minlength=len(words))
+            for found, _ in shingle_sets(texts, width):
+                sets.append((len(found), _set_id(found)))
+                np.add.at(shingles, _cells(found, SKETCH_BITS), 1)
+            columns = [
+                batch.column(0),
+                pa.array([n for n, _ in sets], pa.int64()),
+                pa.array([i for _, i in sets], pa.int64()),
+                pa.nulls(len(sets), pa.bool_()),
+                pa.nulls(len(sets), pa.int32()),
+                pa.nulls(len(sets), pa.int64()),
+            ]
+            yield pa.record_batch(columns, _FIRST)
+        yield tallies(words, np.nonzero(words)[0], True)
+        yield tallies(shingles, np.nonzero(shingles > SKETCH_FLOOR + 4 * shingles.mean())[0], False)
 
     return run
 
 
-def _prefixes(levels, width: int, percent: int):
-    """Once for each set and task: its first keys in the common order, and its bitmap."""
+def _prefixes(order, width: int, percent: int):
+    """Once for each set and task: keys of both rounds, and the bitmap.
+
+    `first` has the FIRST_KEYS least hashes, `keys` the prefix in the common order: frequent
+    shingles last, then those of frequent words, then by hash.
+    """
 
     def run(batches):
-        cache, seen, level = WordHashes(), set(), levels.value
+        seen, (levels, weights) = set(), order.value
         for _, texts in _texts(batches):
             rows = []
-            for text in texts:
-                found = shingle_set(text, cache, width)
+            for found, heavy in shingle_sets(texts, width, weights):
                 set_id = _set_id(found)
                 if not len(found) or set_id in seen:
                     continue
                 seen.add(set_id)
                 n = len(found)
-                keys = n - -(-percent * n // 100) + 1
-                of = level[(found >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-                first = found[np.argsort(of, kind="stable")[:keys]] if of.any() else found[:keys]
-                rows.append((set_id, n, first.view(np.int64), signature_tree.bitmap(found).tobytes()))
-            ids, sizes, keys, maps = zip(*rows) if rows else ((), (), (), ())
+                level = levels[_cells(found, SKETCH_BITS)]
+                place = np.lexsort((found, heavy, level))[: n - -(-percent * n // 100) + 1]
+                rows.append(
+                    (
+                        set_id,
+                        n,
+                        found[:FIRST_KEYS].view(np.int64),
+                        found[place].view(np.int64),
+                        signature_tree.bitmap(found).tobytes(),
+                    )
+                )
+            ids, sizes, first, keys, maps = zip(*rows) if rows else ((), (), (), (), ())
             columns = [
                 pa.array(ids, pa.int64()),
                 pa.array(sizes, pa.int64()),
+                pa.array(list(first), pa.list_(pa.int64())),
                 pa.array(list(keys), pa.list_(pa.int64())),
                 pa.array(maps, pa.binary()),
             ]
-            yield pa.record_batch(columns, ["set_id", "n", "keys", "bitmap"])
+            yield pa.record_batch(columns, ["set_id", "n", "first", "keys", "bitmap"])
 
     return run
 
@@ -123,20 +152,16 @@ def _hashes(width: int):
     """The set of each wanted document, once for each set and task."""
 
     def run(batches):
-        cache, seen = WordHashes(), set()
+        seen = set()
         for batch, texts in _texts(batches):
             wanted = batch.column(batch.schema.get_field_index("set_id")).to_pylist()
             at, sets = [], []
-            for i, (text, set_id) in enumerate(zip(texts, wanted)):
-                if set_id in seen:
-                    continue
-                found = shingle_set(text, cache, width)
-                if _set_id(found) == set_id:  # not so where other rows share the id
-                    seen.add(set_id)
+            for i, (found, _) in enumerate(shingle_sets(texts, width)):
+                if wanted[i] not in seen and _set_id(found) == wanted[i]:  # other rows may share the id
+                    seen.add(wanted[i])
                     at.append(i)
                     sets.append(found.view(np.int64))
-            kept = batch.take(pa.array(at, pa.int64()))
-            kept = kept.drop_columns(["text"])
+            kept = batch.take(pa.array(at, pa.int64())).drop_columns(["text"])
             yield kept.append_column("hashes", pa.array(sets, pa.list_(pa.int64())))
 
     return run
@@ -205,25 +230,137 @@ def _joined(percent: int):
 _PAIR = "a long, b long, n_a long, n_b long, label_a long, label_b long, most double"
 
 
+_MEETING = "key long, a long, b long, n_a long, n_b long, label_a long, label_b long"
+
+
+def _feasible(n, place, percent: int):
+    """Matrix of pairs whose sizes, and places of the shared key, allow a link.
+
+    Of two linked sets' common keys take the first: nothing before it is common, so they share at
+    most what follows it. At other common keys a pair may fail here, at that one it can't.
+    """
+    needed = signature_tree.needed(n[:, None], n[None, :], percent)
+    after = n - place
+    most = np.minimum(after[:, None], after[None, :])
+    return np.minimum(most, np.minimum(n[:, None], n[None, :])) >= needed
+
+
+def _meetings(percent: int):
+    """From postings sorted by key: pairs from different components in blocks of up to SMALL_BLOCK
+    sets, members of larger blocks. Of a block of any size only HELD_ROWS rows are held."""
+
+    def small(key, ids, label, n, place):
+        if len(ids) > HELD_ROWS // 2:
+            return key, ids, None, n, None, label, None
+        many = len(ids) > SMALL_BLOCK
+        good = _feasible(n, place, percent) & (label[:, None] != label[None, :])
+        if many:
+            at = np.nonzero(good.any(axis=1))[0]
+            return key, ids[at], None, n[at], None, label[at], None
+        a, b = np.nonzero(np.triu(good, 1))
+        return key, ids[a], ids[b], n[a], n[b], label[a], label[b]
+
+    def rows(found):
+        out = []
+        for key, a, b, n_a, n_b, l_a, l_b in found:
+            none = pa.nulls(len(a), pa.int64())
+            columns = [np.full(len(a), key), a, b, n_a, n_b, l_a, l_b]
+            columns = [none if c is None else pa.array(c.astype(np.int64)) for c in columns]
+            out.append(pa.record_batch(columns, [c.split()[0] for c in _MEETING.split(", ")]))
+        return pa.Table.from_batches(out).combine_chunks().to_batches() if out else []
+
+    def run(batches):
+        held, large = None, None  # rows of the last key so far; a key whose block is large
+        for batch in batches:
+            now = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
+            now = now if held is None else [np.concatenate(x) for x in zip(held, now)]
+            found = []
+            if large is not None and (more := now[0] == large).any():
+                found.append((large, now[1][more], None, now[3][more], None, now[2][more], None))
+                now = [c[~more] for c in now]
+            key, ids, label, n, place = now
+            if not len(key):
+                yield from rows(found)
+                continue
+            cuts = np.concatenate([[0], np.nonzero(key[1:] != key[:-1])[0] + 1])
+            tail = cuts[-1]
+            sizes = np.diff(cuts)
+            two = cuts[:-1][sizes == 2]
+            if len(two):
+                x, y = two, two + 1
+                needed = signature_tree.needed(n[x], n[y], percent)
+                most = np.minimum(np.minimum(n[x] - place[x], n[y] - place[y]), np.minimum(n[x], n[y]))
+                good = (label[x] != label[y]) & (most >= needed)
+                x, y = x[good], y[good]
+                found.append((0, ids[x], ids[y], n[x], n[y], label[x], label[y]))
+            for start, size in zip(cuts[:-1][sizes > 2], sizes[sizes > 2]):
+                at = slice(start, start + size)
+                if (label[at] != label[start]).any():
+                    found.append(small(key[start], ids[at], label[at], n[at], place[at]))
+            held = [c[tail:] for c in now]
+            if len(held[0]) > HELD_ROWS:
+                large = held[0][0]
+                found.append((large, held[1], None, held[3], None, held[2], None))
+                held = [c[:0] for c in now]
+            yield from rows(found)
+        if held is not None and len(held[0]) > 1:
+            key, ids, label, n, place = held
+            yield from rows([small(key[0], ids, label, n, place)])
+
+    return run
+
+
+_PAIR = "a long, b long, n_a long, n_b long, label_a long, label_b long, most double"
+
+
+def _pairs(ids_a, ids_b, n_a, n_b, label_a, label_b, most) -> pa.RecordBatch:
+    swap = ids_a > ids_b
+    a, b, n_a, n_b, label_a, label_b = (
+        np.where(swap, x, y)
+        for x, y in (
+            (ids_b, ids_a), (ids_a, ids_b), (n_b, n_a), (n_a, n_b), (label_b, label_a), (label_a, label_b)
+        )
+    )
+    names = [c.split()[0] for c in _PAIR.split(", ")]
+    return pa.record_batch([pa.array(c) for c in (a, b, n_a, n_b, label_a, label_b, most)], names)
+
+
+def _bounded(percent: int):
+    """Pairs with both bitmaps: those that pass the bound, and the similarity it allows."""
+
+    def run(batches):
+        for batch in batches:
+            get = lambda c: batch.column(batch.schema.get_field_index(c))
+            maps = zip(get("map_a").to_pylist(), get("map_b").to_pylist())
+            numbers = [get(c).to_numpy() for c in ("a", "b", "n_a", "n_b", "label_a", "label_b")]
+            n_a, n_b = numbers[2], numbers[3]
+            most = np.zeros(len(n_a), np.int64)
+            for k, pair in enumerate(maps):
+                x, y = (np.frombuffer(m, np.uint64) for m in pair)
+                x, y = (signature_tree.folded(m, min(len(x), len(y))) for m in (x, y))
+                lacks_x, lacks_y = np.bitwise_count(x & ~y).sum(), np.bitwise_count(y & ~x).sum()
+                most[k] = min(n_a[k] - int(lacks_x), n_b[k] - int(lacks_y))
+            good = most >= signature_tree.needed(n_a, n_b, percent)
+            numbers = [c[good] for c in numbers]
+            yield _pairs(*numbers, (most / (n_a + n_b - most))[good])
+
+    return run
+
+
 def _contested(percent: int):
-    """Pairs of sets from two components that pass the bound, and the similarity it allows."""
+    """Blocks with bitmaps: pairs of sets from two components that pass the bound."""
 
     def run(batches):
         for rows in _runs(batches, ["key", "part"]):
-            ids, sizes, label, side = (
-                rows.column(c).to_numpy() for c in ("set_id", "n", "label", "side")
-            )
-            maps = [np.frombuffer(b, np.uint64) for b in rows.column("bitmap").to_pylist()]
+            ids, at = np.unique(rows.column("set_id").to_numpy(), return_index=True)
+            sizes, label, side = (rows.column(c).to_numpy()[at] for c in ("n", "label", "side"))
+            bitmaps = rows.column("bitmap").take(pa.array(at))
+            maps = [np.frombuffer(b, np.uint64) for b in bitmaps.to_pylist()]
             for a, b, most in signature_tree.similar_pairs(sizes, maps, label, percent):
                 if side.any() and not side.all():  # two chunks of a large block
                     across = side[a] != side[b]
                     a, b, most = a[across], b[across], most[across]
-                swap = ids[a] > ids[b]
-                a, b = np.where(swap, b, a), np.where(swap, a, b)
-                columns = [ids[a], ids[b], sizes[a], sizes[b], label[a], label[b], most]
-                yield pa.record_batch(
-                    [pa.array(c) for c in columns], [c.split()[0] for c in _PAIR.split(", ")]
-                )
+                yield _pairs(ids[a], ids[b], sizes[a], sizes[b], label[a], label[b], most)
 
     return run
 
@@ -274,30 +411,28 @@ class _Exact:
 
 
 def _first_blocks(prefixes: DataFrame) -> DataFrame:
-    """key, chunk, set_id of the first keys that several sets share.
+    """key, chunk, set_id: each set at the first of its least hashes that another set shares.
 
     The sets of a large block are dealt to chunks; its least set is in each, so that chunks of one
     group of copies connect.
     """
-    postings = prefixes.select(
-        "set_id", "n", F.explode(F.slice("keys", 1, FIRST_KEYS)).alias("key")
-    )
+    postings = prefixes.select("set_id", "n", F.posexplode("first").alias("place", "key"))
     share = F.greatest(F.count("*") / CHUNK_SETS, F.sum("n") / CHUNK_SHINGLES)
     shared = (
         postings.groupBy("key")
         .agg(
-            F.min("set_id").alias("first"),
+            F.min("set_id").alias("least"),
             F.max("set_id").alias("last"),
             F.ceil(share).cast("long").alias("chunks"),
         )
-        .filter("first < last")
+        .filter("least < last")
     )
+    best = F.min(F.struct("place", "key", "least", "chunks")).alias("best")
+    block = postings.join(shared, "key").groupBy("set_id").agg(best).select("set_id", "best.*")
     chunk = F.pmod(F.xxhash64("set_id"), F.col("chunks"))
     everywhere = F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)
-    places = F.when(F.col("set_id") == F.col("first"), everywhere).otherwise(F.array(chunk))
-    return (
-        postings.join(shared, "key").select("key", F.explode(places).alias("chunk"), "set_id").distinct()
-    )
+    places = F.when(F.col("set_id") == F.col("least"), everywhere).otherwise(F.array(chunk))
+    return block.select("key", F.explode(places).alias("chunk"), "set_id")
 
 
 def _contested_pairs(prefixes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
@@ -307,22 +442,38 @@ def _contested_pairs(prefixes: DataFrame, labels: DataFrame, percent: int) -> Da
     labelled = prefixes.join(F.broadcast(labels) if few else labels, "set_id", "left").withColumn(
         "label", F.coalesce("label", "set_id")
     )
-    postings = labelled.select("set_id", "label", F.explode("keys").alias("key"))
-    shared = (
-        postings.groupBy("key")
-        .agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("sets"))
-        .filter("low < high")
-        .select("key", F.ceil(F.col("sets") / CHUNK_SETS).cast("long").alias("chunks"))
+    postings = (
+        labelled.select("set_id", "label", "n", F.posexplode("keys").alias("place", "key"))
+        .repartition("key")
+        .sortWithinPartitions("key")
     )
-    members = postings.select("key", "set_id").join(shared, "key").distinct()
-    payload = labelled.groupBy("set_id").agg(
-        *(F.first(c).alias(c) for c in ("n", "label", "bitmap"))
+    met = materialise(
+        postings.select("key", "set_id", "label", "n", "place").mapInArrow(_meetings(percent), _MEETING),
+        "ngram-meetings",
     )
-    chunk = F.pmod(F.xxhash64("set_id"), F.col("chunks"))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))
+    pair = ["a", "b", "n_a", "n_b", "label_a", "label_b"]
+    near = materialise(met.filter("b is not null").select(pair).distinct(), "ngram-near")
+    members = met.filter("b is null").select("key", F.col("a").alias("set_id")).distinct()
+    members = materialise(members, "ngram-members")
+
+    ids = members.select("set_id").union(near.select("a")).union(near.select("b")).distinct()
+    ids = materialise(ids, "ngram-ids")
+    few = ids.count() <= BROADCAST_IDS
+    payload = materialise(
+        labelled.join(F.broadcast(ids) if few else ids, "set_id")
+        .groupBy("set_id")
+        .agg(*(F.first(c).alias(c) for c in ("n", "label", "bitmap"))),
+        "ngram-payload",
+    )
+    maps = [payload.select(F.col("set_id").alias(c), F.col("bitmap").alias(f"map_{c}")) for c in "ab"]
+    small = near.join(maps[0], "a").join(maps[1], "b").mapInArrow(_bounded(percent), _PAIR)
+
+    chunks = members.groupBy("key").agg(F.ceil(F.count("*") / CHUNK_SETS).cast("long").alias("chunks"))
+    places = F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)
     placed = (
-        members.withColumn("chunk", chunk)
-        .withColumn("other", other)
+        members.join(chunks, "key")
+        .withColumn("chunk", F.pmod(F.xxhash64("set_id"), F.col("chunks")))
+        .withColumn("other", F.explode(places))
         .select(
             "key",
             (F.least("chunk", "other") * F.col("chunks") + F.greatest("chunk", "other")).alias("part"),
@@ -333,11 +484,22 @@ def _contested_pairs(prefixes: DataFrame, labels: DataFrame, percent: int) -> Da
         .repartition("key", "part")
         .sortWithinPartitions("key", "part")
     )
-    pairs = placed.mapInArrow(_contested(percent), _PAIR)
-    rest = [c.split()[0] for c in _PAIR.split(", ")][2:]
-    return materialise(
-        pairs.groupBy("a", "b").agg(*(F.first(c).alias(c) for c in rest)), "ngram-contested"
+    large = placed.mapInArrow(_contested(percent), _PAIR)
+    pairs = small.union(large).groupBy(*pair).agg(F.first("most").alias("most"))
+    return materialise(pairs, "ngram-contested")
+
+
+def _logs(first: DataFrame, words: bool, bits: int) -> np.ndarray:
+    """1 + the whole logarithm of each cell's count: at most 2**bits short rows come to the driver."""
+    counts = (
+        first.filter((F.col("words") == words) & F.col("cell").isNotNull())
+        .groupBy("cell")
+        .agg(F.sum("count").alias("count"))
+        .toArrow()
     )
+    logs = np.zeros(1 << bits, np.uint8)
+    logs[counts["cell"].to_numpy()] = 1 + np.log2(counts["count"].to_numpy()).astype(np.uint8)
+    return logs
 
 
 def near_duplicates(
@@ -362,7 +524,7 @@ def near_duplicates(
     first = materialise(
         rows.mapInArrow(
             _sets(width, to_arrow_type(id_type)),
-            f"doc_id {id_type.simpleString()}, n long, set_id long, cell int, count long",
+            f"doc_id {id_type.simpleString()}, n long, set_id long, words boolean, cell int, count long",
         ),
         "ngram-sets",
     )
@@ -371,14 +533,11 @@ def near_duplicates(
         documents.filter("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("least")),
         "ngram-classes",
     )
-    # At most 2**SKETCH_BITS rows of two numbers reach the driver, and as many bytes go out again.
-    hot = first.filter("cell is not null").groupBy("cell").agg(F.sum("count").alias("count")).toArrow()
-    levels = np.zeros(1 << SKETCH_BITS, np.uint8)
-    levels[hot["cell"].to_numpy()] = 1 + np.log2(hot["count"].to_numpy()).astype(np.uint8)
-    levels = spark.sparkContext.broadcast(levels)
+    order = spark.sparkContext.broadcast((_logs(first, False, SKETCH_BITS), _logs(first, True, WORD_BITS)))
     prefixes = materialise(
         rows.mapInArrow(
-            _prefixes(levels, width, percent), "set_id long, n long, keys array<long>, bitmap binary"
+            _prefixes(order, width, percent),
+            "set_id long, n long, first array<long>, keys array<long>, bitmap binary",
         ),
         "ngram-prefixes",
     )

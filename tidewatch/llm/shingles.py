@@ -1,28 +1,37 @@
-"""Word shingles as sets of 64-bit hashes, in numpy, for use inside tasks."""
+"""Word shingles as sets of 64-bit hashes, in numpy on Arrow buffers, for use inside tasks.
+
+A word's hash is a polynomial of a random number for each of its bytes, so the words of many texts
+are hashed at once from one cumulative sum, without an object for each word.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import xxhash
+import pyarrow as pa
 
 #: Words per shingle and the similarity from which texts are near duplicates, in percent.
 WIDTH, PERCENT = 5, 80
 
-#: Entries of a task's cache of word hashes; words beyond it are hashed at each occurrence.
-CACHED_WORDS = 400_000
+#: Bytes of text that are hashed together; a longer text goes alone.
+BLOCK_BYTES = 1 << 20
 
 _rng = np.random.default_rng(20240501)
+_BYTE = _rng.integers(1, 2**63, size=256, dtype=np.uint64)
+_BYTE[ord("A") : ord("Z") + 1] = _BYTE[ord("a") : ord("z") + 1]
+_BLANK = np.zeros(256, bool)
+_BLANK[[0x20, *range(0x09, 0x0E)]] = True
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
 _FACTORS = _rng.integers(1, 2**63, size=64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-class WordHashes(dict):
-    """Word to 64-bit hash, kept for the words seen first."""
-
-    def __missing__(self, word: bytes) -> int:
-        found = xxhash.xxh3_64_intdigest(word)
-        if len(self) < CACHED_WORDS:
-            self[word] = found
-        return found
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.ones(n, np.uint64)
+    if n > 1:
+        out[1:] = np.uint64(base)
+    return np.multiply.accumulate(out)
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -31,26 +40,87 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def shingle_set(text: str | None, cache: WordHashes, width: int = WIDTH) -> np.ndarray:
-    """Sorted distinct hashes of the text's `width`-word shingles.
+def _spans(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """UTF-8 bytes of a string column, and the offsets of its texts in them; NULL is empty."""
+    column = column.cast(pa.large_string()).fill_null("")
+    _, offsets, data = column.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
+    return data, offsets
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of texts that lie one after the other, and each text's first word."""
+    data, offsets = data[offsets[0] : offsets[-1]], offsets - offsets[0]
+    if not len(data):
+        return np.empty(0, np.uint64), np.zeros(len(offsets), np.int64)
+    solid = ~_BLANK[data]
+    starts, ends = solid.copy(), solid.copy()
+    starts[1:] &= ~solid[:-1]
+    ends[:-1] &= ~solid[1:]
+    inner = offsets[(offsets > 0) & (offsets < len(data))]
+    starts[inner] = solid[inner]
+    ends[inner - 1] = solid[inner - 1]
+    first, last = np.nonzero(starts)[0], np.nonzero(ends)[0]
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTE[data] * _powers(_BASE, len(data)), out=total[1:])
+    value = (total[last + 1] - total[first]) * _powers(_INVERSE, len(data))[first]
+    return _mix(value + (last - first).astype(np.uint64)), np.searchsorted(first, offsets)
+
+
+def blocks(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(index of the first text, word hashes, first words) for runs of texts of about BLOCK_BYTES."""
+    data, offsets = _spans(column)
+    at = 0
+    while at < len(column):
+        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + BLOCK_BYTES, "right")) - 1)
+        yield at, *word_hashes(data, offsets[at : end + 1])
+        at = end
+
+
+def shingles_of(hashes: np.ndarray, width: int) -> np.ndarray:
+    """At each word the hash of the `width` words from it on, whichever text they are of."""
+    total = np.zeros(max(0, len(hashes) - width + 1), np.uint64)
+    for i in range(width):
+        total += hashes[i : len(hashes) - width + 1 + i] * _FACTORS[i % 64]
+    return _mix(total)
+
+
+def shingle_sets(
+    column: pa.Array, width: int = WIDTH, weights: np.ndarray | None = None
+) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
+    """For each text the sorted distinct hashes of its shingles, and their weights.
 
-    Words are runs without ASCII white space, A-Z in lower case. A text with fewer words has one
-    shingle, all its words; without words, or NULL, it has none.
+    Words are runs without ASCII white space, A-Z in lower case. A text with fewer words than
+    `width` has one shingle, all its words; without words, or NULL, it has none. `weights` has a
+    number for each cell of words (a power of two of cells); a shingle's is the sum over its words.
     """
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    hashes = np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
-    n = min(width, len(hashes))
-    if n < width:
-        hashes = hashes + np.uint64(n)  # a short text is no shingle of a longer one
-    with np.errstate(over="ignore"):
-        total = np.zeros(len(hashes) - n + 1, np.uint64)
-        for i in range(n):
-            total += hashes[i : len(hashes) - n + 1 + i] * _FACTORS[i % 64]
-        return np.unique(_mix(total))
+    shift = np.uint64(64 - len(weights).bit_length() + 1) if weights is not None else None
+    for _, hashes, first in blocks(column):
+        full = shingles_of(hashes, width)
+        heavy = None
+        if weights is not None:
+            each = np.concatenate([[0], np.cumsum(weights[(hashes >> shift).astype(np.int64)])])
+            heavy = (each[width:] - each[:-width])[: len(full)]
+        for start, end in zip(first, first[1:]):
+            if end - start >= width:
+                own = full[start : end - width + 1]
+                order = np.argsort(own) if heavy is not None else None
+                own = own[order] if heavy is not None else np.sort(own)
+                fresh = np.ones(len(own), bool)
+                fresh[1:] = own[1:] != own[:-1]
+                yield own[fresh], heavy[start : end - width + 1][order][fresh] if heavy is not None else None
+            elif end > start:
+                own = hashes[start:end] + np.uint64(end - start)  # no shingle of a longer text
+                whole = shingles_of(own, end - start)
+                yield whole, each[end : end + 1] - each[start] if heavy is not None else None
+            else:
+                yield np.empty(0, np.uint64), np.empty(0) if heavy is not None else None
 
 
 def linked(x: np.ndarray, y: np.ndarray, percent: int = PERCENT) -> bool:
-    common = len(np.intersect1d(x, y, assume_unique=True))
+    """x and y sorted and distinct."""
+    both = np.concatenate([x, y])
+    both.sort(kind="stable")
+    common = int((both[1:] == both[:-1]).sum())
     return 100 * common >= percent * (len(x) + len(y) - common)
