@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -38,8 +38,6 @@ SKETCH_FLOOR = 8
 FIRST_KEYS = 2
 #: Sets, and shingles, of a chunk of a large block.
 CHUNK_SETS, CHUNK_SHINGLES = 1024, 2_000_000
-#: Pairs of two components that are decided before the others.
-FIRST_PAIRS = 8
 #: Documents up to which a list of ids is broadcast (16 bytes each); longer lists are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Sets of a block whose pairs are listed as they are; larger blocks go through signature trees.
@@ -348,7 +346,10 @@ def _bounded(percent: int):
 
 
 def _contested(percent: int):
-    """Blocks with bitmaps: pairs of sets from two components that pass the bound."""
+    """Blocks with bitmaps: pairs of sets from two components that pass the bound.
+
+    Sets that share several large blocks are a pair in the one of the least key only.
+    """
 
     def run(batches):
         for rows in _runs(batches, ["key", "part"]):
@@ -356,7 +357,13 @@ def _contested(percent: int):
             sizes, label, side = (rows.column(c).to_numpy()[at] for c in ("n", "label", "side"))
             bitmaps = rows.column("bitmap").take(pa.array(at))
             maps = [np.frombuffer(b, np.uint64) for b in bitmaps.to_pylist()]
+            key = rows.column("key")[0].as_py()
+            sooner = [
+                {k for k in keys if k < key} for keys in rows.column("large").take(pa.array(at)).to_pylist()
+            ]
             for a, b, most in signature_tree.similar_pairs(sizes, maps, label, percent):
+                here = np.fromiter((sooner[x].isdisjoint(sooner[y]) for x, y in zip(a, b)), bool, len(a))
+                a, b, most = a[here], b[here], most[here]
                 if side.any() and not side.all():  # two chunks of a large block
                     across = side[a] != side[b]
                     a, b, most = a[across], b[across], most[across]
@@ -481,6 +488,7 @@ def _contested_pairs(prefixes: DataFrame, labels: DataFrame, percent: int) -> Da
             "set_id",
         )
         .join(payload, "set_id")
+        .join(members.groupBy("set_id").agg(F.collect_set("key").alias("large")), "set_id")
         .repartition("key", "part")
         .sortWithinPartitions("key", "part")
     )
@@ -545,26 +553,20 @@ def near_duplicates(
     labels = connected_components(exact.links_in_blocks(_first_blocks(prefixes)))
 
     pairs = _contested_pairs(prefixes, labels, percent)
-    by_components = Window.partitionBy(
-        F.least("label_a", "label_b"), F.greatest("label_a", "label_b")
-    ).orderBy(F.desc("most"), "a", "b")
-    ranked = materialise(
-        pairs.withColumn("first", F.row_number().over(by_components) <= FIRST_PAIRS), "ngram-ranked"
-    )
     edges = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
-    for sooner in (True, False):
-        chosen = ranked.filter("first" if sooner else "not first")
-        if not sooner:
-            ends = [
-                labels.select(F.col("node").alias(c), F.col("label").alias(f"now_{c}")) for c in "ab"
-            ]
-            chosen = chosen.join(ends[0], "a", "left").join(ends[1], "b", "left")
-            apart = F.coalesce("now_a", "a") != F.coalesce("now_b", "b")
-            chosen = materialise(chosen.filter(apart).drop("now_a", "now_b"), "ngram-rest")
-        if chosen.isEmpty():
-            continue
-        edges = edges.union(exact.links_of_pairs(chosen).select("a", "b"))
+    ends = (F.least("label_a", "label_b"), F.greatest("label_a", "label_b"))
+    best = pairs.groupBy(*ends).agg(F.max(F.struct("most", "a", "b", "n_a", "n_b")).alias("best"))
+    sooner = materialise(best.select("best.*"), "ngram-sooner")
+    if not sooner.isEmpty():
+        edges = edges.union(exact.links_of_pairs(sooner).select("a", "b"))
         labels = connected_components(edges)
+        now = [labels.select(F.col("node").alias(c), F.col("label").alias(f"now_{c}")) for c in "ab"]
+        apart = F.coalesce("now_a", "a") != F.coalesce("now_b", "b")
+        later = pairs.join(sooner, ["a", "b"], "left_anti").join(now[0], "a", "left").join(now[1], "b", "left")
+        later = materialise(later.filter(apart).select("a", "b", "n_a", "n_b"), "ngram-later")
+        if not later.isEmpty():
+            edges = edges.union(exact.links_of_pairs(later).select("a", "b"))
+            labels = connected_components(edges)
 
     joined = classes.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn(
         "label", F.coalesce("label", "set_id")

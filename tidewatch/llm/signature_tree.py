@@ -1,6 +1,6 @@
 """Signature trees: OR-combined bitmaps and size ranges over sets, joined by dual traversal.
 
-A set's bitmap has a power of two of bits, at least 8 for each element, one set for each hash. Bits of x
+A set's bitmap has a power of two of bits, at least 4 for each element, one set for each hash. Bits of x
 that y lacks are elements that y lacks, so |x & y| <= |x| - popcount(x and not y). A node holds the OR
 of its members' bitmaps, their least and greatest size, and their greatest surplus of elements over bits;
 for two nodes no pair of members can share more than
@@ -13,7 +13,7 @@ from __future__ import annotations
 import numpy as np
 
 LEAF, FANOUT = 32, 8
-LEAST_BITS, BITS_EACH, MOST_BITS = 64, 8, 1 << 18
+LEAST_BITS, BITS_EACH, MOST_BITS = 64, 4, 1 << 18
 
 
 def bitmap(hashes: np.ndarray) -> np.ndarray:
