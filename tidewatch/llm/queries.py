@@ -4,7 +4,7 @@ from importlib import import_module
 
 from tidewatch.llm.common import ORACLES, QUERIES
 
-MODULES = ["exact_dedup", "ngram_join", "sharding"]
+MODULES = ["exact_dedup", "line_dedup", "ngram_join", "permutation_index", "sharding", "tokens"]
 
 for _name in MODULES:
     import_module(f"tidewatch.llm.{_name}")

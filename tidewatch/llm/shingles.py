@@ -49,12 +49,9 @@ def _spans(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of texts that lie one after the other, and each text's first word."""
-    data, offsets = data[offsets[0] : offsets[-1]], offsets - offsets[0]
-    if not len(data):
-        return np.empty(0, np.uint64), np.zeros(len(offsets), np.int64)
-    solid = ~_BLANK[data]
+def find_words(data: np.ndarray, offsets: np.ndarray, blank: np.ndarray = _BLANK):
+    """First and last byte of each word of texts that lie one after the other, and each text's first word."""
+    solid = ~blank[data]
     starts, ends = solid.copy(), solid.copy()
     starts[1:] &= ~solid[:-1]
     ends[:-1] &= ~solid[1:]
@@ -62,22 +59,46 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     starts[inner] = solid[inner]
     ends[inner - 1] = solid[inner - 1]
     first, last = np.nonzero(starts)[0], np.nonzero(ends)[0]
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * _powers(_BASE, len(data)), out=total[1:])
-    value = (total[last + 1] - total[first]) * _powers(_INVERSE, len(data))[first]
-    return _mix(value + (last - first).astype(np.uint64)), np.searchsorted(first, offsets)
+    return first, last, np.searchsorted(first, offsets)
 
 
-def blocks(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(index of the first text, word hashes, first words) for runs of texts of about BLOCK_BYTES."""
+class ByteSums:
+    """Hashes of any spans of `data`, from one cumulative sum; ASCII letters in lower case."""
+
+    def __init__(self, data: np.ndarray):
+        self.total = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(_BYTE[data] * _powers(_BASE, len(data)), out=self.total[1:])
+        self.back = _powers(_INVERSE, len(data))
+
+    def hashes(self, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+        value = (self.total[end] - self.total[first]) * self.back[first]
+        return _mix(value + (end - first).astype(np.uint64))
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of texts that lie one after the other, and each text's first word."""
+    if not len(data):
+        return np.empty(0, np.uint64), np.zeros(len(offsets), np.int64)
+    first, last, at = find_words(data, offsets)
+    return ByteSums(data).hashes(first, last + 1), at
+
+
+def byte_blocks(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(index of the first text, bytes, offsets) for runs of texts of about BLOCK_BYTES."""
     data, offsets = _spans(column)
     at = 0
     while at < len(column):
         end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + BLOCK_BYTES, "right")) - 1)
-        yield at, *word_hashes(data, offsets[at : end + 1])
+        yield at, data[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at]
         at = end
 
 
+def blocks(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(index of the first text, word hashes, first words) for runs of texts."""
+    for at, data, offsets in byte_blocks(column):
+        yield at, *word_hashes(data, offsets)
+
+
 def shingles_of(hashes: np.ndarray, width: int) -> np.ndarray:
     """At each word the hash of the `width` words from it on, whichever text they are of."""
     total = np.zeros(max(0, len(hashes) - width + 1), np.uint64)
