@@ -40,9 +40,9 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _spans(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """UTF-8 bytes of a string column, and the offsets of its texts in them; NULL is empty."""
-    column = column.cast(pa.large_string()).fill_null("")
+def spans(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of a string or binary column, and the offsets of its values in them; NULL is empty."""
+    column = column.cast(pa.large_binary()).fill_null(b"")
     _, offsets, data = column.buffers()
     offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
     data = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
@@ -68,7 +68,7 @@ class ByteSums:
     def __init__(self, data: np.ndarray):
         self.total = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(_BYTE[data] * _powers(_BASE, len(data)), out=self.total[1:])
-        self.back = _powers(_INVERSE, len(data))
+        self.back = _powers(_INVERSE, len(data) + 1)
 
     def hashes(self, first: np.ndarray, end: np.ndarray) -> np.ndarray:
         value = (self.total[end] - self.total[first]) * self.back[first]
@@ -85,7 +85,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 
 def byte_blocks(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(index of the first text, bytes, offsets) for runs of texts of about BLOCK_BYTES."""
-    data, offsets = _spans(column)
+    data, offsets = spans(column)
     at = 0
     while at < len(column):
         end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + BLOCK_BYTES, "right")) - 1)

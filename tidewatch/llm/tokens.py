@@ -1,10 +1,11 @@
 """Encoding by a table of distinct words, decoding by a table of pieces.
 
 Words are what lies between single blanks: no pre-token crosses such a blank, so a text's ids are the
-ids of its words, one after the other. Texts are dealt to blocks. Each block's distinct words are dealt to
-buckets by their hash, so a word of any number of blocks is in one bucket, where it is encoded once.
-The bucket answers each block with the ids of its words in the order of the question, and the block
-joins them to its words, and the words to their texts, by position.
+ids of its words, one after the other. Each task deals its texts to blocks and turns a block into its
+distinct words and, for each text, their places. The distinct words are dealt to buckets by their hash, so
+a word of any number of blocks is in one bucket, where it is encoded once. The bucket answers
+each block with its words' ids in the order of the question, and the block joins them to its texts by
+position. Blocks and buckets meet by the same key in one shuffle, which carries no text.
 """
 
 from __future__ import annotations
@@ -15,11 +16,14 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tidewatch.llm.common import query, table, text_or_empty
+from tidewatch.llm.shingles import ByteSums, spans
 
 #: Bytes of text in a block.
 BLOCK_BYTES = 8 << 20
@@ -37,25 +41,47 @@ def public_vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def words_keeping_blanks(text: str) -> list[str]:
-    """Words with the blank before them, for byte-level vocabularies; put together they are the text."""
-    if "  " in text or not _plain(text):
-        return _BREAK.split(text) if text else []
-    first, *rest = text.split(" ")
-    return [first, *[" " + w for w in rest]]
+def _awkward(word: str) -> bool:
+    return not word or word[0].isspace() or word[-1].isspace()
 
 
-def _plain(text: str) -> bool:
-    """No blank touches other white space or an end of the text."""
-    return not (text[:1].isspace() or text[-1:].isspace() or _TOUCHING.search(text))
+def distinct_words(column: pa.Array, keep_blanks: bool) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Distinct words of some texts, the places of all words in that list, and each text's first word.
 
-
-_TOUCHING = re.compile(r"[^\S ] | [^\S ]")
-
-
-def words_without_blanks(text: str) -> list[str]:
-    """For vocabularies that drop white space."""
-    return [w for w in text.split(" ") if w]
+    With keep_blanks (byte-level vocabularies) the words put together are the text: each but the
+    first has the blank before it, and a blank that touches other white space or an end of the text
+    ends no word. Otherwise blanks are dropped, as those vocabularies drop all white space.
+    """
+    pieces = pc.split_pattern(column, " ")
+    coded = pieces.flatten().dictionary_encode()
+    words, at = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    count = pc.list_value_length(pieces).to_numpy(zero_copy_only=False).astype(np.int64)
+    plain = words.to_pylist()
+    if not keep_blanks:
+        solid = np.array([bool(w) for w in plain], bool)[at]
+        text = np.repeat(np.arange(len(column)), count)[solid]
+        return words, at[solid], np.searchsorted(text, np.arange(len(column) + 1))
+    first = np.concatenate([[0], np.cumsum(count)])
+    awkward = np.array([_awkward(w) for w in plain], bool)[at]
+    through = np.concatenate([[0], np.cumsum(awkward)])
+    slow = through[first[1:]] > through[first[:-1]]
+    # A text's first word has no blank before it; awkward texts are split at their breaks.
+    own: dict[str, int] = {}
+    parts: list[np.ndarray] = []
+    for i in range(len(column)):
+        a, b = first[i], first[i + 1]
+        if slow[i]:
+            found = [w for w in _BREAK.split(column[i].as_py()) if w]
+            parts.append(np.array([own.setdefault(w, len(own)) for w in found], np.int64) + len(plain))
+        else:
+            part = at[a:b].copy()
+            part[0] = own.setdefault(plain[part[0]], len(own)) + len(plain)
+            parts.append(part)
+    blank = pc.binary_join_element_wise(pa.scalar(""), words, " ")
+    everything = pa.concat_arrays([blank, pa.array(own.keys(), pa.string())])
+    places = np.concatenate([np.empty(0, np.int64), *parts])
+    used, places = np.unique(places, return_inverse=True)
+    return everything.take(pa.array(used)), places, np.concatenate([[0], np.cumsum([len(x) for x in parts])])
 
 
 class Vocabulary:
@@ -67,7 +93,7 @@ class Vocabulary:
             self.file = f.read()
         described = json.loads(self.file)
         kept = described.get("normalizer") is None and described["pre_tokenizer"]["type"] == "ByteLevel"
-        self.words = words_keeping_blanks if kept else words_without_blanks
+        self.keep_blanks = kept
         ids = {**described["model"]["vocab"], **{t["content"]: t["id"] for t in described["added_tokens"]}}
         self.size = max(ids.values()) + 1
         self.id_bytes = 2 if self.size <= 1 << 16 else 4
@@ -101,81 +127,145 @@ def _byte_of_character() -> dict[str, int]:
     return table | {chr(256 + i): b for i, b in enumerate(others)}
 
 
-def _ordered(words: list[str], buckets: int) -> dict[int, list[str]]:
-    """Distinct words by bucket, in the order that question and answer share."""
-    by_bucket: dict[int, list[str]] = {}
-    for word in sorted(words):
-        by_bucket.setdefault(xxhash.xxh3_64_intdigest(word) % buckets, []).append(word)
-    return by_bucket
-
-
-def _questions(split, buckets: int):
-    """For each block and bucket the block's distinct words."""
+def _boxed(**columns) -> bytes:
+    """Columns of one table, compressed."""
+    table = pa.table(columns)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=_PRESSED) as writer:
+        writer.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _unboxed(box: bytes) -> pa.Table:
+    return pa.ipc.open_stream(box).read_all()
+
+
+_PRESSED = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))
+_QUESTION, _TEXTS = 0, 1
+
+
+def _slices(column: pa.Array):
+    """Ranges of texts of about BLOCK_BYTES."""
+    ends = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < len(column):
+        before = ends[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(ends, before + BLOCK_BYTES)))
+        yield start, min(end, len(column))
+        start = end
+
+
+def _asked(keep_blanks: bool, buckets: int):
+    """For each block its texts as places in its list of distinct words, and that list by bucket."""
+    names = ["key", "kind", "block", "bucket", "mark", "box"]
+
+    def block(ids: pa.Array, texts: pa.Array, number: int):
+        words, places, first = distinct_words(texts, keep_blanks)
+        data, offsets = spans(words)
+        of = ByteSums(data).hashes(offsets[:-1], offsets[1:]) if len(data) else np.zeros(len(words), np.uint64)
+        of = (of % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(of, kind="stable")
+        rank = np.empty(len(order), np.uint32)
+        rank[order] = np.arange(len(order), dtype=np.uint32)
+        words, of = words.take(pa.array(order)), of[order]
+        cuts = np.concatenate([[0], np.nonzero(of[1:] != of[:-1])[0] + 1, [len(of)]]) if len(of) else [0]
+        box = _boxed(
+            doc=pa.array([_boxed(id=ids)], pa.binary()),
+            words=pa.array([rank[places].tobytes()], pa.binary()),
+            first=pa.array([first.astype(np.int64).tobytes()], pa.binary()),
+        )
+        rows = [(number, _TEXTS, number, 0, 0, box)]
+        for a, b in zip(cuts, cuts[1:]):
+            own = words.slice(a, b - a)
+            rows.append((int(of[a]), _QUESTION, number, int(of[a]), b - a, _boxed(words=own)))
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+        return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
     def run(batches):
-        distinct: dict[int, set] = {}
+        number = TaskContext.get().partitionId() << 32
+        ids, texts, held = [], [], 0
         for batch in batches:
-            blocks = batch.column(0).to_pylist()
-            for block, text in zip(blocks, batch.column(1).to_pylist()):
-                distinct.setdefault(block, set()).update(split(text))
-        for block, words in distinct.items():
-            by_bucket = _ordered(list(words), buckets)
-            columns = [
-                pa.array(by_bucket.keys(), pa.int32()),
-                pa.array([block] * len(by_bucket), pa.int32()),
-                pa.array(by_bucket.values(), pa.list_(pa.string())),
-            ]
-            yield pa.record_batch(columns, ["bucket", "block", "words"])
+            column = batch.column(1).cast(pa.large_string())
+            for a, b in _slices(column):
+                ids.append(batch.column(0).slice(a, b - a))
+                texts.append(column.slice(a, b - a))
+                held += pc.sum(pc.binary_length(texts[-1])).as_py() or 0
+                if held >= BLOCK_BYTES:
+                    yield block(pa.concat_arrays(ids), pa.concat_arrays(texts).cast(pa.string()), number)
+                    ids, texts, held, number = [], [], 0, number + 1
+        if ids:
+            yield block(pa.concat_arrays(ids), pa.concat_arrays(texts).cast(pa.string()), number)
 
     return run
 
 
 def _answers(file, dtype: str):
     """A bucket's words, each encoded once; for each block the ids of its words in its order."""
+    names = ["block", "bucket", "mark", "box"]
 
-    def run(questions: pa.Table) -> pa.Table:
+    def run(rows):
+        rows = rows.filter(pc.equal(rows.column("kind"), _QUESTION))
         tokenizer = _tokenizer(file.value)
-        words = questions.column("words").combine_chunks()
-        lengths = np.diff(words.offsets.to_numpy())
-        coded = words.flatten().dictionary_encode()
-        distinct, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        asked = [_unboxed(box).column("words").combine_chunks() for box in rows.column("box").to_pylist()]
+        lengths = [len(words) for words in asked]
+        coded = pa.concat_arrays(asked or [pa.array([], pa.string())]).dictionary_encode()
+        distinct, at = coded.dictionary, coded.indices.to_numpy()
         ids = []
         for i in range(0, len(distinct), WORDS_AT_ONCE):
-            part = tokenizer.encode_batch_fast(distinct[i : i + WORDS_AT_ONCE], add_special_tokens=False)
+            part = distinct.slice(i, WORDS_AT_ONCE).to_pylist()
+            part = tokenizer.encode_batch_fast(part, add_special_tokens=False)
             ids += [np.array(e.ids, dtype).tobytes() for e in part]
-        counts, raw = [], []
-        for own in np.split(at, np.cumsum(lengths)[:-1]):
-            found = [ids[j] for j in own]
-            counts.append(np.fromiter(map(len, found), np.uint32, len(found)).tobytes())
-            raw.append(b"".join(found))
-        columns = [
-            questions.column("block"),
-            questions.column("bucket"),
-            pa.chunked_array([pa.array(counts, pa.binary())]),
-            pa.chunked_array([pa.array(raw, pa.binary())]),
-        ]
-        return pa.table(columns, ["block", "bucket", "counts", "ids"])
+        ids = pa.array(ids, pa.binary())
+        boxes, start = [], 0
+        for n in lengths:
+            found = ids.take(pa.array(at[start : start + n]))
+            data, offsets = spans(found)
+            counts = np.diff(offsets)
+            small = np.uint8 if counts.max(initial=0) < 256 else np.uint32
+            boxes.append(
+                _boxed(
+                    counts=pa.array([counts.astype(small).tobytes()], pa.binary()),
+                    small=pa.array([small is np.uint8]),
+                    ids=pa.array([data[offsets[0] : offsets[-1]].tobytes()], pa.binary()),
+                )
+            )
+            start += n
+        columns = [rows.column(c) for c in names[:3]]
+        return pa.table([*columns, pa.chunked_array([pa.array(boxes, pa.binary())])], names)
 
     return run
 
 
-def _joined(split, buckets: int, keep: list[str]):
+def _joined(dtype: str, id_type: pa.DataType):
     """Ids of each text of a block: its words' ids by position."""
 
-    def run(_, texts: pa.Table, answers: pa.Table) -> pa.Table:
-        words = [split(t) for t in texts.column("__text").to_pylist()]
-        by_bucket = _ordered(list(set().union(*words)) if words else [], buckets)
-        known: dict[str, bytes] = {}
-        rows = zip(*(answers.column(c).to_pylist() for c in ("bucket", "counts", "ids")))
-        for bucket, counts, ids in rows:
-            ends = np.cumsum(np.frombuffer(counts, np.uint32), dtype=np.int64).tolist()
-            start = 0
-            for word, end in zip(by_bucket[bucket], ends):
-                known[word] = ids[start:end]
-                start = end
-        found = [b"".join([known[w] for w in text]) for text in words]
-        columns = [texts.column(c) for c in keep] + [pa.chunked_array([pa.array(found, pa.binary())])]
-        return pa.table(columns, [*keep, "ids"])
+    def run(_, rows, answers):
+        texts = rows.filter(pc.equal(rows.column("kind"), _TEXTS))
+        out = [pa.table([pa.array([], id_type), pa.array([], pa.binary())], ["doc_id", "ids"])]
+        for number, box in zip(texts.column("block").to_pylist(), texts.column("box").to_pylist()):
+            own = answers.filter(pc.equal(answers.column("block"), number)).sort_by("bucket")
+            counts, ids = [np.empty(0, np.int64)], []
+            for mark, answer in zip(own.column("mark").to_pylist(), own.column("box").to_pylist()):
+                table = _unboxed(answer)
+                small = np.uint8 if table["small"][0].as_py() else np.uint32
+                counts.append(np.frombuffer(table["counts"][0].as_py(), small).astype(np.int64))
+                if len(counts[-1]) != mark:
+                    raise ValueError("question and answer differ: the input's rows were not in a stable order")
+                ids.append(table["ids"][0].as_py())
+            width = np.dtype(dtype).itemsize
+            counts = np.concatenate(counts) // width
+            ids, starts = np.frombuffer(b"".join(ids), dtype), np.concatenate([[0], np.cumsum(counts)])
+            table = _unboxed(box)
+            words = np.frombuffer(table["words"][0].as_py(), np.uint32).astype(np.int64)
+            first = np.frombuffer(table["first"][0].as_py(), np.int64)
+            lengths = counts[words]
+            ends = np.concatenate([[0], np.cumsum(lengths)])
+            flat = ids[np.arange(ends[-1]) + np.repeat(starts[words] - ends[:-1], lengths)].tobytes()
+            cut = ends[first] * width
+            docs = _unboxed(table["doc"][0].as_py()).column("id")
+            found = [flat[a:b] for a, b in zip(cut, cut[1:])]
+            out.append(pa.table([docs, pa.chunked_array([pa.array(found, pa.binary())])], ["doc_id", "ids"]))
+        return pa.concat_tables(out)
 
     return run
 
@@ -184,7 +274,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     """id and `ids`: each text's token ids, little-endian unsigned, as the tokenizers library gives
     them with add_special_tokens=False, without truncation and padding.
 
-    An id takes `Vocabulary(path).id_bytes` bytes. NULL counts as empty; an empty text has no ids.
+    The input's rows must come in a stable order within their partitions, as from files. An id takes `Vocabulary(path).id_bytes` bytes. NULL counts as empty; an empty text has no ids.
     Long texts, repeated rows and NULL ids are rows like any other; an empty table gives none; other
     columns are ignored.
     """
@@ -192,23 +282,23 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     vocabulary = Vocabulary(path)
     text = text_or_empty(text_col)
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text).cast("long")), F.lit(0))).first()[0]
-    blocks = max(1, -(-size // BLOCK_BYTES))
-    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("__text"))
-    rows = rows.withColumn(
-        "__block", F.pmod(F.xxhash64("doc_id", "__text"), F.lit(blocks)).cast("int")
-    ).repartition(blocks, "__block")
+    buckets = max(1, -(-size // BLOCK_BYTES))
+    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
+    kind = rows.schema["doc_id"].dataType
     file = spark.sparkContext.broadcast(vocabulary.file)
-    questions = rows.select("__block", "__text").mapInArrow(
-        _questions(vocabulary.words, blocks), "bucket int, block int, words array<string>"
+    asked = rows.mapInArrow(
+        _asked(vocabulary.keep_blanks, buckets),
+        "key long, kind int, block long, bucket long, mark long, box binary",
     )
-    answers = questions.groupBy("bucket").applyInArrow(
-        _answers(file, vocabulary.dtype), "block int, bucket int, counts binary, ids binary"
+    answers = asked.groupBy("key").applyInArrow(
+        _answers(file, vocabulary.dtype), "block long, bucket long, mark long, box binary"
     )
-    kind = rows.schema["doc_id"].dataType.simpleString()
     return (
-        rows.groupBy("__block")
+        asked.groupBy("key")
         .cogroup(answers.groupBy("block"))
-        .applyInArrow(_joined(vocabulary.words, blocks, ["doc_id"]), f"doc_id {kind}, ids binary")
+        .applyInArrow(
+            _joined(vocabulary.dtype, to_arrow_type(kind)), f"doc_id {kind.simpleString()}, ids binary"
+        )
     )
 
 
