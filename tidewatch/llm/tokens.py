@@ -23,12 +23,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from tidewatch.llm.common import query, table, text_or_empty
-from tidewatch.llm.shingles import ByteSums, spans
+from tidewatch.llm.shingles import ByteSums, byte_blocks, spans
 
 #: Bytes of text in a block.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: Distinct words that go to the tokenizer at once.
 WORDS_AT_ONCE = 4096
+#: Texts that are decoded at once.
+ROWS_AT_ONCE = 256
 
 #: A blank that ends a word: what stands on either side is no white space, so it is a run by itself.
 _BREAK = re.compile(r"(?<=\S)(?= \S)")
@@ -54,8 +56,9 @@ def distinct_words(column: pa.Array, keep_blanks: bool) -> tuple[pa.Array, np.nd
     """
     pieces = pc.split_pattern(column, " ")
     coded = pieces.flatten().dictionary_encode()
-    words, at = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    words, at = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
     count = pc.list_value_length(pieces).to_numpy(zero_copy_only=False).astype(np.int64)
+    del pieces, coded
     plain = words.to_pylist()
     if not keep_blanks:
         solid = np.array([bool(w) for w in plain], bool)[at]
@@ -72,16 +75,18 @@ def distinct_words(column: pa.Array, keep_blanks: bool) -> tuple[pa.Array, np.nd
         a, b = first[i], first[i + 1]
         if slow[i]:
             found = [w for w in _BREAK.split(column[i].as_py()) if w]
-            parts.append(np.array([own.setdefault(w, len(own)) for w in found], np.int64) + len(plain))
+            parts.append(np.array([own.setdefault(w, len(own)) for w in found], np.int32) + len(plain))
         else:
             part = at[a:b].copy()
             part[0] = own.setdefault(plain[part[0]], len(own)) + len(plain)
             parts.append(part)
     blank = pc.binary_join_element_wise(pa.scalar(""), words, " ")
     everything = pa.concat_arrays([blank, pa.array(own.keys(), pa.string())])
-    places = np.concatenate([np.empty(0, np.int64), *parts])
-    used, places = np.unique(places, return_inverse=True)
-    return everything.take(pa.array(used)), places, np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+    places = np.concatenate([np.empty(0, np.int32), *parts])
+    used = np.zeros(len(everything), bool)
+    used[places] = True
+    places = (np.cumsum(used, dtype=np.int32) - 1)[places]
+    return everything.filter(pa.array(used)), places, np.concatenate([[0], np.cumsum([len(x) for x in parts])])
 
 
 class Vocabulary:
@@ -140,7 +145,7 @@ def _unboxed(box: bytes) -> pa.Table:
     return pa.ipc.open_stream(box).read_all()
 
 
-_PRESSED = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))
+_PRESSED = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))
 _QUESTION, _TEXTS = 0, 1
 
 
@@ -161,8 +166,8 @@ def _asked(keep_blanks: bool, buckets: int):
 
     def block(ids: pa.Array, texts: pa.Array, number: int):
         words, places, first = distinct_words(texts, keep_blanks)
-        data, offsets = spans(words)
-        of = ByteSums(data).hashes(offsets[:-1], offsets[1:]) if len(data) else np.zeros(len(words), np.uint64)
+        hashes = [ByteSums(data).hashes(ends[:-1], ends[1:]) for _, data, ends in byte_blocks(words)]
+        of = np.concatenate([np.empty(0, np.uint64), *hashes])
         of = (of % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(of, kind="stable")
         rank = np.empty(len(order), np.uint32)
@@ -302,6 +307,11 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     )
 
 
+def _small(batches):
+    for batch in batches:
+        yield from (batch.slice(i, ROWS_AT_ONCE) for i in range(0, batch.num_rows, ROWS_AT_ONCE))
+
+
 def _decoded(vocabulary: Vocabulary):
     """Bytes of each id, one after the other, and where each id's begin."""
     byte, pieces = _byte_of_character(), [b""] * vocabulary.size
@@ -311,7 +321,7 @@ def _decoded(vocabulary: Vocabulary):
     flat, dtype = np.frombuffer(b"".join(pieces), np.uint8), vocabulary.dtype
 
     def run(batches):
-        for batch in batches:
+        for batch in _small(batches):
             texts = []
             for raw in batch.column(batch.schema.get_field_index("ids")).to_pylist():
                 ids = np.frombuffer(raw or b"", dtype)
@@ -324,14 +334,18 @@ def _decoded(vocabulary: Vocabulary):
     return run
 
 
-def decode(encoded: DataFrame, path: str) -> DataFrame:
+def decode(encoded: DataFrame, path: str, then=None, schema: str | None = None) -> DataFrame:
     """`encoded` with `decoded`, the text of its `ids`: each id is joined to its piece.
 
     Byte-level vocabularies only. The table of pieces is fixed with the vocabulary and goes to the tasks
     whole; bytes that are no UTF-8 become replacement characters. NULL or empty ids give an empty text.
+    `then`, a function over the resulting Arrow batches, runs in the same task and gives `schema`.
     """
+    decoded = _decoded(Vocabulary(path))
+    if then is not None:
+        return encoded.mapInArrow(lambda batches: then(decoded(batches)), schema)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
-    return encoded.mapInArrow(_decoded(Vocabulary(path)), fields + ", decoded string")
+    return encoded.mapInArrow(decoded, fields + ", decoded string")
 
 
 def _digests(dtype: str):
@@ -342,13 +356,14 @@ def _digests(dtype: str):
 
     def run(batches):
         for batch in batches:
-            counts, digests = [], []
-            for raw in batch.column(1).to_pylist():
+            counts, digests, texts = [], [], []
+            for raw, text in zip(batch.column("ids").to_pylist(), batch.column("decoded").to_pylist()):
                 ids = np.frombuffer(raw, dtype)
                 counts.append(len(ids))
                 joined = ",".join(decimal[ids]) if dtype == "<u2" else ",".join(map(str, ids.tolist()))
                 digests.append(sha256(joined.encode()).hexdigest())
-            columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(digests), batch.column(2)]
+                texts.append(sha256(text.encode()).hexdigest())
+            columns = [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(digests), pa.array(texts)]
             yield pa.record_batch(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return run
@@ -357,8 +372,9 @@ def _digests(dtype: str):
 @query("op3_bpe")
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_vocabulary("byte_bpe_50k.json")
-    both = decode(encode(table(spark, sf_dir, "documents"), path), path)
-    return both.select("doc_id", "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("sha")).mapInArrow(
+    return decode(
+        encode(table(spark, sf_dir, "documents"), path),
+        path,
         _digests(Vocabulary(path).dtype),
         "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string",
     )
