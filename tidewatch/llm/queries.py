@@ -4,7 +4,7 @@ from importlib import import_module
 
 from tidewatch.llm.common import ORACLES, QUERIES
 
-MODULES = ["exact_dedup", "line_dedup", "ngram_join", "packing", "permutation_index", "sharding", "tokens", "toxicity"]
+MODULES = ["exact_dedup", "line_dedup", "ngram_join", "packing", "permutation_index", "pii", "quality", "sharding", "tokens", "toxicity"]
 
 for _name in MODULES:
     import_module(f"tidewatch.llm.{_name}")
