@@ -42,13 +42,18 @@ CHUNK_SETS, CHUNK_SHINGLES = 1024, 2_000_000
 BROADCAST_IDS = 1_000_000
 #: Sets of a block whose pairs are listed as they are; larger blocks go through signature trees.
 SMALL_BLOCK = 32
+#: Texts whose sets a task holds at once.
+ROWS_AT_ONCE = 512
 #: Rows of one key that a task holds at once.
 HELD_ROWS = 2048
 
 
 def _texts(batches: Iterator[pa.RecordBatch]):
-    for batch in batches:
-        yield batch, batch.column(batch.schema.get_field_index("text"))
+    """Batches of at most ROWS_AT_ONCE rows, and their texts."""
+    for whole in batches:
+        for start in range(0, whole.num_rows, ROWS_AT_ONCE):
+            batch = whole.slice(start, ROWS_AT_ONCE)
+            yield batch, batch.column(batch.schema.get_field_index("text"))
 
 
 def _signed(number: int) -> int:
@@ -128,7 +133,7 @@ def _prefixes(order, width: int, percent: int):
                     (
                         set_id,
                         n,
-                        found[:FIRST_KEYS].view(np.int64),
+                        found[:FIRST_KEYS].copy().view(np.int64),
                         found[place].view(np.int64),
                         signature_tree.bitmap(found).tobytes(),
                     )
