@@ -47,15 +47,27 @@ def _awkward(word: str) -> bool:
     return not word or word[0].isspace() or word[-1].isspace()
 
 
-def distinct_words(column: pa.Array, keep_blanks: bool) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+def _lower(words: pa.Array) -> pa.Array:
+    """A-Z in lower case, but for words that may hold a special token's name."""
+    return pc.if_else(pc.match_substring(words, "<|"), words, pc.ascii_lower(words))
+
+
+def distinct_words(
+    column: pa.Array, keep_blanks: bool, lower: bool = False
+) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Distinct words of some texts, the places of all words in that list, and each text's first word.
 
     With keep_blanks (byte-level vocabularies) the words put together are the text: each but the
     first has the blank before it, and a blank that touches other white space or an end of the text
-    ends no word. Otherwise blanks are dropped, as those vocabularies drop all white space.
+    ends no word. Otherwise blanks are dropped, as those vocabularies drop all white space, and line
+    feeds end words, too. `lower` is for vocabularies that lower all letters.
     """
+    if not keep_blanks:
+        column = pc.replace_substring(column, "\n", " ")
     pieces = pc.split_pattern(column, " ")
-    coded = pieces.flatten().dictionary_encode()
+    words = pieces.flatten()
+    coded = (_lower(words) if lower else words).dictionary_encode()
+    del words
     words, at = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
     count = pc.list_value_length(pieces).to_numpy(zero_copy_only=False).astype(np.int64)
     del pieces, coded
@@ -99,6 +111,7 @@ class Vocabulary:
         described = json.loads(self.file)
         kept = described.get("normalizer") is None and described["pre_tokenizer"]["type"] == "ByteLevel"
         self.keep_blanks = kept
+        self.lower = not kept and "Lowercase" in json.dumps(described.get("normalizer"))
         ids = {**described["model"]["vocab"], **{t["content"]: t["id"] for t in described["added_tokens"]}}
         self.size = max(ids.values()) + 1
         self.id_bytes = 2 if self.size <= 1 << 16 else 4
@@ -160,12 +173,12 @@ def _slices(column: pa.Array):
         start = end
 
 
-def _asked(keep_blanks: bool, buckets: int):
+def _asked(keep_blanks: bool, lower: bool, buckets: int):
     """For each block its texts as places in its list of distinct words, and that list by bucket."""
     names = ["key", "kind", "block", "bucket", "mark", "box"]
 
     def block(ids: pa.Array, texts: pa.Array, number: int):
-        words, places, first = distinct_words(texts, keep_blanks)
+        words, places, first = distinct_words(texts, keep_blanks, lower)
         hashes = [ByteSums(data).hashes(ends[:-1], ends[1:]) for _, data, ends in byte_blocks(words)]
         of = np.concatenate([np.empty(0, np.uint64), *hashes])
         of = (of % np.uint64(buckets)).astype(np.int64)
@@ -292,7 +305,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     kind = rows.schema["doc_id"].dataType
     file = spark.sparkContext.broadcast(vocabulary.file)
     asked = rows.mapInArrow(
-        _asked(vocabulary.keep_blanks, buckets),
+        _asked(vocabulary.keep_blanks, vocabulary.lower, buckets),
         "key long, kind int, block long, bucket long, mark long, box binary",
     )
     answers = asked.groupBy("key").applyInArrow(

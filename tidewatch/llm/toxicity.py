@@ -181,17 +181,22 @@ def _log_odds(toxic, other, prior, n_toxic, n_other, all_prior):
     return np.log(a / (n_toxic + all_prior - a)) - np.log(b / (n_other + all_prior - b))
 
 
-def _rate(scores: np.ndarray) -> float:
+def _rate(scores: np.ndarray, counts: np.ndarray) -> float:
     """Positive root of mean(exp(rate * score)) = 1, with one more word of the highest score."""
     scores = np.append(scores, max(scores.max(initial=0.0), 1.0))
-    if scores.mean() >= 0:
+    share = np.append(counts, 1.0) / (counts.sum() + 1)
+
+    def excess(rate):
+        return float((share * np.exp(np.clip(rate * scores, None, 50))).sum()) - 1
+
+    if (share * scores).sum() >= 0:
         return 0.1
     low, high = 1e-6, 1.0
-    while np.exp(np.clip(high * scores, None, 50)).mean() < 1:
+    while excess(high) < 0:
         high *= 2
     for _ in range(60):
         middle = (low + high) / 2
-        low, high = (middle, high) if np.exp(np.clip(middle * scores, None, 50)).mean() < 1 else (low, middle)
+        low, high = (middle, high) if excess(middle) < 0 else (low, middle)
     return low
 
 
@@ -239,20 +244,51 @@ def fit(docs: DataFrame, labelled: DataFrame) -> Model | None:
     odds = _log_odds(*counts, prior, n_toxic, n_other, PRIOR * n_toxic)
     model = Model(tokens, np.clip(odds, LOWEST, HIGHEST), chosen["surest"].to_numpy()[order])
 
-    sample = labelled.select("text", "toxic").toArrow()  # TRAIN_ROWS texts at most, in slices below
-    return _calibrated(model, sample)
+    return _calibrated(model, labelled)
+
+
+def _histogram(model):
+    """Scores of ordinary words, rounded, and how often."""
+
+    def run(batches):
+        for batch in batches:
+            for *_, hashes in _words(batch.column(0)):
+                score, n = np.unique(np.round(model.value.word_scores(hashes), 2), return_counts=True)
+                yield pa.record_batch([pa.array(score), pa.array(n)], ["score", "n"])
+
+    return run
 
 
-def _calibrated(model: Model, sample: pa.Table) -> Model:
-    toxic = np.array(sample["toxic"].to_pylist(), bool)
-    column = sample["text"].combine_chunks()
-    ordinary = column.filter(pa.array(~toxic))
-    scores = np.concatenate([model.word_scores(h) for *_, h in _words(ordinary)] or [np.zeros(1)])
-    model.rate = _rate(scores)
-    best, n = np.array([(s, n) for _, s, n, _ in _evidence(model, ordinary)]).T
-    model.factor = len(best) / max(1e-9, float((np.maximum(n, 1) * np.exp(-model.rate * best)).sum()))
-    total = [t for t, *_ in _evidence(model, column)]
-    model.logistic = Logistic(_features(total), toxic.astype(float), penalty=0.1)
+def _summaries(model):
+    def run(batches):
+        for batch in batches:
+            found = [f[:3] for f in _evidence(model.value, batch.column(0))]
+            total, best, n = zip(*found) if found else ((), (), ())
+            columns = [pa.array(total, pa.float64()), pa.array(best, pa.float64()), pa.array(n, pa.int64())]
+            yield pa.record_batch([*columns, batch.column(1)], ["total", "best", "n", "toxic"])
+
+    return run
+
+
+def _calibrated(model: Model, labelled: DataFrame) -> Model:
+    """Only numbers come to the driver: a histogram, and three for each of the TRAIN_ROWS texts."""
+    send = labelled.sparkSession.sparkContext.broadcast
+    scores = labelled.filter("NOT toxic").select("text").mapInArrow(_histogram(send(model)), "score double, n long")
+    scores = scores.groupBy("score").agg(F.sum("n").alias("n")).toArrow()
+    model.rate = _rate(scores["score"].to_numpy(), scores["n"].to_numpy().astype(float))
+
+    def summaries():
+        rows = labelled.select("text", "toxic").mapInArrow(
+            _summaries(send(model)), "total double, best double, n long, toxic boolean"
+        )
+        return {name: column.to_numpy() for name, column in zip(rows.columns, rows.toArrow().columns)}
+
+    found = summaries()
+    ordinary = ~found["toxic"].astype(bool)
+    n, best = np.maximum(found["n"][ordinary], 1), found["best"][ordinary]
+    model.factor = len(best) / max(1e-9, float((n * np.exp(-model.rate * best)).sum()))
+    found = summaries()
+    model.logistic = Logistic(_features(found["total"]), found["toxic"].astype(float), penalty=0.1)
     return model
 
 
