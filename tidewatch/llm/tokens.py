@@ -25,8 +25,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 from tidewatch.llm.common import query, table, text_or_empty
 from tidewatch.llm.shingles import ByteSums, byte_blocks, spans
 
-#: Bytes of text in a block.
-BLOCK_BYTES = 4 << 20
+#: Bytes of text in a block, and for which there is a bucket.
+BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 16 << 20
 #: Distinct words that go to the tokenizer at once.
 WORDS_AT_ONCE = 4096
 #: Texts that are decoded at once.
@@ -300,7 +300,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     vocabulary = Vocabulary(path)
     text = text_or_empty(text_col)
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text).cast("long")), F.lit(0))).first()[0]
-    buckets = max(1, -(-size // BLOCK_BYTES))
+    buckets = max(1, -(-size // BUCKET_BYTES))
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
     kind = rows.schema["doc_id"].dataType
     file = spark.sparkContext.broadcast(vocabulary.file)
