@@ -182,3 +182,29 @@ def test_failure_inside_quarantine_threshold(frame):
     assert run.status == "success" and run.target_table == "fact_ticket" and run.error_message is None
     exact = totals.withColumn("quarantine_rate", F.lit(0.1))
     assert loading.run_record(exact, "R", "csv", "f", "ticket", AS_OF, 0.1).first().status == "partial"
+
+
+def test_a_replacement_that_fails_keeps_the_old_state(spark, tmp_path):
+    import pytest
+    from pyspark.sql import functions as F
+
+    store = Warehouse(spark, str(tmp_path))
+    store.append("people", spark.range(3))
+    store.replace("people", store.read("people").union(spark.range(10, 12)))
+    assert store.read("people").count() == 5
+    broken = store.read("people").select(F.raise_error(F.lit("lost")).alias("id"))
+    with pytest.raises(Exception, match="lost"):
+        store.replace("people", broken)
+    assert store.read("people").count() == 5
+    store.replace("people", store.read("people").filter("id < 2"))
+    store.append("people", spark.range(20, 21))
+    assert sorted(r.id for r in store.read("people").collect()) == [0, 1, 20]
+
+
+def test_upsert_keeps_rows_with_null_keys_whole(spark):
+    from tidewatch.operators.loading import upsert
+
+    old = spark.createDataFrame([(None, 1, 1), ("a", 1, 1)], "k string, v int, w int")
+    new = spark.createDataFrame([(None, 2, 2), ("a", 2, 2)], "k string, v int, w int")
+    rows = sorted(map(tuple, upsert(old, new, "k", ["v"]).collect()), key=str)
+    assert rows == [("a", 2, 1), (None, 1, 1), (None, 2, 2)]

@@ -24,6 +24,14 @@ _HEADER_STYLES = {
 
 
 # --- headers -----------------------------------------------------------------
+WHITE_SPACE = " \t\n\x0b\x0c\r"
+
+
+def trimmed(c: Column) -> Column:
+    """Text without white space at its ends; `trim` alone takes blanks only."""
+    return F.btrim(c.cast("string"), F.lit(WHITE_SPACE))
+
+
 def normalize_columns(df: DataFrame, style: str = "feed") -> DataFrame:
     """Lower-case header names with underscores; `style` picks what becomes one."""
     return df.toDF(*[_HEADER_STYLES[style](c) for c in df.columns])

@@ -195,7 +195,8 @@ def multivariate_anomalies(
     others = [c for c in features if c != primary]
     pairs = [F.when(F.col(c).isNotNull(), F.struct(
         F.lit(c).alias("key"), F.round(F.col(c).cast("double"), 2).alias("value"))) for c in others]
-    correlated = F.map_from_entries(F.array_compact(F.array(*pairs)))
+    entries = F.array(*pairs).cast("array<struct<key:string,value:double>>")
+    correlated = F.map_from_entries(F.array_compact(entries))
     return scored.filter("is_anomaly").select(
         *by, "date", F.lit(primary).alias("metric"), F.round(value, 2).alias("observed_value"),
         F.struct(F.round(mean - 2 * std, 2).alias("lo"), F.round(mean + 2 * std, 2).alias("hi"))

@@ -46,7 +46,7 @@ def _with_raw(df: DataFrame, *parsed: str) -> DataFrame:
 
 def _trimmed(df: DataFrame, names: Sequence[str], change=lambda c: c) -> DataFrame:
     """Trim the named columns that exist, then apply `change`."""
-    return df.withColumns({n: change(F.trim(n)) for n in names if n in df.columns})
+    return df.withColumns({n: change(C.trimmed(F.col(n))) for n in names if n in df.columns})
 
 
 def _as(df: DataFrame, name: str, convert) -> Column:

@@ -325,8 +325,10 @@ def forecast_demand(series: DataFrame, by: Sequence[str] = (), horizon: int = 30
     return summarize(models, "demand", horizon)
 
 
-def build_points(models: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """The last 60 actual days and the horizon, whose band widens by 2 % per day."""
+def build_points(
+    models: DataFrame, by: Sequence[str] = (), history: int | None = 60
+) -> DataFrame:
+    """The last `history` actual days (None: all) and the horizon, whose band widens by 2 % per day."""
     def at_zero(c: Column) -> Column:
         return F.round(F.greatest(c, F.lit(0.0)), 2)
 
@@ -342,7 +344,10 @@ def build_points(models: DataFrame, by: Sequence[str] = ()) -> DataFrame:
             at_zero(value - band).alias("lower_ci"), at_zero(value + band).alias("upper_ci"),
             F.lit(False).alias("is_actual"), F.lit(None).cast("double").alias("actual"))
 
-    recent = F.slice("history", F.greatest(F.size("history") - 59, F.lit(1)), 60)
+    recent = F.col("history")
+    if history is not None:
+        start = F.greatest(F.size("history") - (history - 1), F.lit(1))
+        recent = F.slice("history", start, history)
     points = F.concat(F.transform(recent, past), F.transform("values", ahead))
     return models.select(*by, F.explode(points).alias("_point")).select(*by, "_point.*")
 

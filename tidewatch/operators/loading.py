@@ -82,11 +82,13 @@ def upsert(
 
     A known key keeps its row and takes the `update` columns of the incoming one; an unknown
     key is inserted whole. Both sides hold a key at most once (the cleaners see to that), so
-    the full outer join spreads evenly whatever the data looks like.
+    the full outer join spreads evenly whatever the data looks like. Rows with a NULL key meet none
+    and stay whole on either side.
     """
-    known, given = existing.alias("t"), incoming.alias("s")
+    known = existing.withColumn("_held", F.lit(True)).alias("t")
+    given = incoming.withColumn("_held", F.lit(True)).alias("s")
     joined = known.join(given, F.col(f"t.{key}") == F.col(f"s.{key}"), "full_outer")
-    in_table, in_feed = F.col(f"t.{key}").isNotNull(), F.col(f"s.{key}").isNotNull()
+    in_table, in_feed = F.col("t._held").isNotNull(), F.col("s._held").isNotNull()
 
     def value(c: str):
         old, new = F.col(f"t.{c}"), F.col(f"s.{c}")

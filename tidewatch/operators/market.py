@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions import columns as C
@@ -38,13 +38,23 @@ def change_by_industry(signals: DataFrame) -> DataFrame:
     ).orderBy(F.desc("avg_change"), "industry")
 
 
-def signals_by_category(signals: DataFrame) -> DataFrame:
-    """Count and list of the signals of a report per category.
+def signals_by_category(signals: DataFrame, newest: int = 200) -> DataFrame:
+    """Count of signals and of sources per category, and a list of its `newest` signals.
 
-    Meant for the result of `market_signals`, whose limit bounds the lists.
+    Counts cover all signals given; the list's length is the caller's choice, so that no category's
+    rows are collected whole.
     """
+    counts = signals.groupBy("category").agg(
+        F.count("*").alias("signal_count"), F.countDistinct("source").alias("sources"))
+    latest = Window.partitionBy("category").orderBy(
+        F.desc("signal_date"), "source", "value", "change_pct")
     signal = F.struct("signal_date", "source", "value", "change_pct")
-    return signals.groupBy("category").agg(
-        F.count("*").alias("signal_count"),
-        F.array_sort(F.collect_list(signal)).alias("signals"),
-    ).orderBy("category")
+    lists = (
+        signals.withColumn("_rank", F.row_number().over(latest))
+        .filter(F.col("_rank") <= newest)
+        .groupBy("category")
+        .agg(F.array_sort(F.collect_list(signal)).alias("signals"))
+    )
+    of = F.col("category").eqNullSafe(F.col("_of"))
+    lists = lists.withColumnRenamed("category", "_of")
+    return counts.join(lists, of).drop("_of").orderBy("category")

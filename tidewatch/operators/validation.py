@@ -54,7 +54,7 @@ def _detail(template: str, *parts: Column) -> Column:
 
 
 def _missing(name: str, c: Column) -> Check:
-    failed = c.isNull() | (F.trim(c) == "")
+    failed = c.isNull() | (C.trimmed(c) == "")
     return failed, f"MISSING_{name.upper()}", F.lit(f"Required field '{name}' is missing or empty")
 
 

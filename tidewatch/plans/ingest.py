@@ -86,14 +86,11 @@ def ingest_records(
         tagged.unpersist()
 
 
-def _replace(store: Warehouse, table: str, new_state: DataFrame) -> None:
-    """Write the new state beside the table first, since it is computed from the table.
-
-    The copy stays until the next run, so the state survives a failure between the two writes.
-    """
-    staged = f"{table}_next"
-    store.overwrite(staged, new_state)
-    store.overwrite(table, store.read(staged))
+def _with_days(store: Warehouse, records: DataFrame, column: str) -> DataFrame:
+    """The date dimension, to which the load's new days have been added."""
+    new = dimensions.build_dim_date(records, column, store.read("dim_date"))
+    store.append("dim_date", new)
+    return store.read("dim_date")
 
 
 def _load_records(store: Warehouse, valid: DataFrame, dataset: str) -> None:
@@ -107,13 +104,10 @@ def _load_records(store: Warehouse, valid: DataFrame, dataset: str) -> None:
         if existing is None:
             store.append("dim_employee_record", new)
         else:
-            _replace(store, "dim_employee_record", loading.upsert_employees(existing, new))
+            store.replace("dim_employee_record", loading.upsert_employees(existing, new))
     elif dataset == "operations":
         records = cleaning.clean_operations_records(valid).drop("row_index", "source_file")
-        dim_date = store.read("dim_date")
-        if dim_date is None:
-            store.append("dim_date", dimensions.build_dim_date(records, "date"))
-            dim_date = store.read("dim_date")
+        dim_date = _with_days(store, records, "date")
         people = store.read("dim_employee_record")
         if people is None:
             raise ValueError("load the employee records before the operations records")
@@ -128,13 +122,10 @@ def _load_records(store: Warehouse, valid: DataFrame, dataset: str) -> None:
         if existing is None:
             store.append("fact_ticket_record", new)
         else:
-            _replace(store, "fact_ticket_record", loading.upsert_ticket_records(existing, new))
+            store.replace("fact_ticket_record", loading.upsert_ticket_records(existing, new))
     elif dataset == "market_signal":
         records = cleaning.clean_signal_records(valid).drop("row_index", "source_file")
-        dim_date = store.read("dim_date")
-        if dim_date is None:
-            store.append("dim_date", dimensions.build_dim_date(records, "signal_date"))
-            dim_date = store.read("dim_date")
+        dim_date = _with_days(store, records, "signal_date")
         store.append("fact_signal_record", loading.resolve_signals(records, dim_date))
     else:
         raise ValueError(f"unknown dataset {dataset}")

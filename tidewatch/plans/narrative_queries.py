@@ -341,20 +341,20 @@ _IQR_FOUND = f"""{Q._IQR}, found AS (SELECT department_code, ds AS date, metric,
 @query("i3_severity_sort", f"""{_IQR_FOUND}
 SELECT severity, metric, department_code, date FROM found
 ORDER BY CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END,
-  metric, department_code, date LIMIT 40""")
+  metric, department_code, date""")
 def severity_sort(spark, sf_dir):
     found = anomaly.iqr_anomalies(Q._every_series(spark, sf_dir), F.col("metric"), by=Q.BY)
-    return dashboard.by_severity(found, "metric", "department_code", "date").limit(40).select(
+    return dashboard.by_severity(found, "metric", "department_code", "date").select(
         "severity", "metric", "department_code", "date")
 
 
 @query("i5_score_sort", f"""
 WITH {S.hour_records()}, {Q._HOUR_DAYS}, {Q._labels('utilization_pct')}
-SELECT date, round(-z, 4) AS anomaly_score FROM flagged ORDER BY round(-z, 4), date LIMIT 20""")
+SELECT date, round(-z, 4) AS anomaly_score FROM flagged ORDER BY round(-z, 4), date""")
 def score_sort(spark, sf_dir):
     found = anomaly.multivariate_anomalies(
         Q.hour_days(spark, sf_dir), "utilization_pct", "workforce", Q.HOUR_FEATURES, method="zscore")
-    return found.orderBy("anomaly_score", "date").limit(20).select("date", "anomaly_score")
+    return found.orderBy("anomaly_score", "date").select("date", "anomaly_score")
 
 
 @query("i4_list_truncation", f"""
@@ -427,21 +427,20 @@ def heatmap_matrix(spark, sf_dir):
 
 
 @query("k2_change_by_industry", f"""
-WITH {S.SIGNALS}, feed AS ({reports.signals_sql()})
+WITH {S.SIGNALS}, feed AS ({reports.signals_sql(limit=None)})
 SELECT industry, round(round(avg(change_pct), 9), 2) + 0.0 AS avg_change FROM feed
 WHERE industry IS NOT NULL GROUP BY industry""")
 def change_by_industry(spark, sf_dir):
-    return market.change_by_industry(reports.market_signals(spark, sf_dir))
+    return market.change_by_industry(reports.signals_of_period(spark, sf_dir))
 
 
 @query("k3_signals_by_category", f"""
-WITH {S.SIGNALS}, feed AS ({reports.signals_sql()})
+WITH {S.SIGNALS}, feed AS ({reports.signals_sql(limit=None)})
 SELECT category, count(*) AS signal_count, count(DISTINCT source) AS sources FROM feed
 GROUP BY category""")
 def signals_by_category(spark, sf_dir):
-    grouped = market.signals_by_category(reports.market_signals(spark, sf_dir))
-    return grouped.select("category", "signal_count", F.size(F.array_distinct(
-        F.col("signals.source"))).cast("long").alias("sources"))
+    grouped = market.signals_by_category(reports.signals_of_period(spark, sf_dir))
+    return grouped.select("category", "signal_count", "sources")
 
 
 @query("k4_utilization_band", f"""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tidewatch.operators import market, tickets, workforce
+from tidewatch.operators.periods import within
 from tidewatch.plans import facts
 from tidewatch.plans import feed_sql as S
 from tidewatch.plans.registry import query
@@ -225,12 +226,18 @@ def classify_gap(spark, sf_dir):
 
 
 # --- market signals -------------------------------------------------------------------
-def signals_sql(extra: str = "", limit: int = 200) -> str:
+def signals_sql(extra: str = "", limit: int | None = 200) -> str:
+    newest = "" if limit is None else f"LIMIT {limit}"
     return f"""
 SELECT signal_date, source, category, CAST(NULL AS VARCHAR) AS subcategory, region, industry,
   value, CAST(NULL AS VARCHAR) AS value_label, change_pct, CAST(NULL AS VARCHAR) AS notes
 FROM signals WHERE {_M} {extra}
-ORDER BY signal_date DESC, row_index LIMIT {limit}"""
+ORDER BY signal_date DESC, row_index {newest}"""
+
+
+def signals_of_period(spark, sf_dir):
+    """All signals of the period; the listing g12 alone stops at the newest."""
+    return within(facts.signal_facts(spark, sf_dir), "signal_date", SIGNALS_FROM, SIGNALS_TO)
 
 
 @query("g12_market_signals", f"WITH {S.SIGNALS} {signals_sql()}")

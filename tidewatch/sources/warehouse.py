@@ -25,7 +25,32 @@ class Warehouse:
     root: str
 
     def path(self, table: str) -> str:
-        return f"{self.root}/{table}"
+        """The folder that holds the table now: its newest complete version, if it was ever replaced."""
+        versions = self._versions(table)
+        return self._version(table, versions[-1]) if versions else f"{self.root}/{table}"
+
+    def _version(self, table: str, number: int) -> str:
+        return f"{self.root}/{table}__versions/{number:09d}"
+
+    def _versions(self, table: str) -> list[int]:
+        """Numbers of the complete versions: Spark writes _SUCCESS last."""
+        pattern = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}__versions/*/_SUCCESS")
+        system = pattern.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        found = system.globStatus(pattern) or []
+        return sorted(int(f.getPath().getParent().getName()) for f in found)
+
+    def replace(self, table: str, rows: DataFrame) -> None:
+        """Give a table a new state, which may be computed from the old one.
+
+        The new state is a folder of its own that counts from the moment it is complete; a write that
+        fails leaves the old state in place. The state before is kept, older ones go.
+        """
+        versions = self._versions(table)
+        number = versions[-1] + 1 if versions else 1
+        self._write_to(self._version(table, number), table, rows, "overwrite")
+        for old in versions[:-1]:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self._version(table, old))
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
     def read(self, table: str) -> DataFrame | None:
         """The table, or None while it has never been written."""
@@ -45,11 +70,10 @@ class Warehouse:
     def append(self, table: str, rows: DataFrame) -> None:
         self._write(table, rows, "append")
 
-    def overwrite(self, table: str, rows: DataFrame) -> None:
-        """Replace a table; the rows must not be read from the table itself."""
-        self._write(table, rows, "overwrite")
-
     def _write(self, table: str, rows: DataFrame, mode: str) -> None:
+        self._write_to(self.path(table), table, rows, mode)
+
+    def _write_to(self, path: str, table: str, rows: DataFrame, mode: str) -> None:
         """Write facts by month, in files of even size and sorted by day.
 
         The rebalance hint groups rows by month; AQE then splits a month that holds much of
@@ -58,11 +82,10 @@ class Warehouse:
         """
         day = DAYS.get(table)
         if day is None:
-            rows.write.mode(mode).parquet(self.path(table))
+            rows.write.mode(mode).parquet(path)
             return
         rows = rows.withColumn(MONTH, F.trunc(day, "month")).hint("rebalance", MONTH)
-        rows.sortWithinPartitions(MONTH, day).write.mode(mode).partitionBy(MONTH).parquet(
-            self.path(table))
+        rows.sortWithinPartitions(MONTH, day).write.mode(mode).partitionBy(MONTH).parquet(path)
 
 
 def export_csv(rows: DataFrame, path: str) -> None:
