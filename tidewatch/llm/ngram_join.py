@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from tidewatch.llm import signature_tree
-from tidewatch.llm.common import materialise, query, table
+from tidewatch.llm.common import arrow_batches, materialise, query, table
 from tidewatch.llm.components import connected_components
 from tidewatch.llm.shingles import PERCENT, WIDTH, blocks, linked, shingle_sets
 
@@ -44,6 +44,8 @@ BROADCAST_IDS = 1_000_000
 SMALL_BLOCK = 32
 #: Texts whose sets a task holds at once.
 ROWS_AT_ONCE = 512
+#: Rows of an Arrow batch: texts, sets and bitmaps are large.
+BATCH_ROWS = 2000
 #: Rows of one key that a task holds at once.
 HELD_ROWS = 2048
 
@@ -522,7 +524,7 @@ def near_duplicates(
     width: int = WIDTH,
     percent: int = PERCENT,
 ) -> DataFrame:
-    """One row per input row: id, n_shingles, component_id.
+    """One row per input row: id, n_shingles, component_id. All but the last join runs at once.
 
     A document is the set of its `width`-word shingles; two are linked when 100 * intersection >=
     percent * union. component_id is the least id that links lead to, the row itself included.
@@ -531,6 +533,11 @@ def near_duplicates(
     other and never the least, unless it is alone. Other columns are ignored; an empty table gives
     no rows. Sets and shingles are told apart by 64 bits of a hash.
     """
+    with arrow_batches(docs.sparkSession, BATCH_ROWS):
+        return _grouped(docs, id_col, text_col, width, percent)
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     id_type = rows.schema["doc_id"].dataType
