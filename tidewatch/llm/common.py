@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewatch.session import work_dir
@@ -64,3 +64,37 @@ def arrow_batches(spark: SparkSession, rows: int):
         yield
     finally:
         spark.conf.set(name, before)
+
+
+def join_counted(rows: DataFrame, small: DataFrame, key: str, limit: int = 50_000, salts: int = 32) -> DataFrame:
+    """`rows` with the columns of `small` (a written table, one row of fixed width for each key).
+
+    Up to `limit` rows of `small` are broadcast, a few megabytes; with more the join is a shuffle in
+    which every row of `small` goes to `salts` places, so that a key that holds a large share of `rows` is
+    split. Rows without a match have NULL columns.
+    """
+    if small.count() <= limit:
+        return rows.join(F.broadcast(small), key, "left")
+    salted = rows.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)))
+    copies = small.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    return salted.join(copies, [key, "__salt"], "left").drop("__salt")
+
+
+def ranked(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """`rows` with a column rank: 1, 2, 3, ... over the whole table in `order`, without one task that sees all.
+
+    Rows are dealt by range and sorted within the ranges, written with their place, and each range's
+    place is moved by the rows before it. `rows` must come from a written table. Rows that `order` does not tell apart get ranks in any order.
+    """
+    spread = [*order, F.col("__row")]
+    rows = rows.withColumn("__row", F.monotonically_increasing_id())
+    dealt = rows.repartitionByRange(shuffle_width(rows.sparkSession), *spread).sortWithinPartitions(*spread)
+    placed = dealt.drop("__row").withColumn("__place", F.monotonically_increasing_id())
+    placed = placed.withColumn("__range", F.shiftright("__place", 33))
+    placed = materialise(placed.withColumn("__place", F.col("__place").bitwiseAND(2**33 - 1)), name)
+    ranges = placed.groupBy("__range").agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
+    ranges = ranges.select("__range", F.coalesce(before, F.lit(0)).alias("__before"))
+    joined = placed.join(F.broadcast(ranges), "__range")  # one row for each range
+    rank = F.col("__before") + F.col("__place") + 1
+    return joined.withColumn("rank", rank.cast("long")).drop("__range", "__place", "__before")

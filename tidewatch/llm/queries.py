@@ -4,7 +4,10 @@ from importlib import import_module
 
 from tidewatch.llm.common import ORACLES, QUERIES
 
-MODULES = ["exact_dedup", "line_dedup", "ngram_join", "packing", "permutation_index", "pii", "quality", "sharding", "tokens", "toxicity"]
+MODULES = [
+    "exact_dedup", "importance", "line_dedup", "ngram_join", "packing", "permutation_index", "pii", "quality",
+    "quality_rules", "sharding", "tokens", "toxicity", "vector_codes",
+]
 
 for _name in MODULES:
     import_module(f"tidewatch.llm.{_name}")
