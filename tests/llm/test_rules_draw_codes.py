@@ -136,7 +136,8 @@ def test_importance_resample(spark):
     want = _draw(docs, target)
     assert len(found) == len(docs)
     assert {r["doc_id"]: (r["n_features"], r["weight"], r["score"], r["rank"]) for r in found} == want
-    assert sum(r["rank"] is not None for r in found) > 50
+    enough = sum(len(_feature_words(t)[0]) >= 20 for _, t in docs)
+    assert sum(r["rank"] is not None for r in found) == enough // 4
     texts = importance_resample(frame, wanted, with_text=True).collect()
     assert {(r["doc_id"], r["text"]) for r in texts} == set(docs)
 
