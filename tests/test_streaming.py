@@ -59,13 +59,73 @@ def test_repeats_across_batches_and_restarts(spark, landing, tmp_path):
     assert store.read("ingestion_run").count() == 2
 
 
-def test_a_batch_that_runs_again_replaces_itself(spark, tmp_path):
+def test_a_batch_that_runs_again_adds_nothing(spark, tmp_path):
     store = Warehouse(spark, str(tmp_path / "w"))
-    rows = spark.createDataFrame([("T1",)], "ticket_id string")
-    for _ in range(2):
-        streams._write_batch(store, "fact_ticket", rows, 3)
+    rows = spark.sql("select 'T1' as ticket_id, date'2024-01-15' as created_date")
+    assert [store.append("fact_ticket", rows, "stream-3") for _ in range(2)] == [1, 1]
+    assert store.append("fact_ticket", rows.limit(0), "stream-4") == 0
+    assert store.append("fact_ticket", rows, "stream-4") == 0  # this commit is known to have no rows
     assert store.read("fact_ticket").count() == 1
-    assert streams._before(store, "fact_ticket", 3).count() == 0  # its own leftovers do not count
+
+
+def test_a_batch_that_failed_half_way_is_completed(spark, landing, tmp_path, monkeypatch):
+    landing("a.csv", ticket(1), ticket(2, "bad"))
+    store = Warehouse(spark, str(tmp_path / "w"))
+    with monkeypatch.context() as patch:
+        def lost(*args):
+            raise RuntimeError("lost")
+
+        patch.setattr(streams.ingest.loading, "load_errors", lost)
+        with pytest.raises(Exception, match="lost"):
+            run(spark, landing, store, tmp_path)
+    assert store.read("fact_ticket").count() == 1 and store.read("staging_error") is None
+    run(spark, landing, store, tmp_path)
+    assert store.read("fact_ticket").count() == 1 and store.read("staging_error").count() == 1
+    (audit,) = store.read("ingestion_run").collect()
+    assert (audit.run_id, audit.raw_rows, audit.loaded_rows, audit.error_count) == ("stream-0", 2, 1, 1)
+
+
+def test_batch_stream_batch_share_one_layout(spark, landing, tmp_path):
+    store = Warehouse(spark, str(tmp_path / "w"))
+
+    def batch(name, *rows):
+        feed = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)],
+                                     "row_index long, " + ", ".join(f"{c} string" for c in COLUMNS))
+        streams.ingest.ingest_feed(store, feed, "tickets", name, AS_OF, AS_OF)
+
+    batch("one", ticket(1), ticket(2, "2024-02-03"), ticket(3, "bad"))
+    landing("a.csv", ticket(2, status="closed"), ticket(4, "2024-02-05"), ticket(5, "bad"))
+    run(spark, landing, store, tmp_path)
+    batch("two", ticket(4, status="closed"), ticket(6, "2024-02-05"))
+    found = {r.ticket_id: r.status for r in store.read("fact_ticket").collect()}
+    assert found == {"T1": "open", "T2": "open", "T4": "open", "T6": "open"}
+    assert store.read_between("fact_ticket", "2024-02-01", "2024-02-28").count() == 3
+    assert sorted(r.source_file for r in store.read("staging_error").collect()) == ["a.csv", "one"]
+    assert {str(r.date) for r in store.read("dim_date").collect()} == {"2024-01-15", "2024-02-03", "2024-02-05"}
+
+
+def test_records_are_validated_on_the_stream(spark, landing, tmp_path):
+    names = ["ticket_number", *COLUMNS[1:]]
+    for name, rows in (("a.csv", [ticket(1), ("T2", "2024-01-15", "", "c", "none", "open")]),
+                       ("b.csv", [("T3", "2024-01-15", "", "c", "none", "open")]),
+                       ("c.csv", [ticket(1, status="closed"), ticket(4, "2024-02-01")])):
+        text = ",".join(names) + "\n" + "".join(",".join(r) + "\n" for r in rows)
+        (tmp_path / "landing" / name).write_text(text)
+    store = Warehouse(spark, str(tmp_path / "w"))
+    times = iter(f"2024-01-20 00:00:{s:02d}" for s in range(60))
+    stream = streams.landing_stream(spark, landing.folder, names, files_per_batch=1)
+    streams.start_record_stream(
+        stream, store, "ticket", str(tmp_path / "state"), clock=lambda: next(times)).awaitTermination()
+    facts = {r.ticket_number: r.status for r in store.read("fact_ticket_record").collect()}
+    assert facts == {"T1": "closed", "T4": "open"}
+    runs = {r.run_id: (r.status, r.rows_read, r.rows_inserted, r.rows_quarantined)
+            for r in store.read("ingestion_run").collect()}
+    assert runs == {"records-0": ("partial", 2, 1, 1), "records-1": ("failed", 1, 0, 1),
+                    "records-2": ("success", 2, 2, 0)}
+    assert all(r.completed_at > r.started_at for r in store.read("ingestion_run").collect())
+    bad = store.read("quarantined_row").collect()
+    assert [(r.run_id, r.source_file, r.error_codes) for r in bad] == [
+        ("records-0", "a.csv", ["INVALID_ENUM_PRIORITY"])]
 
 
 def test_dedup_on_the_stream(spark, landing, tmp_path):

@@ -199,3 +199,9 @@ EXECUTIVE_UTILIZATION = "- Workforce utilization: **%s%%**"
 EXECUTIVE_VOLUME = "- Ticket volume this week: **%d**"
 EXECUTIVE_COMPLIANCE = "- SLA compliance: **%s%%**"
 EXECUTIVE_ANOMALIES = "- Active anomalies flagged: **%d** — review recommended"
+
+# --- loads ---------------------------------------------------------------------------------
+#: Code and sentence of a record that could not be read, and the message of a run without a valid row.
+MALFORMED = "malformed_row"
+MALFORMED_DETAIL = "The record does not have the form that its header or document promises"
+ALL_QUARANTINED = "100% quarantine rate — aborting. Check schema."

@@ -14,9 +14,7 @@ from pyspark.sql import functions as F
 
 from tidewatch import fixed_values as V
 from tidewatch.functions import columns as C
-from tidewatch.operators.dedup import ROW_INDEX, dedup
-
-SKIPPED_IN_RAW = (ROW_INDEX, "source_file")
+from tidewatch.operators.dedup import POINTER, dedup
 
 
 @dataclass(frozen=True)
@@ -34,14 +32,16 @@ class Cleaned:
 
     @property
     def errors(self) -> DataFrame:
+        """error_code, raw_data, and where the row came from, as far as the feed says."""
+        pointer = [c for c in POINTER if c in self.tagged.columns]
         return self.tagged.filter(F.col("error_code").isNotNull()).select(
-            ROW_INDEX, "error_code", "raw_data"
+            *pointer, "error_code", "raw_data"
         )
 
 
 def _with_raw(df: DataFrame, *parsed: str) -> DataFrame:
     """Add the row as JSON; `parsed` helper columns are not part of it."""
-    return df.withColumn("raw_data", C.raw_json(df, skip=(*SKIPPED_IN_RAW, *parsed)))
+    return df.withColumn("raw_data", C.raw_json(df, skip=(*POINTER, *parsed)))
 
 
 def _trimmed(df: DataFrame, names: Sequence[str], change=lambda c: c) -> DataFrame:

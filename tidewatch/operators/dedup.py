@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ROW_INDEX = "row_index"
+#: Place in the feed, and number of the record in its file (where the feed comes from files).
+ROW_INDEX, FILE_ROW = "row_index", "file_row"
+POINTER = (ROW_INDEX, "source_file", FILE_ROW)
 
 
 def dedup(df: DataFrame, keys: Sequence[str | Column], keep: str = "first",

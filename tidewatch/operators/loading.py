@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tidewatch import fixed_values as V
 from tidewatch.functions import columns as C
 from tidewatch.functions import timeparts as T
-from tidewatch.operators.dedup import ROW_INDEX, dedup
+from tidewatch.operators.dedup import FILE_ROW, ROW_INDEX, dedup
 from tidewatch.operators.dimensions import absent_from, lookup, member_key
 
 
@@ -131,53 +131,99 @@ def resolve_signals(records: DataFrame, dim_date: DataFrame) -> DataFrame:
 
 
 # --- rows that did not make it --------------------------------------------------------
+def _row_number(rows: DataFrame):
+    """Number of the record in its file, from 1; without files the place in the feed stands in."""
+    if FILE_ROW in rows.columns:
+        return F.col(FILE_ROW).cast("string")
+    numeric = dict(rows.dtypes)[ROW_INDEX] in ("bigint", "int")
+    return (F.col(ROW_INDEX) + 1 if numeric else F.col(ROW_INDEX)).cast("string")
+
+
 def load_errors(errors: DataFrame, source_file: str, source_type: str, at: str) -> DataFrame:
-    """Cleaner errors in the layout of the staging table."""
+    """Cleaner errors in the layout of the staging table; a feed of files names the file of each row."""
+    file = F.col("source_file") if "source_file" in errors.columns else F.lit(source_file)
+    number = _row_number(errors) if FILE_ROW in errors.columns else F.col(ROW_INDEX).cast("string")
     return errors.select(
-        F.lit(source_file).alias("source_file"), F.lit(source_type).alias("source_type"),
-        F.col(ROW_INDEX).cast("string").alias("row_number"), "raw_data",
+        file.alias("source_file"), F.lit(source_type).alias("source_type"),
+        number.alias("row_number"), "raw_data",
         F.col("error_code").alias("error_type"), F.col("error_code").alias("error_message"),
         F.lit(at).cast("timestamp_ntz").alias("created_at"), F.lit(False).alias("resolved"),
         F.lit(None).cast("timestamp_ntz").alias("resolved_at"),
     )
 
 
+def malformed_errors(malformed: DataFrame) -> DataFrame:
+    """Records that could not be read, as errors of a cleaner; raw_data is their original text."""
+    return malformed.withColumn("error_code", F.lit(V.MALFORMED))
+
+
+def malformed_quarantine(malformed: DataFrame) -> DataFrame:
+    """Records that could not be read, as rows that failed validation."""
+    return malformed.withColumns({
+        "error_codes": F.array(F.lit(V.MALFORMED)), "error_details": F.lit(V.MALFORMED_DETAIL)})
+
+
 def quarantine_rows(quarantined: DataFrame, run_id: str, dataset: str, at: str) -> DataFrame:
-    """Failed rows in the layout of the quarantine table. Row numbers count from 1."""
-    row = F.col(ROW_INDEX)
-    numeric = dict(quarantined.dtypes)[ROW_INDEX] in ("bigint", "int")
+    """Failed rows in the layout of the quarantine table. Row numbers count from 1 in each file."""
+    file = F.col("source_file") if "source_file" in quarantined.columns else F.lit(None).cast("string")
     return quarantined.select(
-        F.lit(run_id).alias("run_id"), F.lit(dataset).alias("source_table"),
-        (row + 1 if numeric else row).cast("string").alias("row_number"),
-        "raw_data", "error_codes", "error_details",
+        F.lit(run_id).alias("run_id"), F.lit(dataset).alias("source_table"), file.alias("source_file"),
+        _row_number(quarantined).alias("row_number"), "raw_data", "error_codes", "error_details",
         F.lit(at).cast("timestamp_ntz").alias("quarantined_at"), F.lit(False).alias("reviewed"),
     )
 
 
+RUN_SCHEMA = (
+    "run_id string, source_type string, source_name string, target_table string, status string, "
+    "rows_read long, rows_inserted long, rows_quarantined long, quarantine_rate double, "
+    "error_message string, started_at timestamp_ntz, completed_at timestamp_ntz"
+)
+
+
+def target_table(dataset: str) -> str:
+    return "dim_employee" if dataset == "employee" else f"fact_{dataset}"
+
+
+def run_status(rate, valid_rows, threshold: float):
+    """success below the quarantine threshold, failed above it with no valid row, else partial."""
+    failed = (rate > threshold) & (valid_rows == 0)
+    return F.when(failed, "failed").when(rate < threshold, "success").otherwise("partial")
+
+
 def run_record(
     totals: DataFrame, run_id: str, source_type: str, source_name: str, dataset: str, at: str,
-    threshold: float,
+    threshold: float, inserted: int | None = None, completed_at: str | None = None,
 ) -> DataFrame:
-    """One audit row per run.
+    """The audit row of a run that has come to its end.
 
-    success below the quarantine threshold, failed above it with no valid row, else partial.
+    `inserted` is the number of rows the load took, that is of valid rows after dedup; without it, as
+    before the load, the valid rows stand in.
     """
     rate = F.col("quarantine_rate")
-    failed = (rate > threshold) & (F.col("valid_rows") == 0)
-    status = F.when(failed, "failed").when(rate < threshold, "success").otherwise("partial")
-    target = "dim_employee" if dataset == "employee" else f"fact_{dataset}"
+    status = run_status(rate, F.col("valid_rows"), threshold)
+    taken = F.col("valid_rows") if inserted is None else F.lit(inserted)
     return totals.select(
         F.lit(run_id).alias("run_id"), F.lit(source_type).alias("source_type"),
-        F.lit(source_name).alias("source_name"), F.lit(target).alias("target_table"),
-        status.alias("status"), F.col("total_rows").alias("rows_read"),
-        F.when(failed, 0).otherwise(F.col("valid_rows")).alias("rows_inserted"),
-        F.col("quarantined_rows").alias("rows_quarantined"),
+        F.lit(source_name).alias("source_name"), F.lit(target_table(dataset)).alias("target_table"),
+        status.alias("status"), F.col("total_rows").cast("long").alias("rows_read"),
+        F.when(status == "failed", 0).otherwise(taken).cast("long").alias("rows_inserted"),
+        F.col("quarantined_rows").cast("long").alias("rows_quarantined"),
         F.round(rate, 4).alias("quarantine_rate"),
-        F.when(failed, "100% quarantine rate — aborting. Check schema.").alias("error_message"),
+        F.when(status == "failed", V.ALL_QUARANTINED).alias("error_message"),
         F.lit(at).cast("timestamp_ntz").alias("started_at"),
+        F.lit(completed_at).cast("timestamp_ntz").alias("completed_at"),
     )
 
 
+def run_states(known: DataFrame, given: DataFrame) -> DataFrame:
+    """The audit with the runs of `given` in their new state: one row for each run, whatever its state.
+
+    Columns that only one side has stay, NULL in the other's rows.
+    """
+    return known.join(given.select("run_id"), "run_id", "left_anti").unionByName(
+        given, allowMissingColumns=True)
+
+
 # --- listings of the load tables -------------------------------------------------------
 def list_errors(errors: DataFrame, resolved: bool = False, limit: int = 50) -> DataFrame:
     return errors.filter(F.col("resolved") == resolved).orderBy(
@@ -203,17 +249,21 @@ def list_quarantine(
     return rows.orderBy(F.desc("quarantined_at"), "run_id", "row_number").limit(limit)
 
 
-def ingest_summary(cleaned_tagged: DataFrame, raw_rows: DataFrame, source_type: str) -> DataFrame:
-    """Raw, clean, loaded and rejected row counts of one feed, as one row."""
-    raw = raw_rows.agg(F.count("*").alias("raw_rows")).select(
-        "raw_rows", F.lit(0).alias("clean_rows"), F.lit(0).alias("error_count"))
-    counts = cleaned_tagged.agg(
+def ingest_counts(cleaned_tagged: DataFrame) -> DataFrame:
+    """clean_rows and error_count of a feed, from one pass over the tagged rows."""
+    return cleaned_tagged.agg(
         F.count_if(F.col("error_code").isNull()).alias("clean_rows"),
         F.count_if(F.col("error_code").isNotNull()).alias("error_count"),
-    ).withColumn("raw_rows", F.lit(0))
-    return raw.unionByName(counts).agg(
-        *[F.sum(c).alias(c) for c in ("raw_rows", "clean_rows", "error_count")]
-    ).select(
-        F.lit(source_type).alias("source_type"), "raw_rows", "clean_rows",
-        F.col("clean_rows").alias("loaded_rows"), "error_count", F.lit("success").alias("status"),
+    )
+
+
+def ingest_summary(cleaned_tagged: DataFrame, raw_rows: int, loaded_rows: int, source_type: str) -> DataFrame:
+    """Raw, clean, loaded and rejected row counts of one feed, as one row.
+
+    `raw_rows` and `loaded_rows` are what the landing read and the load wrote: a ticket that the fact
+    already holds is clean, but not loaded.
+    """
+    return ingest_counts(cleaned_tagged).select(
+        F.lit(source_type).alias("source_type"), F.lit(raw_rows).cast("long").alias("raw_rows"), "clean_rows",
+        F.lit(loaded_rows).cast("long").alias("loaded_rows"), "error_count", F.lit("success").alias("status"),
     )

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidewatch import fixed_values as V
 from tidewatch.functions import columns as C
-from tidewatch.operators.dedup import ROW_INDEX
+from tidewatch.operators.dedup import POINTER
 
 Check = tuple[Column, str, Column]  # failed?, code, detail
 
@@ -36,7 +36,8 @@ class Validated:
     @property
     def quarantined(self) -> DataFrame:
         bad = self.tagged.filter(~F.col("is_valid"))
-        return bad.select(ROW_INDEX, "raw_data", "error_codes", "error_details")
+        pointer = [c for c in POINTER if c in bad.columns]
+        return bad.select(*pointer, "raw_data", "error_codes", "error_details")
 
     def totals(self) -> DataFrame:
         """One row: total, valid and quarantined rows and the quarantine rate (0 if empty)."""
@@ -132,7 +133,7 @@ def validate(df: DataFrame, dataset: str, rules: dict | None = None) -> Validate
     """
     rules = rules or V.RULES[dataset]
     df = C.normalize_columns(df, "rules")
-    df = df.withColumn("raw_data", C.raw_json(df, skip=(ROW_INDEX, "source_file")))
+    df = df.withColumn("raw_data", C.raw_json(df, skip=POINTER))
     numeric = {*rules.get("non_negative", []), *rules.get("range", {})}.intersection(df.columns)
     df = df.withColumns({_number(n): C.to_float(F.col(n)) for n in sorted(numeric)})
 

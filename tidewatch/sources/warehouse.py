@@ -1,10 +1,22 @@
-"""Warehouse tables as Parquet folders."""
+"""Warehouse tables as Parquet folders, with a manifest that says which folders count.
+
+Batch loads and streams write in the same layout: every load adds a folder of its own below
+`<table>/data`, facts with one folder for each month in it, and then a new manifest that names all folders
+of the table. A reader takes the newest complete manifest. So a load that fails, at whatever point, leaves the
+table as it was; a load that is run again under the same commit name is skipped; and a merge writes
+the months it touches and leaves all other folders alone.
+
+One writer at a time may work on a table; two that start from the same state write the same manifest
+number, and the second one fails.
+"""
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
+from typing import NamedTuple
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,51 +27,73 @@ DAYS = {
     "fact_operations": "date",
     "fact_ticket": "created_date",
     "fact_market_signal": "signal_date",
+    "fact_operations_record": "date",
+    "fact_ticket_record": "created_at",
+    "fact_signal_record": "signal_date",
 }
 MONTH = "month"
 
 
+class Entry(NamedTuple):
+    """A folder of a table ('' for a load without rows), its month, and the load that wrote it."""
+
+    folder: str
+    month: str | None
+    commit: str
+    rows: int
+
+
 @dataclass(frozen=True)
 class Warehouse:
+    """`retain` manifests are kept, at least the current one: a reader may go on with a state that was
+    current when it started until `retain - 1` more loads replaced months of the table."""
+
     spark: SparkSession
     root: str
+    retain: int = 2
 
-    def path(self, table: str) -> str:
-        """The folder that holds the table now: its newest complete version, if it was ever replaced."""
-        versions = self._versions(table)
-        return self._version(table, versions[-1]) if versions else f"{self.root}/{table}"
+    # --- files ---------------------------------------------------------------------
+    def _glob(self, pattern: str) -> list[str]:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{pattern}")
+        found = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(path) or []
+        return sorted(f.getPath().toString() for f in found)
 
-    def _version(self, table: str, number: int) -> str:
-        return f"{self.root}/{table}__versions/{number:09d}"
+    def _delete(self, relative: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{relative}")
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
-    def _versions(self, table: str) -> list[int]:
-        """Numbers of the complete versions: Spark writes _SUCCESS last."""
-        pattern = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}__versions/*/_SUCCESS")
-        system = pattern.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        found = system.globStatus(pattern) or []
-        return sorted(int(f.getPath().getParent().getName()) for f in found)
+    def _numbers(self, table: str) -> list[int]:
+        """Numbers of the complete manifests: Spark writes _SUCCESS last."""
+        return [int(p.split("/")[-2]) for p in self._glob(f"{table}/manifest/*/_SUCCESS")]
 
-    def replace(self, table: str, rows: DataFrame) -> None:
-        """Give a table a new state, which may be computed from the old one.
+    def _entries(self, table: str, number: int) -> list[Entry]:
+        rows = self.spark.read.parquet(f"{self.root}/{table}/manifest/{number:09d}").collect()
+        return [Entry(*r) for r in rows]  # one for each live folder
 
-        The new state is a folder of its own that counts from the moment it is complete; a write that
-        fails leaves the old state in place. The state before is kept, older ones go.
-        """
-        versions = self._versions(table)
-        number = versions[-1] + 1 if versions else 1
-        self._write_to(self._version(table, number), table, rows, "overwrite")
-        for old in versions[:-1]:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(self._version(table, old))
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+    def _state(self, table: str) -> tuple[int, list[Entry]]:
+        numbers = self._numbers(table)
+        return (numbers[-1], self._entries(table, numbers[-1])) if numbers else (0, [])
+
+    def path(self, table: str) -> str:
+        """The folder of the newest load."""
+        _, entries = self._state(table)
+        loads = sorted(e.folder.split("/")[0] for e in entries if e.folder)
+        return f"{self.root}/{table}/data/{loads[-1]}" if loads else f"{self.root}/{table}/data"
+
+    # --- reading -------------------------------------------------------------------
+    def _read(self, table: str, entries: list[Entry]) -> DataFrame | None:
+        base = f"{self.root}/{table}/data"
+        folders = [f"{base}/{e.folder}" for e in entries if e.folder]
+        if not folders:
+            return None
+        reader = self.spark.read.option("basePath", base)
+        if table not in DAYS:  # small tables, whose columns differ between batch and stream audits
+            reader = reader.option("mergeSchema", True)
+        return reader.parquet(*folders).drop("load")
 
     def read(self, table: str) -> DataFrame | None:
-        """The table, or None while it has never been written."""
-        try:
-            return self.spark.read.parquet(self.path(table))
-        except AnalysisException as e:
-            if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-                return None
-            raise
+        """The table, or None while it has no rows."""
+        return self._read(table, self._state(table)[1])
 
     def read_between(self, table: str, start, end) -> DataFrame:
         """Rows of a fact from start to end: months prune folders, days prune row groups."""
@@ -67,25 +101,99 @@ class Warehouse:
         months = F.col(MONTH).between(F.lit(first), F.lit(as_date(end)))
         return within(rows.filter(months), DAYS[table], start, end).drop(MONTH)
 
-    def append(self, table: str, rows: DataFrame) -> None:
-        self._write(table, rows, "append")
-
-    def _write(self, table: str, rows: DataFrame, mode: str) -> None:
-        self._write_to(self.path(table), table, rows, mode)
+    # --- writing -------------------------------------------------------------------
+    def _add(self, table: str, rows: DataFrame, number: int, commit: str) -> list[Entry]:
+        """Write a new folder; nobody reads it before a manifest names it.
 
-    def _write_to(self, path: str, table: str, rows: DataFrame, mode: str) -> None:
-        """Write facts by month, in files of even size and sorted by day.
-
-        The rebalance hint groups rows by month; AQE then splits a month that holds much of
-        the data over several tasks and joins small ones, which a plain repartition by the
-        month would not. One folder per day would give many small files.
+        Facts go by month, in files of even size and sorted by day. The rebalance hint groups rows by
+        month; AQE then splits a month that holds much of the data over several tasks and joins
+        small ones, which a plain repartition by the month would not.
         """
+        load = f"load={number:09d}-{uuid.uuid4().hex[:8]}"
+        path = f"{self.root}/{table}/data/{load}"
         day = DAYS.get(table)
         if day is None:
-            rows.write.mode(mode).parquet(path)
-            return
+            rows.write.parquet(path)
+            return [Entry(load, None, commit, self.spark.read.parquet(path).count())]
         rows = rows.withColumn(MONTH, F.trunc(day, "month")).hint("rebalance", MONTH)
-        rows.sortWithinPartitions(MONTH, day).write.mode(mode).partitionBy(MONTH).parquet(path)
+        rows.sortWithinPartitions(MONTH, day).write.partitionBy(MONTH).parquet(path)
+        months = [p.split("/")[-1] for p in self._glob(f"{table}/data/{load}/{MONTH}=*")]
+        if not months:
+            return [Entry("", None, commit, 0)]
+        counts = self.spark.read.parquet(path).count()  # from the files' footers
+        return [Entry(f"{load}/{m}", m.removeprefix(f"{MONTH}="), commit, counts) for m in months]
+
+    def _switch(self, table: str, number: int, entries: list[Entry]) -> None:
+        """Make `entries` the table's state, then drop what no retained manifest names."""
+        schema = "folder string, month string, commit string, rows long"
+        manifest = self.spark.createDataFrame(entries, schema).coalesce(1)
+        manifest.write.parquet(f"{self.root}/{table}/manifest/{number:09d}")
+        numbers = self._numbers(table)
+        old, kept = numbers[: -self.retain], numbers[-self.retain :]
+        if not old:
+            return
+        named = {e.folder for n in kept for e in self._entries(table, n)}
+        for n in old:
+            for folder in {e.folder for e in self._entries(table, n)} - named - {""}:
+                self._delete(f"{table}/data/{folder}")
+            self._delete(f"{table}/manifest/{n:09d}")
+
+    def append(self, table: str, rows: DataFrame, commit: str | None = None) -> int:
+        """Add rows; returns their number. A `commit` that the table already holds adds nothing."""
+        number, entries = self._state(table)
+        done = [e for e in entries if commit is not None and e.commit == commit]
+        if done:
+            return done[0].rows
+        new = self._add(table, rows, number + 1, commit or uuid.uuid4().hex)
+        self._switch(table, number + 1, entries + new)
+        return new[0].rows
+
+    def replace(self, table: str, rows: DataFrame) -> None:
+        """Give a table a new state, which may be computed from the old one."""
+        number, entries = self._state(table)
+        new = self._add(table, rows, number + 1, uuid.uuid4().hex)
+        self._switch(table, number + 1, [e._replace(folder="", month=None) for e in _commits(entries)] + new)
+
+    def merge(
+        self, table: str, incoming: DataFrame, key: str,
+        change: Callable[[DataFrame, DataFrame], DataFrame], commit: str | None = None,
+    ) -> list[str]:
+        """Copy on write: `change(stored, incoming)` is the new state of the months that hold a known key.
+
+        `incoming` should be a written table, it is read twice. Which months hold its keys is found from the key
+        column alone; only those months are read whole and written anew. Rows with unknown keys are added to their
+        own months, whose folders stay as they are. Tables without months are rewritten whole. Returns the months
+        that were rewritten.
+        """
+        number, entries = self._state(table)
+        if commit is not None and any(e.commit == commit for e in entries):
+            return []
+        commit = commit or uuid.uuid4().hex
+        stored = self._read(table, entries)
+        if stored is None:
+            new = self._add(table, incoming, number + 1, commit)
+            self._switch(table, number + 1, entries + new)
+            return []
+        touched: list[str] = []
+        live = entries
+        if table in DAYS:
+            hits = stored.join(incoming.select(key), key, "left_semi").select(F.col(MONTH).cast("string")).distinct()
+            touched = sorted(r[0] or "__HIVE_DEFAULT_PARTITION__" for r in hits.collect())  # a value a month
+            live = [e for e in entries if e.month in touched]
+        held = self._read(table, live)
+        held = stored.limit(0) if held is None else held
+        held = held.drop(MONTH) if table in DAYS else held
+        new = self._add(table, change(held, incoming), number + 1, commit)
+        gone = {e.folder for e in live}
+        kept = [e for e in entries if e.folder not in gone]
+        lost = [e._replace(folder="", month=None) for e in _commits(entries) if e.commit not in {k.commit for k in kept}]
+        self._switch(table, number + 1, kept + lost + new)
+        return touched
+
+
+def _commits(entries: list[Entry]) -> list[Entry]:
+    """One entry of each commit."""
+    return list({e.commit: e for e in entries}.values())
 
 
 def export_csv(rows: DataFrame, path: str) -> None:

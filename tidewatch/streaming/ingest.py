@@ -1,25 +1,31 @@
 """Continuous ingestion: a landing folder of feed files into the warehouse.
 
-The file source remembers which files it has read, every micro-batch writes below a folder
-of its own number, and that folder is overwritten when a batch is run again after a failure.
-So each file counts once, with exactly one audit row per batch.
+The file source remembers which files it has read, and every micro-batch is loaded by the same code, and in the
+same layout, as a batch load, under the commit name `<stream>-<number>`. A batch that is run again after a
+failure skips what it has written. So each file counts once, with exactly one audit row per batch.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from tidewatch import fixed_values as V
 from tidewatch.functions import columns as C
-from tidewatch.operators import cleaning, dimensions, loading
+from tidewatch.operators import loading
 from tidewatch.operators.dedup import ROW_INDEX
-from tidewatch.plans.ingest import FACTS
-from tidewatch.sources import readers
+from tidewatch.plans import ingest
 from tidewatch.sources.warehouse import Warehouse
 
 
+#: Where in the landing folder a row was read.
+SPLIT = "_split"
+
+
 def feed_schema(names: list[str]) -> T.StructType:
     return T.StructType([T.StructField(n, T.StringType()) for n in names])
 
@@ -32,59 +38,66 @@ def landing_stream(
         "enforceSchema", False).option("escape", '"')
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.csv(folder).select("*", F.col("_metadata.file_name").alias("source_file"))
-
-
-def _write_batch(store: Warehouse, table: str, rows: DataFrame, batch: int) -> None:
-    """One folder per batch, replaced when the batch is run again."""
-    rows.write.mode("overwrite").parquet(f"{store.path(table)}/batch_id={batch}")
+    return reader.csv(folder).select(
+        "*", F.col("_metadata.file_name").alias("source_file"),
+        F.struct("_metadata.file_path", "_metadata.file_block_start").alias(SPLIT))
 
 
-def _before(store: Warehouse, table: str, batch: int) -> DataFrame | None:
-    """What earlier batches wrote, without leftovers of a failed run of this batch."""
-    rows = store.read(table)
-    return None if rows is None or "batch_id" not in rows.columns else rows.filter(
-        F.col("batch_id") < batch)
+def _feed(batch_rows: DataFrame, order_by: str | None) -> DataFrame:
+    """The batch with its feed order: a numeric column, or the place in the files (file, split, place in it)."""
+    place = F.col(order_by).cast("long") if order_by else F.struct(SPLIT, F.monotonically_increasing_id())
+    return batch_rows.withColumn(ROW_INDEX, place).drop(SPLIT, order_by or SPLIT)
 
 
 def start_feed_stream(
-    stream: DataFrame, store: Warehouse, source_type: str, as_of: str, checkpoint: str,
-    order_by: str | None = None,
+    stream: DataFrame, store: Warehouse, source_type: str, as_of: str | Callable[[], str], checkpoint: str,
+    order_by: str | None = None, name: str = "stream",
 ) -> StreamingQuery:
-    """Clean every micro-batch and write facts, rejected rows and one audit row.
+    """Clean every micro-batch and write facts, dimensions, rejected rows and one audit row.
 
-    Tickets are inserted only when no earlier batch holds their id (`left_anti` over the id
-    column alone, so a long history costs a scan of one column).
-
-    `order_by` names a numeric column that gives the feed order; without it, the order in
-    the files is taken.
+    Tickets are inserted only when no earlier load holds their id (`left_anti` over the id
+    column alone, so a long history costs a scan of one column). `as_of` may be a function, which is asked for each
+    batch. `order_by` names a numeric column that gives the feed order; without it, the files and the order
+    in them are taken. `name` tells the commits of several streams into one warehouse apart.
     """
-    table, layout = FACTS[source_type]
 
     def load(batch_rows: DataFrame, batch: int) -> None:
-        order = (F.col(order_by).cast("long") if order_by
-                 else F.monotonically_increasing_id())
-        feed = batch_rows.withColumn(ROW_INDEX, order)
-        if order_by:
-            feed = feed.drop(order_by)
+        now = as_of() if callable(as_of) else as_of
+        commit = f"{name}-{batch}"
+        feed = _feed(batch_rows, order_by)
         feed = feed.withColumns({
-            n: C.na_to_null(F.col(n), readers.V.NA_TOKENS)
+            n: C.na_to_null(F.col(n), V.NA_TOKENS)
             for n, t in feed.dtypes if t == "string" and n != "source_file"
         })
-        tagged = readers.clean_feed(feed, source_type, as_of).tagged.persist()
+        summary = ingest.ingest_feed(store, feed, source_type, commit, now, now, commit=commit)
+        audit = summary.select(F.lit(commit).alias("run_id"), "*", F.lit(now).cast("timestamp_ntz").alias("started_at"))
+        store.merge("ingestion_run", audit, "run_id", loading.run_states, commit)
+
+    return (
+        stream.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True).start()
+    )
+
+
+def start_record_stream(
+    stream: DataFrame, store: Warehouse, dataset: str, checkpoint: str,
+    clock: Callable[[], str] = ingest.utc_now, threshold: float = 0.1, order_by: str | None = None,
+    name: str = "records",
+) -> StreamingQuery:
+    """Validate every micro-batch and load it as a run of its own; bad rows go to quarantine.
+
+    A batch without a valid row ends as a failed run, and the stream goes on.
+    """
+
+    def load(batch_rows: DataFrame, batch: int) -> None:
+        run_id = f"{name}-{batch}"
+        columns = [c for c in batch_rows.columns if c not in ("source_file", SPLIT)]
+        feed = _feed(batch_rows.fillna("", subset=columns), order_by)
         try:
-            kept = cleaning.Cleaned(tagged)
-            new = layout(kept.clean, f"batch-{batch}")
-            if source_type == "tickets":
-                known = _before(store, table, batch)
-                new = dimensions.absent_from(new, known, ["ticket_id"])
-            _write_batch(store, table, new, batch)
-            _write_batch(store, "staging_error", loading.load_errors(
-                kept.errors, f"batch-{batch}", source_type, as_of), batch)
-            _write_batch(store, "ingestion_run",
-                         loading.ingest_summary(tagged, batch_rows, source_type), batch)
-        finally:
-            tagged.unpersist()
+            ingest.ingest_records(
+                store, feed, dataset, run_id, run_id, clock(), threshold, clock=clock)
+        except ingest.AllQuarantined:
+            pass  # the audit row says so
 
     return (
         stream.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint)
