@@ -139,10 +139,11 @@ def ingest_records(
         def record(inserted: int) -> DataFrame:
             rows = loading.run_record(
                 totals, run_id, "csv", source_name, dataset, started_at, threshold, inserted, clock())
-            return written(rows, "run")
+            return store.spark.createDataFrame(rows.collect(), loading.RUN_SCHEMA)  # one row
 
-        if record(0).first()["status"] == "failed":
-            _set_run(store, record(0), f"{run_id}/ended")
+        ended = record(0)
+        if ended.first()["status"] == "failed":
+            _set_run(store, ended, f"{run_id}/ended")
             raise AllQuarantined(V.ALL_QUARANTINED)
         bad = checked.quarantined
         if landed:
@@ -156,7 +157,7 @@ def ingest_records(
     except AllQuarantined:
         raise
     except Exception as error:
-        _set_run(store, written(_ended(start, str(error), clock()), "run"), f"{run_id}/ended")
+        _set_run(store, _ended(start, str(error), clock()), f"{run_id}/ended")
         raise
     finally:
         tagged.unpersist()

@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+from contextlib import suppress
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewatch import fixed_values as V
 from tidewatch.functions import columns as C
 from tidewatch.operators import cleaning, dimensions, loading
+from tidewatch.operators.dedup import dedup
 from tidewatch.operators.periods import label_periods, within
 from tidewatch.operators.validation import validate
-from tidewatch.plans import facts
+from tidewatch.plans import facts, ingest
 from tidewatch.plans import feed_sql as S
 from tidewatch.plans.cleaning_queries import _validation_cte, text
 from tidewatch.plans.facts import AS_OF
 from tidewatch.plans.registry import query
-from tidewatch.session import work_dir
+from tidewatch.session import work_dir, written
 from tidewatch.sources import feeds, readers
 from tidewatch.sources.warehouse import Warehouse, export_csv
 from tidewatch.streaming import ingest as streams
@@ -72,6 +78,106 @@ def read_json_feed(spark, sf_dir):
     return readers.read_json_feed(spark, path, multi_line=False).select(*names)
 
 
+_BIG_K = "CASE WHEN row_index % 97 = 0 THEN ',extra' WHEN row_index % 89 = 0 THEN ',\"open' ELSE '' END"
+_FOLDER_SQL = f"""
+WITH {S.RAW_TICKETS}, placed AS (
+  SELECT *, length(bin(row_index)) AS file, row_number() OVER (ORDER BY row_index) - 1 AS place,
+    {_BIG_K} AS tail, row_number() OVER (PARTITION BY length(bin(row_index)) ORDER BY row_index) AS file_row
+  FROM raw_tickets)"""
+
+
+def _tickets_folder(spark, sf_dir) -> str:
+    """The ticket feed in files of very unequal size, as lines without a column that gives their order.
+
+    Every 97th line has a field too many, every 89th one an open quote.
+    """
+    feed = feeds.raw_tickets(spark, sf_dir)
+    blanks = {"ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+    line = F.concat(F.to_csv(F.struct(*_FEED_COLUMNS), blanks), F.expr(_BIG_K))
+    file = F.format_string("%03d", F.length(F.bin("row_index")))
+    lines = feed.select(file.alias("file"), F.col("row_index").alias("at"), line.alias("value"))
+    header = lines.select("file").distinct().select(
+        "file", F.lit(-1).cast("long").alias("at"), F.lit(",".join(_FEED_COLUMNS)).alias("value"))
+    path = work_dir(spark, "tickets-folder")
+    lines.unionByName(header).repartition("file").sortWithinPartitions("file", "at").select(
+        "file", "value").write.partitionBy("file").text(path)
+    return f"{path}/file=*"
+
+
+@query("a1_read_csv_folder", f"""{_FOLDER_SQL}
+SELECT place AS row_index, file_row, {', '.join(_FEED_COLUMNS)} FROM placed WHERE tail = ''""")
+def read_csv_folder(spark, sf_dir):
+    """Feed order and row numbers over files and splits, from their places alone."""
+    feed = readers.read_csv_feed(spark, _tickets_folder(spark, sf_dir), multi_line=False)
+    return feed.select("row_index", "file_row", *_FEED_COLUMNS)
+
+
+@query("d1_first_row_of_folder", f"""{_FOLDER_SQL}
+SELECT department_code, status, min(place) AS row_index,
+  first(ticket_id ORDER BY place) AS ticket_id FROM placed WHERE tail = '' GROUP BY ALL""")
+def first_row_of_folder(spark, sf_dir):
+    """The first row of each key, first by the order of the files."""
+    feed = readers.read_csv_feed(spark, _tickets_folder(spark, sf_dir), multi_line=False)
+    return dedup(feed, ["department_code", "status"]).select(
+        "department_code", "status", "row_index", "ticket_id")
+
+
+def _line_sql() -> str:
+    return " || ',' || ".join(f"coalesce({c}, '')" for c in _FEED_COLUMNS)
+
+
+@query("a13_malformed_rows", f"""{_FOLDER_SQL}
+SELECT 'RUN1' AS run_id, CAST(file_row AS VARCHAR) AS row_number, {_line_sql()} || tail AS raw_data,
+  'malformed_row' AS error_codes FROM placed WHERE tail <> ''""")
+def malformed_rows(spark, sf_dir):
+    """Records that cannot be read are quarantined with their text, through the ingestion of a folder."""
+    store = Warehouse(spark, work_dir(spark, "warehouse"))
+    landed = readers.land_csv(spark, _tickets_folder(spark, sf_dir), keep_blank=True, multi_line=False)
+    feed = landed.rows.withColumnRenamed("ticket_id", "ticket_number")
+    ingest.ingest_records(store, feed, "ticket", "RUN1", "tickets", AS_OF, landed=landed, clock=_clock)
+    bad = store.read("quarantined_row").filter(F.array_contains("error_codes", V.MALFORMED))
+    return bad.select("run_id", "row_number", "raw_data", F.array_join("error_codes", ",").alias("error_codes"))
+
+
+@query("a12_ingest_folder", f"""{_FOLDER_SQL}
+SELECT CAST(file_row AS VARCHAR) AS row_number, {_line_sql()} || tail AS raw_line, 'malformed_row' AS error_type
+FROM placed WHERE tail <> ''
+UNION ALL
+SELECT CAST(file_row AS VARCHAR), NULL, 'invalid_created_at' FROM placed
+WHERE tail = '' AND try_cast(created_at AS TIMESTAMP) IS NULL""")
+def ingest_folder(spark, sf_dir):
+    """Errors of a folder that goes through `ingest_files`: broken lines and rows without a valid date."""
+    store = Warehouse(spark, work_dir(spark, "warehouse"))
+    path = _tickets_folder(spark, sf_dir)
+    landed = readers.land_csv(spark, path, multi_line=False)
+    ingest.ingest_feed(store, landed.rows, "tickets", "folder", AS_OF, AS_OF, landed)
+    broken = F.col("error_type") == V.MALFORMED
+    return store.read("staging_error").select(
+        "row_number", F.when(broken, F.col("raw_data")).alias("raw_line"), "error_type")
+
+
+@query("a3_json_documents", f"""
+WITH {S.RAW_MARKET}
+SELECT title, signal_date, category, 'ok' AS state FROM raw_market
+UNION ALL
+SELECT DISTINCT NULL, NULL, NULL, '[{{"document": ' || row_index // 20000 FROM raw_market""")
+def json_documents(spark, sf_dir):
+    """Whole files as documents, each beside one that is cut off; what cannot be read keeps its text."""
+    names = ["title", "signal_date", "category"]
+    rows = feeds.raw_market(spark, sf_dir).select(
+        F.struct(*names).alias("r"), F.floor(F.col("row_index") / 20000).alias("doc"))
+    good = rows.groupBy("doc").agg(F.to_json(F.struct(F.collect_list("r").alias("signals"))).alias("value"))
+    cut = rows.select("doc").distinct().select(
+        (F.col("doc") + 1_000_000).alias("doc"), F.concat(F.lit('[{"document": '), "doc").alias("value"))
+    path = work_dir(spark, "documents-json")
+    good.unionByName(cut).repartition("doc").write.partitionBy("doc").text(path)
+    landed = readers.land_json(spark, f"{path}/doc=*", names)
+    read = landed.rows.select(*names, F.lit("ok").alias("state"))
+    broken = landed.malformed.select(
+        *[F.lit(None).cast("string").alias(n) for n in names], F.btrim("raw_data", F.lit("\n")).alias("state"))
+    return read.unionByName(broken)
+
+
 # --- dimensions ---------------------------------------------------------------------------
 @query("e1_build_dim_date", f"""
 WITH {S.raw_workforce()}, d AS (
@@ -126,14 +232,14 @@ def _known_employees(spark, sf_dir):
 
 
 def _known_days(spark, sf_dir):
-    """Days of the year 1998 only, so that lookups also miss."""
-    days = feeds.table(spark, sf_dir, "lineitem").filter("year(l_shipdate) = 1998")
+    """All days but the 31sts, so that lookups also miss."""
+    days = feeds.table(spark, sf_dir, "lineitem").filter("day(l_shipdate) <> 31")
     return dimensions.build_dim_date(days, "l_shipdate")
 
 
 _RESOLVED_SQL = f"""
 WITH {S.hour_records()}, {S.employees(S.VALID_EMPLOYEE)},
-days AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS day FROM lineitem WHERE year(l_shipdate) = 1998),
+days AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS day FROM lineitem WHERE day(l_shipdate) <> 31),
 resolved AS (
   SELECT r.employee_code, r.date, CAST(strftime(day, '%Y%m%d') AS INTEGER) AS date_id,
     e.employee_code IS NOT NULL AS known_employee, e.department_code, utilization_pct, is_absent
@@ -157,10 +263,10 @@ SELECT date, 2 * count(*) AS rows, CAST(2 * sum(tasks_completed) AS BIGINT) AS t
   2 * count(*) FILTER (WHERE absent) AS absences, count(DISTINCT employee_id) AS employees
 FROM hours GROUP BY date""")
 def append_operations(spark, sf_dir):
-    """A feed loaded twice is in the fact twice."""
+    """A feed loaded twice, in two loads, is in the fact twice."""
     store = Warehouse(spark, work_dir(spark, "warehouse"))
-    rows = loading.operations_facts(facts.hour_facts(spark, sf_dir), "feed.csv")
-    store.append("fact_operations", rows.withColumn("load", F.explode(F.array(F.lit(1), F.lit(2)))))
+    for name in ("one.csv", "two.csv"):
+        ingest.ingest_feed(store, feeds.raw_workforce(spark, sf_dir), "workforce", name, AS_OF, AS_OF)
     return store.read("fact_operations").groupBy("date").agg(
         F.count("*").alias("rows"), F.sum("tasks_completed").alias("tasks_completed"),
         F.count_if("absent").alias("absences"), F.count_distinct("employee_id").alias("employees"))
@@ -177,14 +283,43 @@ def insert_tickets_if_absent(spark, sf_dir):
         "ticket_id", "created_date", "status", "department_code")
 
 
+@query("a6_ticket_dimensions", f"""
+WITH {S.TICKETS_DEDUPED}, days AS (
+  SELECT created_date AS day FROM tickets
+  UNION SELECT CAST(resolved_at AS DATE) FROM tickets WHERE resolved_at IS NOT NULL)
+SELECT 'dim_date' AS name, count(DISTINCT day) AS rows FROM days
+UNION ALL SELECT 'dim_department', count(DISTINCT coalesce(department_code, 'UNKNOWN')) FROM tickets
+UNION ALL SELECT 'fact_ticket', count(*) FROM tickets
+UNION ALL SELECT 'unknown members', 0""")
+def ticket_dimensions(spark, sf_dir):
+    """Two loads of tickets add each day and department once, and every fact finds its members."""
+    store = Warehouse(spark, work_dir(spark, "warehouse"))
+    feed = feeds.raw_tickets(spark, sf_dir, repeated=True)
+    for name, rows in (("even.csv", feed.filter("row_index % 2 = 0")), ("all.csv", feed)):
+        ingest.ingest_feed(store, rows, "tickets", name, AS_OF, AS_OF)
+    fact, days = store.read("fact_ticket"), store.read("dim_date").select("date_id")
+    departments = store.read("dim_department").select("department_key")
+    lost = fact.join(days, F.col("created_date_id") == F.col("date_id"), "left_anti").select("ticket_id")
+    lost = lost.unionByName(fact.filter("resolved_at is not null").join(
+        days, F.col("resolved_date_id") == F.col("date_id"), "left_anti").select("ticket_id"))
+    lost = lost.unionByName(fact.join(departments, "department_key", "left_anti").select("ticket_id"))
+    sizes = [("dim_date", days), ("dim_department", departments), ("fact_ticket", fact), ("unknown members", lost)]
+    counts = [df.agg(F.count("*").alias("rows")).select(F.lit(n).alias("name"), "rows") for n, df in sizes]
+    return reduce(DataFrame.unionByName, counts)
+
+
 @query("a7_append_market_signals", f"""
 WITH {S.SIGNALS}
 SELECT signal_date, CAST(strftime(signal_date, '%Y%m%d') AS INTEGER) AS date_id, source, category,
-  region, industry, value, change_pct FROM signals""")
+  region, industry, value, change_pct, unnest(['one.json', 'two.json']) AS source_file FROM signals""")
 def append_market_signals(spark, sf_dir):
-    clean = cleaning.clean_market_signals(feeds.raw_market(spark, sf_dir)).clean
-    return loading.signal_facts(clean, "feed.json").select(
-        "signal_date", "date_id", "source", "category", "region", "industry", "value", "change_pct")
+    """Two loads are appended one after the other; their days join the date dimension."""
+    store = Warehouse(spark, work_dir(spark, "warehouse"))
+    for name in ("one.json", "two.json"):
+        ingest.ingest_feed(store, feeds.raw_market(spark, sf_dir), "market", name, AS_OF, AS_OF)
+    days = store.read("dim_date").select("date_id")
+    return store.read("fact_market_signal").join(days, "date_id", "left_semi").select(
+        "signal_date", "date_id", "source", "category", "region", "industry", "value", "change_pct", "source_file")
 
 
 _EMPLOYEE_STATE = ["employee_code", "full_name", "email", "role", "department_code", "status"]
@@ -243,17 +378,41 @@ def upsert_tickets(spark, sf_dir):
         "ticket_number", "category", "priority", "status", "resolution_minutes", "sla_breached")
 
 
+@query("a10_upsert_tickets_stored", f"""
+WITH {S.TICKET_RECORDS}
+SELECT ticket_number, CASE WHEN known THEN category ELSE 'other' END AS category,
+  CASE WHEN late THEN 'closed' ELSE status END AS status, resolution_minutes
+FROM (
+  SELECT *, row_index % 2 = 0 AS known, created_date >= DATE '2024-01-20' OR row_index % 2 = 1 AS late
+  FROM ticket_records)""")
+def upsert_tickets_stored(spark, sf_dir):
+    """Two loads into a warehouse: even tickets, then the odd ones and those since the 20th, closed, as 'other'."""
+    store = Warehouse(spark, work_dir(spark, "warehouse"))
+    records = facts.ticket_records(spark, sf_dir)
+    even = F.col("row_index") % 2 == 0
+    store.merge("fact_ticket_record", written(records.filter(even), "records"), "ticket_number",
+                loading.upsert_ticket_records, "one")
+    late = records.filter((F.col("created_date") >= F.lit("2024-01-20").cast("date")) | ~even)
+    incoming = written(late.withColumns({"status": F.lit("closed"), "category": F.lit("other")}), "records")
+    store.merge("fact_ticket_record", incoming, "ticket_number", loading.upsert_ticket_records, "two")
+    return store.read("fact_ticket_record").select("ticket_number", "category", "status", "resolution_minutes")
+
+
 @query("a11_insert_market_signals", f"""
-WITH {S.RAW_MARKET}, days AS (
-  SELECT DISTINCT CAST(l_shipdate AS DATE) AS day FROM lineitem WHERE year(l_shipdate) = 1998),
-s AS (SELECT try_cast(signal_date AS DATE) AS signal_date, lower(trim(category)) AS category, source, title
+WITH {S.RAW_MARKET}, s AS (
+  SELECT try_cast(signal_date AS DATE) AS signal_date, lower(trim(category)) AS category, source, title
   FROM raw_market WHERE signal_date <> 'n/a' AND category <> 'gossip'
   AND abs(CAST(sentiment_score AS DOUBLE)) <= 1)
-SELECT s.*, CAST(strftime(day, '%Y%m%d') AS INTEGER) AS date_id FROM s LEFT JOIN days ON signal_date = day""")
+SELECT *, CAST(strftime(signal_date, '%Y%m%d') AS INTEGER) AS date_id, unnest([1, 2]) AS load FROM s""")
 def insert_market_signals(spark, sf_dir):
-    valid = validate(feeds.raw_market(spark, sf_dir), "market_signal").valid
-    rows = loading.resolve_signals(cleaning.clean_signal_records(valid), _known_days(spark, sf_dir))
-    return rows.select("signal_date", "category", "source", "title", "date_id")
+    """Two runs insert the same signals twice; the days they mention first are added before the lookup."""
+    store = Warehouse(spark, work_dir(spark, "warehouse"))
+    for run in ("RUN1", "RUN2"):
+        ingest.ingest_records(store, feeds.raw_market(spark, sf_dir), "market_signal", run, "f.csv", AS_OF,
+                              threshold=0.5, clock=_clock)
+    rows = store.read("fact_signal_record").withColumn(
+        "load", F.row_number().over(Window.partitionBy("title").orderBy("title")))
+    return rows.select("signal_date", "category", "source", "title", "date_id", "load")
 
 
 def _errors_sql(extra: str) -> str:
@@ -304,37 +463,61 @@ _DATASETS = [("employee", feeds.raw_employees), ("market_signal", feeds.raw_mark
              ("operations", feeds.raw_operations_records), ("ticket", feeds.raw_ticket_records)]
 
 
+#: Distinct keys of the valid rows: what is left after dedup.
+_KEYS = {"employee": "count(DISTINCT upper(trim(employee_code)))",
+         "operations": "count(DISTINCT (upper(trim(employee_id)), date))",
+         "ticket": "count(DISTINCT upper(trim(ticket_id)))", "market_signal": "count(*)"}
+
+
 def _runs_sql(order: str) -> str:
-    parts = []
-    for i, (dataset, _) in enumerate(_DATASETS):
+    parts = ["""
+SELECT 'RUN0' AS run_id, 'fact_operations' AS target_table, 0 AS rows_read, 0 AS rows_inserted,
+  0 AS rows_quarantined, 0.0::DOUBLE AS quarantine_rate, 'failed' AS status,
+  'load the employee records before the operations records' AS error_message,
+  '2024-01-31 00:00:00' AS started_at, '2024-02-01 00:00:00' AS completed_at"""]
+    for i, (dataset, _) in enumerate(_DATASETS, 1):
         parts.append(f"""
-SELECT 'RUN{i}' AS run_id, '{'dim_employee' if dataset == 'employee' else 'fact_' + dataset}'
-    AS target_table, count(*) AS rows_read, count(*) FILTER (WHERE len(failed) = 0) AS rows_inserted,
-  count(*) FILTER (WHERE len(failed) > 0) AS rows_quarantined,
-  round(count(*) FILTER (WHERE len(failed) > 0) / count(*), 4) AS quarantine_rate,
-  CASE WHEN count(*) FILTER (WHERE len(failed) > 0) / count(*) < 0.05 THEN 'success' ELSE 'partial' END
-    AS status
+SELECT 'RUN{i}', '{'dim_employee' if dataset == 'employee' else 'fact_' + dataset}', count(*),
+  {_KEYS[dataset]} FILTER (WHERE len(failed) = 0), count(*) FILTER (WHERE len(failed) > 0),
+  round(count(*) FILTER (WHERE len(failed) > 0) / count(*), 4),
+  CASE WHEN count(*) FILTER (WHERE len(failed) > 0) / count(*) < 0.05 THEN 'success' ELSE 'partial' END,
+  NULL, '2024-02-0{i} 00:00:00', '2024-02-01 00:00:00'
 FROM (WITH {_validation_cte(dataset)} SELECT * FROM checked)""")
+    parts.append("""
+SELECT 'RUN5', 'dim_employee', count(*), 0, count(*), 1.0, 'failed',
+  '100% quarantine rate — aborting. Check schema.', '2024-02-05 00:00:00', '2024-02-01 00:00:00'
+FROM supplier WHERE s_suppkey % 17 = 0""")
     return " UNION ALL ".join(parts) + order
 
 
 _RUN_COLUMNS = ["run_id", "target_table", "rows_read", "rows_inserted", "rows_quarantined",
-                "quarantine_rate", "status"]
+                "quarantine_rate", "status", "error_message"]
+
+
+def _clock() -> str:
+    return "2024-02-01 00:00:00"
 
 
 def _runs(spark, sf_dir):
-    runs = None
-    for i, (dataset, feed) in enumerate(_DATASETS):
-        totals = validate(feed(spark, sf_dir), dataset).totals()
-        run = loading.run_record(totals, f"RUN{i}", "csv", "f.csv", dataset,
-                                 f"2024-02-0{i + 1} 00:00:00", threshold=0.05)
-        runs = run if runs is None else runs.unionByName(run)
-    return runs
+    """Runs through the record ingestion: one that stops with an error, one for each dataset, one without a valid row."""
+    store = Warehouse(spark, work_dir(spark, "warehouse"))
+
+    def load(run, dataset, feed, at):
+        ingest.ingest_records(store, feed, dataset, run, "f.csv", at, threshold=0.05, clock=_clock)
+
+    with suppress(ValueError):  # hours before any employee
+        load("RUN0", "operations", feeds.raw_operations_records(spark, sf_dir), AS_OF)
+    for i, (dataset, feed) in enumerate(_DATASETS, 1):
+        load(f"RUN{i}", dataset, feed(spark, sf_dir), f"2024-02-0{i} 00:00:00")
+    with suppress(ValueError):  # no name at all
+        load("RUN5", "employee", feeds.raw_employees(spark, sf_dir).filter("full_name = ''"),
+             "2024-02-05 00:00:00")
+    return store.read("ingestion_run")
 
 
 @query("a14_ingestion_runs", _runs_sql(""))
 def ingestion_runs(spark, sf_dir):
-    return _runs(spark, sf_dir).select(*_RUN_COLUMNS)
+    return _runs(spark, sf_dir).select(*_RUN_COLUMNS, text("started_at"), text("completed_at"))
 
 
 @query("a15_list_errors", _errors_sql("ORDER BY created_at DESC, source_type, row_number LIMIT 50"))
@@ -344,7 +527,8 @@ def list_errors(spark, sf_dir):
 
 @query("a16_list_runs", f"SELECT * FROM ({_runs_sql('')}) ORDER BY run_id DESC LIMIT 3")
 def list_runs(spark, sf_dir):
-    return loading.list_runs(_runs(spark, sf_dir), limit=3).select(*_RUN_COLUMNS)
+    runs = loading.list_runs(_runs(spark, sf_dir), limit=3)
+    return runs.select(*_RUN_COLUMNS, text("started_at"), text("completed_at"))
 
 
 @query("a17_list_quarantine", f"""
@@ -372,16 +556,27 @@ def export_report(spark, sf_dir):
         "priority string, tickets long, breached long").csv(path)
 
 
-@query("a19_ingest_summary", f"""
-WITH {S.TICKETS_DEDUPED}
-SELECT 'tickets' AS source_type, (SELECT count(*) FROM repeated_tickets) AS raw_rows,
+def _summary_sql(load: str, condition: str, new: str) -> str:
+    return f"""
+SELECT '{load}' AS load, 'tickets' AS source_type,
+  (SELECT count(*) FROM repeated_tickets WHERE {condition}) AS raw_rows,
   count(*) FILTER (WHERE error_code IS NULL) AS clean_rows,
-  count(*) FILTER (WHERE error_code IS NULL) AS loaded_rows,
+  count(*) FILTER (WHERE error_code IS NULL AND {new}) AS loaded_rows,
   count(*) FILTER (WHERE error_code IS NOT NULL) AS error_count, 'success' AS status
-FROM tagged_tickets""")
+FROM tagged_tickets WHERE {condition}"""
+
+
+@query("a19_ingest_summary", f"""
+WITH {S.TICKETS_DEDUPED}
+{_summary_sql('one', 'row_index % 2 = 0', 'TRUE')} UNION ALL {_summary_sql('two', 'TRUE', 'row_index % 2 = 1')}""")
 def ingest_summary(spark, sf_dir):
+    """Two loads of tickets: the second one finds the even ones in the fact, which are clean but not loaded."""
+    store = Warehouse(spark, work_dir(spark, "warehouse"))
     feed = feeds.raw_tickets(spark, sf_dir, repeated=True)
-    return loading.ingest_summary(cleaning.clean_tickets(feed, AS_OF).tagged, feed, "tickets")
+    loads = [("one", feed.filter("row_index % 2 = 0")), ("two", feed)]
+    found = [ingest.ingest_feed(store, rows, "tickets", name, AS_OF, AS_OF).withColumn("load", F.lit(name))
+             for name, rows in loads]
+    return found[0].unionByName(found[1])
 
 
 # --- joins --------------------------------------------------------------------------------
@@ -474,6 +669,47 @@ def stream_ingest(spark, sf_dir):
     return _run_ticket_stream(spark, sf_dir, repeated=False).read("fact_ticket").select(*_FACT_COLUMNS)
 
 
+@query("s1_stream_records", f"""
+WITH {_validation_cte('ticket')}
+SELECT 'facts' AS name, count(DISTINCT ticket_id) AS rows FROM checked WHERE len(failed) = 0
+UNION ALL SELECT 'quarantined', count(*) FROM checked WHERE len(failed) > 0
+UNION ALL SELECT 'runs', 4
+UNION ALL SELECT 'rows read', count(*) FROM checked""")
+def stream_records(spark, sf_dir):
+    """Validated records in four micro-batches: facts, quarantine and one completed run for each batch."""
+    store = Warehouse(spark, work_dir(spark, "stream-warehouse"))
+    names = ["ticket_number", *_FEED_COLUMNS[1:], "first_response_minutes"]
+    path = work_dir(spark, "records-csv")
+    feed = feeds.raw_ticket_records(spark, sf_dir).select(F.col("row_index").alias("seq"), *names)
+    export_csv(feed.repartitionByRange(4, "seq").sortWithinPartitions("seq"), path)
+    stream = streams.landing_stream(spark, path, ["seq", *names], files_per_batch=1)
+    streams.start_record_stream(stream, store, "ticket", work_dir(spark, "stream-state"), clock=_clock,
+                                order_by="seq").awaitTermination()
+    runs = store.read("ingestion_run").filter("completed_at is not null")
+    counts = [("facts", store.read("fact_ticket_record").agg(F.count("*"))),
+              ("quarantined", store.read("quarantined_row").agg(F.count("*"))),
+              ("runs", runs.agg(F.count("*"))), ("rows read", runs.agg(F.sum("rows_read")))]
+    return reduce(DataFrame.unionByName, [
+        df.toDF("rows").select(F.lit(n).alias("name"), "rows") for n, df in counts])
+
+
+@query("s1_batch_stream_batch", f"""
+WITH {S.TICKETS}
+SELECT {', '.join(_FACT_COLUMNS)} FROM tickets""")
+def batch_stream_batch(spark, sf_dir):
+    """A batch, a stream and a batch again, into one table and one layout."""
+    store = Warehouse(spark, work_dir(spark, "stream-warehouse"))
+    feed = feeds.raw_tickets(spark, sf_dir)
+    ingest.ingest_feed(store, feed.filter("row_index % 3 = 0"), "tickets", "one.csv", AS_OF, AS_OF)
+    landing = work_dir(spark, "tickets-csv")
+    export_csv(feed.filter("row_index % 3 < 2").select(F.col("row_index").alias("seq"), *_FEED_COLUMNS), landing)
+    stream = streams.landing_stream(spark, landing, ["seq", *_FEED_COLUMNS])
+    streams.start_feed_stream(stream, store, "tickets", AS_OF, work_dir(spark, "stream-state"),
+                              order_by="seq").awaitTermination()
+    ingest.ingest_feed(store, feed, "tickets", "two.csv", AS_OF, AS_OF)
+    return store.read("fact_ticket").select(*_FACT_COLUMNS)
+
+
 @query("s2_stream_dedup", f"""
 WITH {S.TICKETS_DEDUPED}
 SELECT count(*) AS facts, count(DISTINCT ticket_id) AS tickets, 4 AS batches,

@@ -12,6 +12,7 @@ number, and the second one fails.
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -53,22 +54,43 @@ class Warehouse:
     retain: int = 2
 
     # --- files ---------------------------------------------------------------------
+    def _path(self, relative: str):
+        """The Hadoop path below the root, and its file system."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{relative}")
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
     def _glob(self, pattern: str) -> list[str]:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{pattern}")
-        found = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(path) or []
-        return sorted(f.getPath().toString() for f in found)
+        path, system = self._path(pattern)
+        return sorted(f.getPath().toString() for f in system.globStatus(path) or [])
 
     def _delete(self, relative: str) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{relative}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        path, system = self._path(relative)
+        system.delete(path, True)
 
     def _numbers(self, table: str) -> list[int]:
-        """Numbers of the complete manifests: Spark writes _SUCCESS last."""
-        return [int(p.split("/")[-2]) for p in self._glob(f"{table}/manifest/*/_SUCCESS")]
+        """Numbers of the manifests; a manifest gets its name when it is complete."""
+        return [int(p.split("/")[-1].removesuffix(".json")) for p in self._glob(f"{table}/manifest/*.json")]
 
     def _entries(self, table: str, number: int) -> list[Entry]:
-        rows = self.spark.read.parquet(f"{self.root}/{table}/manifest/{number:09d}").collect()
-        return [Entry(*r) for r in rows]  # one for each live folder
+        """The entries of a manifest, one for each live folder and month."""
+        path, system = self._path(f"{table}/manifest/{number:09d}.json")
+        stream = system.open(path)
+        try:
+            text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+        return [Entry(*e) for e in json.loads(text)]
+
+    def _write_manifest(self, table: str, number: int, entries: list[Entry]) -> None:
+        draft, system = self._path(f"{table}/manifest/{uuid.uuid4().hex}.draft")
+        stream = system.create(draft, False)
+        try:
+            stream.write(json.dumps(entries).encode())
+        finally:
+            stream.close()
+        final, _ = self._path(f"{table}/manifest/{number:09d}.json")
+        if system.exists(final) or not system.rename(draft, final):
+            raise RuntimeError(f"{table}: another load has written manifest {number}")
 
     def _state(self, table: str) -> tuple[int, list[Entry]]:
         numbers = self._numbers(table)
@@ -125,9 +147,7 @@ class Warehouse:
 
     def _switch(self, table: str, number: int, entries: list[Entry]) -> None:
         """Make `entries` the table's state, then drop what no retained manifest names."""
-        schema = "folder string, month string, commit string, rows long"
-        manifest = self.spark.createDataFrame(entries, schema).coalesce(1)
-        manifest.write.parquet(f"{self.root}/{table}/manifest/{number:09d}")
+        self._write_manifest(table, number, entries)
         numbers = self._numbers(table)
         old, kept = numbers[: -self.retain], numbers[-self.retain :]
         if not old:
@@ -136,7 +156,7 @@ class Warehouse:
         for n in old:
             for folder in {e.folder for e in self._entries(table, n)} - named - {""}:
                 self._delete(f"{table}/data/{folder}")
-            self._delete(f"{table}/manifest/{n:09d}")
+            self._delete(f"{table}/manifest/{n:09d}.json")
 
     def append(self, table: str, rows: DataFrame, commit: str | None = None) -> int:
         """Add rows; returns their number. A `commit` that the table already holds adds nothing."""
