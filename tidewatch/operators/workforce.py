@@ -32,7 +32,7 @@ def _absences(name: str = "absent") -> Column:
     return F.count_if(F.col(name))
 
 
-def _nonzero(capacity: Column) -> Column:
+def nonzero(capacity: Column) -> Column:
     """Capacity as a divisor: 1 where it is 0 or unknown, and never below 0.01."""
     known = F.when(F.coalesce(capacity, F.lit(0.0)) == 0, 1.0).otherwise(capacity)
     return F.greatest(known, F.lit(0.01))
@@ -54,7 +54,7 @@ def classify_gap(gap: Column, capacity: Column) -> Column:
     return F.when(share > 0.25, "critical").when(share > 0.15, "warning").otherwise("low")
 
 
-def _named(per: DataFrame, departments: DataFrame) -> DataFrame:
+def named(per: DataFrame, departments: DataFrame) -> DataFrame:
     """Inner join of an aggregate with the department dimension, for the name."""
     names = departments.select(
         F.col("code").alias("department_code"), F.col("name").alias("department_name")
@@ -76,7 +76,7 @@ def workforce_summary(hours: DataFrame, start, end, department: str | None = Non
         _zero(C.rounded(F.avg("capacity_units"), 2)).alias("avg_capacity"),
     )
     people = F.greatest(F.col("total_employees"), F.lit(1))
-    coverage = F.col("avg_demand") / _nonzero(F.col("avg_capacity")) * 100
+    coverage = F.col("avg_demand") / nonzero(F.col("avg_capacity")) * 100
     return totals.select(
         F.lit(as_date(start)).alias("period_start"), F.lit(as_date(end)).alias("period_end"),
         *totals.columns,
@@ -97,7 +97,7 @@ def workforce_by_department(hours: DataFrame, departments: DataFrame, start, end
         _sum2("capacity_units").alias("capacity_units"),
     )
     capacity = F.greatest(F.col("capacity_units"), F.lit(0.01))
-    return _named(per, departments).withColumns({
+    return named(per, departments).withColumns({
         "demand_coverage_pct": F.round(F.col("demand_units") / capacity * 100, 1),
         "staffing_status": classify_status(F.col("utilization_pct")),
     }).orderBy(F.desc_nulls_first("utilization_pct"), "department_code")
@@ -109,7 +109,7 @@ def utilization_heatmap(hours: DataFrame, departments: DataFrame, start, end) ->
         F.count_distinct("employee_id").alias("headcount"),
         _absences().alias("absences"),
     )
-    return _named(per, departments).orderBy("date", "department_code")
+    return named(per, departments).orderBy("date", "department_code")
 
 
 def staffing_gaps(
@@ -125,11 +125,11 @@ def staffing_gaps(
         F.round(F.sum("capacity_units"), 6).alias("capacity"),
     ).filter(F.col("demand") > F.round(F.col("capacity") * 1.05, 6))
     gap, capacity = F.col("gap"), F.col("capacity")
-    top = _named(per, departments).withColumn("gap", F.round(F.col("demand") - capacity, 6))
+    top = named(per, departments).withColumn("gap", F.round(F.col("demand") - capacity, 6))
     return top.orderBy(F.desc_nulls_first("gap"), "date", "department_code").limit(limit).select(
         "date", "department_code", "department_name", "demand", "capacity", "gap",
-        F.round(gap / _nonzero(capacity) * 100, 1).alias("gap_pct"),
-        classify_gap(gap, _nonzero(capacity)).alias("severity"),
+        F.round(gap / nonzero(capacity) * 100, 1).alias("gap_pct"),
+        classify_gap(gap, nonzero(capacity)).alias("severity"),
     )
 
 
@@ -188,7 +188,7 @@ def workforce_by_department_records(
     hours: DataFrame, departments: DataFrame, start, end
 ) -> DataFrame:
     """By department name; hours of employees without a department drop out of the join."""
-    per = _named(
+    per = named(
         within(hours, DAY, start, end).groupBy("department_code", "employee_code").agg(
             F.sum("utilization_pct").alias("_util"), F.count("utilization_pct").alias("_known"),
             F.sum("tasks_completed").alias("_tasks"),

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["reports", "cleaning_queries", "loading_queries", "series_queries", "narrative_queries"]
+MODULES = ["reports", "stored_queries", "cleaning_queries", "loading_queries", "series_queries", "narrative_queries"]
 
 
 def all_queries():

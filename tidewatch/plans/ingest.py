@@ -6,6 +6,7 @@ again under the same name and adds only what is missing; streams name their micr
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import UTC, datetime
 
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from tidewatch import fixed_values as V
-from tidewatch.operators import cleaning, dimensions, loading
+from tidewatch.operators import cleaning, dimensions, loading, rollups
 from tidewatch.operators.dedup import POINTER
 from tidewatch.operators.validation import Validated, validate
 from tidewatch.session import written
@@ -51,6 +52,16 @@ def load_dimensions(store: Warehouse, clean: DataFrame, source_type: str = "work
         store.append("dim_employee", dimensions.new_employees(clean, store.read("dim_employee")))
 
 
+def _add_days_of(store: Warehouse, table: str, commit: str) -> None:
+    """The daily partial rows of what a load wrote, taken from its folder, so that a repeated load finds them too."""
+    if table not in rollups.ROLLUPS:
+        return
+    daily, of = rollups.ROLLUPS[table]
+    rows = store.loaded(table, commit)
+    if rows is not None:
+        store.append(daily, of(rows), commit)
+
+
 def ingest_feed(
     store: Warehouse, feed: DataFrame, source_type: str, source_file: str, as_of: str,
     loaded_at: str, landed: Landed | None = None, commit: str | None = None,
@@ -61,6 +72,7 @@ def ingest_feed(
     written; a lost executor only means that its part is computed again. With `landed`, the rows' own files are
     named, the records that could not be read go to the errors, and the raw rows are known without a scan.
     """
+    commit = commit or uuid.uuid4().hex
     tagged = readers.clean_feed(feed, source_type, as_of).tagged.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         kept = cleaning.Cleaned(tagged)
@@ -71,6 +83,7 @@ def ingest_feed(
             new = new if existing is None else loading.insert_tickets_if_absent(new, existing)
         load_dimensions(store, kept.clean, source_type)
         loaded = store.append(table, new, commit)
+        _add_days_of(store, table, commit)
         errors = loading.load_errors(kept.errors, source_file, source_type, loaded_at)
         if landed:
             bad = loading.malformed_errors(landed.malformed)

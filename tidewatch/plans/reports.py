@@ -79,14 +79,17 @@ def tickets_by_category(spark, sf_dir):
     return tickets.tickets_by_category(facts.ticket_facts(spark, sf_dir), TICKETS_FROM, TICKETS_TO)
 
 
-@query("g10_sla_report", f"""
+SLA_SQL = f"""
 WITH {S.TICKETS}
 SELECT priority, sla_target_hours, count(*) AS total,
   count(*) FILTER (WHERE sla_breached) AS breached,
   round(count(*) FILTER (WHERE sla_breached) / greatest(count(*), 1) * 100, 1) AS breach_rate_pct,
   coalesce(round(round(avg(actual_resolution_hours), 9), 2), 0.0) AS avg_resolution_hours,
   coalesce(round(round(quantile_cont(actual_resolution_hours, 0.95), 9), 2), 0.0) AS p95_resolution_hours
-FROM tickets WHERE {_T} GROUP BY priority, sla_target_hours""")
+FROM tickets WHERE {_T} GROUP BY priority, sla_target_hours"""
+
+
+@query("g10_sla_report", SLA_SQL)
 def sla_report(spark, sf_dir):
     return tickets.sla_report(facts.ticket_facts(spark, sf_dir), TICKETS_FROM, TICKETS_TO)
 

@@ -31,6 +31,8 @@ DAYS = {
     "fact_operations_record": "date",
     "fact_ticket_record": "created_at",
     "fact_signal_record": "signal_date",
+    "daily_ticket": "created_date",
+    "daily_operations": "date",
 }
 MONTH = "month"
 
@@ -117,6 +119,10 @@ class Warehouse:
         """The table, or None while it has no rows."""
         return self._read(table, self._state(table)[1])
 
+    def loaded(self, table: str, commit: str) -> DataFrame | None:
+        """The rows that one load wrote, as far as no later merge rewrote them."""
+        return self._read(table, [e for e in self._state(table)[1] if e.commit == commit])
+
     def read_between(self, table: str, start, end) -> DataFrame:
         """Rows of a fact from start to end: months prune folders, days prune row groups."""
         rows, first = self.read(table), as_date(start).replace(day=1)
