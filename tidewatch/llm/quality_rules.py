@@ -144,24 +144,24 @@ def quantiles(cells: DataFrame, key: str, percents: list[int]) -> DataFrame:
 
 def thresholds(cells: DataFrame, slack: dict[str, int], spread: int, least: int) -> DataFrame:
     """cell, level, and a threshold for each measure. `cells` is a sketch by cell and its group."""
-    levels = {"cell": "cell", "group": "group", "all": "all"}
     cells = cells.withColumn("all", F.lit(""))
-    fences = {}
-    for level, key in levels.items():
+    per_measure = F.create_map(*(F.lit(x) for pair in slack.items() for x in pair))[F.col("measure")]
+    fence = F.col("q50") + spread * F.greatest(F.col("q50") - F.col("q25"), per_measure)
+
+    def fences(key: str) -> DataFrame:
         found = quantiles(merged(cells, key), key, [25, 50])
-        per_measure = F.create_map(*(F.lit(x) for pair in slack.items() for x in pair))[F.col("measure")]
-        fence = F.col("q50") + spread * F.greatest(F.col("q50") - F.col("q25"), per_measure)
-        fences[level] = found.groupBy(F.col(key).alias(f"{level}_key")).agg(
-            F.first("n").alias(f"{level}_n"),
-            *(F.max(F.when(F.col("measure") == m, fence)).alias(f"{level}_{m}") for m in slack),
+        return found.groupBy(key).agg(
+            F.first("n").alias(f"{key}_n"),
+            *(F.max(F.when(F.col("measure") == m, fence)).alias(f"{key}_{m}") for m in slack),
         )
-    out = cells.select("cell", "group", "all").distinct()
-    for level, key in levels.items():
-        out = out.join(fences[level], out[key] == fences[level][f"{level}_key"])
+
+    whole = fences("all").collect()  # one row, or none
+    out = cells.select("cell", "group").distinct().join(fences("cell"), "cell").join(fences("group"), "group")
 
     def chosen(name: str) -> Column:
         own = F.when(F.col("cell_n") >= least, F.col(f"cell_{name}"))
-        return own.when(F.col("group_n") >= least, F.col(f"group_{name}")).otherwise(F.col(f"all_{name}"))
+        last = F.lit(whole[0][f"all_{name}"] if whole else None).cast("long")
+        return own.when(F.col("group_n") >= least, F.col(f"group_{name}")).otherwise(last)
 
     level = F.when(F.col("cell_n") >= least, "cell").when(F.col("group_n") >= least, "group").otherwise("all")
     return out.select("cell", level.alias("level"), *(chosen(m).alias(f"max_{m}") for m in slack))
