@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.timeparts import FEATURES
-from tidewatch.operators import anomaly, forecast, tickets, workforce
+from tidewatch.operators import anomaly, forecast, smoothing, tickets, workforce
 from tidewatch.operators import series as W
 from tidewatch.plans import facts
 from tidewatch.plans import feed_sql as S
@@ -584,6 +584,48 @@ def holt_winters(spark, sf_dir):
         *DEPT, "methodology", "points", r("mape", 1).alias("mape"), "trend_direction", "summary")
 
 
+_ALPHA, _BETA, _GAMMA = 0.3, 0.1, 0.2
+
+
+@query("l5_holt_winters_fixed", f"""
+WITH RECURSIVE {S.TICKETS}, {_VOLUME},
+a AS (SELECT department_code, list(y ORDER BY ds) AS y, count(*) AS n FROM volume GROUP BY department_code),
+b AS (SELECT *, greatest(7, floor(n * 0.2)::BIGINT) AS held, CASE WHEN n >= 28 THEN 7 ELSE 1 END AS m FROM a),
+runs AS (SELECT department_code, TRUE AS whole, m, y AS v FROM b
+  UNION ALL SELECT department_code, FALSE, m, y[1 : n - held] FROM b),
+begun AS (SELECT *, CASE WHEN m = 7 THEN list_avg(v[1:7]) ELSE v[1] END AS level FROM runs),
+rec AS (
+  SELECT department_code, whole, m, v, 0 AS t, level,
+    CASE WHEN m = 7 THEN (list_avg(v[8:14]) - level) / 7 ELSE v[2] - v[1] END AS trend,
+    CASE WHEN m = 7 THEN list_transform(v[1:7], lambda x: x - level) ELSE [0.0::DOUBLE] END AS season,
+    0.0::DOUBLE AS errors, 0.0::DOUBLE AS squares
+  FROM begun
+  UNION ALL
+  SELECT department_code, whole, m, v, t + 1, l, {_BETA}::DOUBLE * (l - level) + (1 - {_BETA}::DOUBLE) * trend,
+    CASE WHEN m = 7 THEN list_transform(season, lambda x, k: CASE WHEN k = t % m + 1
+      THEN {_GAMMA}::DOUBLE * (y - l) + (1 - {_GAMMA}::DOUBLE) * s ELSE x END) ELSE season END,
+    errors + (y - level - trend - s), squares + (y - level - trend - s) * (y - level - trend - s)
+  FROM (SELECT *, {_ALPHA}::DOUBLE * (y - s) + (1 - {_ALPHA}::DOUBLE) * (level + trend) AS l
+        FROM (SELECT *, v[t + 1] AS y, season[t % m + 1] AS s FROM rec WHERE t < len(v)))),
+ended AS (SELECT * FROM rec WHERE t = len(v)),
+missed AS (
+  SELECT department_code, avg(abs((y - guess) / y)) * 100 AS mape
+  FROM (SELECT department_code, b.y[t + i] AS y, level + i * trend + season[(t + i - 1) % e.m + 1] AS guess
+        FROM ended e JOIN b USING (department_code), range(1, 1000) r(i) WHERE NOT whole AND i <= held)
+  WHERE y <> 0 GROUP BY department_code)
+SELECT department_code, h AS step, round(level + h * trend + season[(t + h - 1) % m + 1], 6) AS value,
+  round(mape, 6) AS mape, round(sqrt(greatest((squares - errors * errors / t) / (t - 1), 0)), 6) AS sigma
+FROM ended JOIN missed USING (department_code), range(1, {HORIZON} + 1) r(h) WHERE whole""")
+def holt_winters_fixed(spark, sf_dir):
+    """The smoothing recursion itself: forecast, holdout error and residual deviation at given parameters."""
+    models = smoothing.smoothing_forecast(volume(spark, sf_dir), DEPT, HORIZON, _ALPHA, _BETA, _GAMMA)
+    return models.select(
+        *DEPT, F.round("mape", 6).alias("mape"), F.round("sigma", 6).alias("sigma"),
+        F.posexplode("values").alias("_step", "_value"),
+    ).select(*DEPT, (F.col("_step") + 1).cast("long").alias("step"), F.round("_value", 6).alias("value"),
+             "mape", "sigma")
+
+
 @query("l6_build_points", f"""
 WITH {_LINEAR}
 SELECT department_code, ds, round(y, 2) AS forecast, round(y, 2) AS lower_ci, round(y, 2) AS upper_ci,
