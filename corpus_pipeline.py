@@ -65,7 +65,7 @@ STAGES = [
     ("packing", packing),
 ]
 
-#: SQL cannot train a classifier or encode tokens; tests hold each stage against brute force.
+#: SQL cannot train a classifier or encode tokens; the operators are held against brute force in tests/llm.
 ORACLE_SQL = None
 
 
