@@ -21,31 +21,30 @@ def trend(n, slope=0.5, noise=2.0):
     return [float(20 + slope * i + rng.normal(0, noise)) for i in range(n)]
 
 
-def spike(n, base, at, value):
-    values = [base] * n
-    values[at] = value
-    return values
+def one_off(days, usual, position, size):
+    """A constant series that is interrupted on a single day."""
+    return [size if i == position else usual for i in range(days)]
 
 
 # --- z-score ------------------------------------------------------------------------------
 def test_flat_series_has_no_anomaly(spark):
-    flat = daily(spark, [10.0] * 30)
+    flat = daily(spark, [7.5] * 21)
     assert anomaly.zscore_anomalies(flat, "ticket_volume").count() == 0
     assert anomaly.iqr_anomalies(flat, "ticket_volume").count() == 0
 
 
 def test_spike_is_found_at_two(spark):
-    rows = anomaly.zscore_anomalies(daily(spark, spike(30, 10.0, 15, 100.0)), "ticket_volume", 2.0)
+    rows = anomaly.zscore_anomalies(daily(spark, one_off(24, 40.0, 9, 180.0)), "ticket_volume", 2.0)
     found = {r.date: r for r in rows.collect()}
-    hit = found[START + timedelta(days=15)]
+    hit = found[START + timedelta(days=9)]
     assert hit.z_score == pytest.approx(2.268, abs=1e-3)
-    assert hit.expected_value == pytest.approx(22.857, abs=1e-3)
+    assert hit.expected_value == pytest.approx(60.0)
     assert hit.severity == "low" and hit.correlated_fields == {"rolling_window": 7.0, "threshold": 2.0}
     assert hit.likely_cause.startswith("Notable increase in support demand")
 
 
 def test_centered_window_cannot_exceed_its_bound(spark):
-    rows = daily(spark, spike(30, 10.0, 15, 1e9))
+    rows = daily(spark, one_off(24, 40.0, 9, 1e9))
     assert anomaly.zscore_anomalies(rows, "ticket_volume", 2.5).count() == 0
 
 
@@ -61,12 +60,12 @@ def test_neighbours_without_the_value_itself(spark):
 
 
 def test_short_series_give_nothing(spark):
-    assert anomaly.zscore_anomalies(daily(spark, spike(6, 1.0, 3, 9.0)), "m", 0.1).count() == 0
+    assert anomaly.zscore_anomalies(daily(spark, one_off(6, 2.0, 4, 11.0)), "m", 0.1).count() == 0
     assert anomaly.iqr_anomalies(daily(spark, [1.0, 1.0, 9.0]), "m").count() == 0
 
 
 def test_many_series_do_not_touch_each_other(spark):
-    both = daily(spark, [10.0] * 30, "flat").union(daily(spark, spike(30, 10.0, 15, 100.0), "spiky"))
+    both = daily(spark, [7.5] * 21, "flat").union(daily(spark, one_off(24, 40.0, 9, 180.0), "spiky"))
     found = anomaly.zscore_anomalies(both, "absent", 2.0, by=["k"]).select("k").distinct().collect()
     assert [r.k for r in found] == ["spiky"]
 
@@ -78,8 +77,8 @@ def test_unknown_baseline(spark):
 
 # --- interquartile range --------------------------------------------------------------------
 def test_iqr_outlier(spark):
-    (hit,) = anomaly.iqr_anomalies(daily(spark, spike(20, 5.0, 10, 50.0)), "demand_units").collect()
-    assert hit.observed_value == 50.0 and hit.expected_value == 5.0 and hit.severity == "high"
+    (hit,) = anomaly.iqr_anomalies(daily(spark, one_off(17, 8.0, 6, 70.0)), "demand_units").collect()
+    assert hit.observed_value == 70.0 and hit.expected_value == 8.0 and hit.severity == "high"
     assert hit.likely_cause == "Significant demand surge — verify staffing coverage"
 
 
@@ -94,6 +93,22 @@ def test_causes(spark):
         "Significant downward deviation in other"]
 
 
+def test_every_series_has_a_report(spark):
+    given = daily(spark, [7.5] * 21, "quiet").union(daily(spark, one_off(24, 40.0, 9, 180.0), "loud")).union(
+        daily(spark, [1.0, 2.0, 99.0], "short")).union(daily(spark, [3.0] * 5, None))
+    found = anomaly.zscore_anomalies(given, "ticket_volume", 2.0, by=["k"])
+    rows = {r.k: r for r in anomaly.detector_reports(given, found, "ticket_volume", "Z-Score", 7, ["k"]).collect()}
+    assert set(rows) == {"quiet", "loud", "short", "s"}
+    assert (rows["loud"].anomalies, rows["loud"].total_points, rows["loud"].anomaly_rate) == (1, 24, 0.0417)
+    assert rows["loud"].summary == "Detected 1 anomalies in ticket volume: 1 warnings."
+    assert rows["quiet"].summary == "No anomalies detected in ticket_volume." and rows["quiet"].detection_method == "Z-Score"
+    for key, n in (("short", 3), ("s", 5)):
+        assert rows[key].total_points == n and rows[key].detection_method == "none — insufficient data"
+        assert rows[key].summary.startswith("Not enough data")
+    (lone,) = anomaly.detector_reports(given.limit(0), found.limit(0), "absent", "IQR", 4).collect()
+    assert (lone.total_points, lone.anomalies, lone.anomaly_rate) == (0, 0, 0.0)
+
+
 # --- multivariate ------------------------------------------------------------------------------
 FIELDS = ["ticket_count", "critical_count", "sla_breaches", "avg_resolution_min"]
 

@@ -205,3 +205,7 @@ EXECUTIVE_ANOMALIES = "- Active anomalies flagged: **%d** — review recommended
 MALFORMED = "malformed_row"
 MALFORMED_DETAIL = "The record does not have the form that its header or document promises"
 ALL_QUARANTINED = "100% quarantine rate — aborting. Check schema."
+
+# --- reports of a detector -----------------------------------------------------------------
+NO_METHOD = "none — insufficient data"
+NOT_ENOUGH = "Not enough data for anomaly detection (minimum %d data points)."

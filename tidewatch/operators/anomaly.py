@@ -222,6 +222,16 @@ def anomaly_summary(anomalies: DataFrame, metric: str, by: Sequence[str] = ()) -
         F.max("total_points").alias("total_points"),
     ]
     per = anomalies.groupBy(*by).agg(*agg) if by else anomalies.agg(*agg)
+    n = F.col("anomalies")
+    return per.select(
+        *by, "anomalies", "critical", "warnings",
+        F.round(F.coalesce(n / F.col("total_points"), F.lit(0.0)), 4).alias("anomaly_rate"),
+        _sentence(metric).alias("summary"),
+    )
+
+
+def _sentence(metric: str) -> Column:
+    """From the columns anomalies, critical, warnings and _dates (of the critical ones)."""
     n, crit, warn = F.col("anomalies"), F.col("critical"), F.col("warnings")
     dates = F.concat(F.array_join(F.slice("_dates", 1, 3), ", "),
                      F.when(crit > 3, "...").otherwise(""))
@@ -230,11 +240,37 @@ def anomaly_summary(anomalies: DataFrame, metric: str, by: Sequence[str] = ()) -
         F.when(crit > 0, F.format_string("%d critical (dates: %s)", crit, dates)),
         F.when(warn > 0, F.format_string("%d warnings", warn)),
     )
+    return F.when(n == 0, F.lit(f"No anomalies detected in {metric}.")).otherwise(F.concat(parts, F.lit(".")))
+
+
+def detector_reports(
+    series: DataFrame, found: DataFrame, metric: str, method: str, minimum: int, by: Sequence[str] = ()
+) -> DataFrame:
+    """One row for every series that was looked at, with or without anomalies.
+
+    total_points, anomalies, critical, warnings (all other severities), anomaly_rate, detection_method, summary. A
+    series below `minimum` points has the method and the sentence of insufficient data; a quiet one says so. Without
+    `by`, an empty series still gives its one row. Points and findings are counted in one grouping, without a join.
+    """
+    points = series.select(
+        *by, F.lit(1).alias("_point"), F.lit(None).cast("string").alias("severity"),
+        F.lit(None).cast("date").alias("date"))
+    hits = found.select(*by, F.lit(0).alias("_point"), "severity", F.col("date").cast("date").alias("date"))
+    rows = points.unionByName(hits)
+    is_critical = F.col("severity") == "critical"
+    agg = [
+        F.coalesce(F.sum("_point"), F.lit(0)).cast("long").alias("total_points"),
+        F.count("severity").alias("anomalies"), F.count_if(is_critical).alias("critical"),
+        (F.count("severity") - F.count_if(is_critical)).alias("warnings"),
+        F.array_sort(F.collect_list(F.when(is_critical, F.col("date").cast("string")))).alias("_dates"),
+    ]
+    per = rows.groupBy(*by).agg(*agg) if by else rows.agg(*agg)
+    enough = F.col("total_points") >= minimum
     return per.select(
-        *by, "anomalies", "critical", "warnings",
-        F.round(F.coalesce(n / F.col("total_points"), F.lit(0.0)), 4).alias("anomaly_rate"),
-        F.when(n == 0, F.lit(f"No anomalies detected in {metric}."))
-        .otherwise(F.concat(parts, F.lit("."))).alias("summary"),
+        *by, "total_points", "anomalies", "critical", "warnings",
+        F.round(F.col("anomalies") / F.greatest(F.col("total_points"), F.lit(1)), 4).alias("anomaly_rate"),
+        F.when(enough, method).otherwise(V.NO_METHOD).alias("detection_method"),
+        F.when(~enough, V.NOT_ENOUGH % minimum).otherwise(_sentence(metric)).alias("summary"),
     )
 
 
