@@ -1,3 +1,5 @@
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -137,6 +139,23 @@ def test_dedup_on_the_stream(spark, landing, tmp_path):
     assert sorted(r.ticket_id for r in spark.read.parquet(out).collect()) == ["T1", "T2"]
 
 
+def test_a_repeat_outside_the_delay_is_left_to_the_load(spark, landing, tmp_path):
+    days = {"a": (1, "2024-01-15"), "b": (1, "2024-01-15"), "c": (7, "2024-03-01"), "d": (8, "2024-03-02"),
+            "e": (1, "2024-03-03")}
+    store, out = Warehouse(spark, str(tmp_path / "w")), str(tmp_path / "out")
+    for k, (name, row) in enumerate(days.items()):
+        landing(f"{name}.csv", ticket(*row))
+        os.utime(f"{landing.folder}/{name}.csv", (1_700_000_000 + k, 1_700_000_000 + k))  # files come in this order
+    stream = streams.landing_stream(spark, landing.folder, COLUMNS, files_per_batch=1)
+    streams.first_tickets(stream, "1 day").select("ticket_id").writeStream.format("parquet").option(
+        "checkpointLocation", str(tmp_path / "first")).trigger(availableNow=True).start(out).awaitTermination()
+    found = sorted(r.ticket_id for r in spark.read.parquet(out).collect())
+    assert found == ["T1", "T1", "T7", "T8"]  # the state has forgotten T1 by then
+    run(spark, landing, store, tmp_path)
+    facts = {r.ticket_id: str(r.created_date) for r in store.read("fact_ticket").collect()}
+    assert facts == {"T1": "2024-01-15", "T7": "2024-03-01", "T8": "2024-03-02"}
+
+
 def test_daily_volume_emits_closed_days(spark, tmp_path):
     source = str(tmp_path / "facts")
     rows = [(f"2024-01-{d:02d} 12:00:00", p) for d in range(1, 8) for p in ("low", "critical")]

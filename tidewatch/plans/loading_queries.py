@@ -727,6 +727,23 @@ def stream_dedup(spark, sf_dir):
         *[F.sum(c).alias(c) for c in ("facts", "tickets", "batches", "raw_rows")])
 
 
+@query("s2_first_tickets", f"""
+WITH {S.TICKETS_DEDUPED} SELECT ticket_id, 1 AS copies FROM tickets""")
+def first_tickets(spark, sf_dir):
+    """Repeats within the delay are dropped by keyed state, over four micro-batches and without reading any history.
+
+    Rows without a valid creation time have no place in event time and are left to the cleaner.
+    """
+    landing, out = _tickets_csv(spark, sf_dir, files=4), work_dir(spark, "first-tickets")
+    stream = streams.landing_stream(spark, landing, ["seq", *_FEED_COLUMNS], files_per_batch=1)
+    timed = stream.filter(C.to_moment(F.col("created_at")).isNotNull())
+    streams.first_tickets(timed, "60 days").select("ticket_id").writeStream.format("parquet").option(
+        "checkpointLocation", work_dir(spark, "first-state")).outputMode("append").trigger(
+        availableNow=True).start(out).awaitTermination()
+    return spark.read.schema("ticket_id string").parquet(out).groupBy("ticket_id").agg(
+        F.count("*").alias("copies"))
+
+
 @query("s3_stream_daily_volume", f"""
 WITH {S.TICKETS}
 SELECT created_date AS date, count(*) AS ticket_count,
