@@ -31,7 +31,8 @@ class Landed:
     """`table`: the columns of the feed, source_file, file_row (from 1 in each file, unreadable records
     included), row_index (from 0 over all files in order of their paths) and the unreadable text.
 
-    `files`: path, source_file, records and malformed records of each file that has any.
+    `files`: path, source_file, records and malformed records of each file that has any line (in the
+    multi-line forms, any record).
     """
 
     table: DataFrame
