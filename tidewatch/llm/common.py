@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from contextlib import contextmanager
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,6 +13,8 @@ from tidewatch.session import work_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+_WRITTEN: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
@@ -36,14 +39,30 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write `df` to the shared folder and read it back: short lineage, stable row ids.
 
     The table is in the folder that spark.checkpoint.dir names, so every executor sees it and a
-    lost executor costs nothing but the tasks it was running. It goes when the driver's JVM ends.
+    lost executor costs nothing but the tasks it was running. Shuffle files of the job go as soon as the
+    table is written, the table with `release` or when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = work_dir(spark, name)
-    df.write.parquet(path)
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
-    return spark.read.schema(df.schema).parquet(path)
+    with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        df.write.parquet(path)
+    folder, files = _folder(spark, path)
+    files.deleteOnExit(folder)
+    out = spark.read.schema(df.schema).parquet(path)
+    _WRITTEN[out] = path
+    return out
+
+
+def _folder(spark: SparkSession, path: str):
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that `materialise` gave, once nothing is left to be computed from them."""
+    for df in tables:
+        folder, files = _folder(df.sparkSession, _WRITTEN.pop(df))
+        files.delete(folder, True)
 
 
 def shuffle_width(spark: SparkSession) -> int:
@@ -55,15 +74,22 @@ def text_or_empty(text_col: str) -> Column:
 
 
 @contextmanager
-def arrow_batches(spark: SparkSession, rows: int):
-    """Arrow batches of at most `rows` rows in the jobs that run inside; rows of long texts are large."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
+def setting(spark: SparkSession, name: str, value: str):
+    """A setting of the session for the jobs that run inside."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
+def arrow_batches(spark: SparkSession, rows: int):
+    """Arrow batches of at most `rows` rows in the jobs that run inside; rows of long texts are large."""
+    return setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
 def join_counted(rows: DataFrame, small: DataFrame, key: str, limit: int = 50_000, salts: int = 32) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import materialise
+from tidewatch.llm.common import materialise, release
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -18,7 +18,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         edges.select("a", "b").union(edges.select("b", "a")).distinct(), "component-edges"
     )
     labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label"))
-    labels = materialise(labels.select("node", F.least("node", "label").alias("label")), "labels")
+    labels = before = materialise(labels.select("node", F.least("node", "label").alias("label")), "labels")
     while True:
         near = both.join(labels, both.b == labels.node).select("a", "label")
         least = near.groupBy("a").agg(F.min("label").alias("near"))
@@ -30,7 +30,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
             "node", F.least("lower", "further").alias("new"), "label"
         )
         moved = materialise(moved, "labels")
+        release(before)
+        before = moved
         done = moved.filter(F.col("new") < F.col("label")).isEmpty()
         labels = moved.select("node", F.col("new").alias("label"))
         if done:
+            release(both)
             return labels

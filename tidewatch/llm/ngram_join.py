@@ -22,13 +22,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from tidewatch.llm import signature_tree
-from tidewatch.llm.common import arrow_batches, materialise, query, table
+from tidewatch.llm.common import arrow_batches, materialise, query, release, table
 from tidewatch.llm.components import connected_components
 from tidewatch.llm.shingles import PERCENT, WIDTH, blocks, linked, shingle_sets
 
@@ -232,9 +233,6 @@ def _joined(percent: int):
     return run
 
 
-_PAIR = "a long, b long, n_a long, n_b long, label_a long, label_b long, most double"
-
-
 _MEETING = "key long, a long, b long, n_a long, n_b long, label_a long, label_b long"
 
 
@@ -252,7 +250,10 @@ def _feasible(n, place, percent: int):
 
 def _meetings(percent: int):
     """From postings sorted by key: pairs from different components in blocks of up to SMALL_BLOCK
-    sets, members of larger blocks. Of a block of any size only HELD_ROWS rows are held."""
+    sets, members of larger blocks. Of a block of any size only HELD_ROWS rows are held.
+
+    A posting is key, set_id, label (NULL: its own component) and 2**32 n + place.
+    """
 
     def small(key, ids, label, n, place):
         if len(ids) > HELD_ROWS // 2:
@@ -277,7 +278,9 @@ def _meetings(percent: int):
     def run(batches):
         held, large = None, None  # rows of the last key so far; a key whose block is large
         for batch in batches:
-            now = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
+            own, at = batch.column(1), batch.column(3).to_numpy()
+            label = pc.coalesce(batch.column(2), own).to_numpy(zero_copy_only=False)
+            now = [batch.column(0).to_numpy(), own.to_numpy(), label, at >> 32, at & 0xFFFFFFFF]
             now = now if held is None else [np.concatenate(x) for x in zip(held, now)]
             found = []
             if large is not None and (more := now[0] == large).any():
@@ -449,26 +452,37 @@ def _first_blocks(prefixes: DataFrame) -> DataFrame:
     return block.select("key", F.explode(places).alias("chunk"), "set_id")
 
 
+def _members(met: DataFrame) -> DataFrame:
+    """key, set_id of the large blocks that hold more than one component; the others have no pair to decide."""
+    members = met.filter("b is null")
+    mixed = members.groupBy("key").agg(F.min("label_a").alias("least"), F.max("label_a").alias("last"))
+    mixed = mixed.filter("least < last").select("key")
+    return members.join(mixed, "key").select("key", F.col("a").alias("set_id")).distinct()
+
+
 def _contested_pairs(prefixes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs of sets from different components that share a key and pass the signature bound."""
+    """Pairs of sets from different components that share a key and pass the signature bound.
+
+    `prefixes` is released.
+    """
     few = labels.count() <= BROADCAST_IDS
     labels = labels.withColumnRenamed("node", "set_id")
     labelled = prefixes.join(F.broadcast(labels) if few else labels, "set_id", "left").withColumn(
         "label", F.coalesce("label", "set_id")
     )
-    postings = (
-        labelled.select("set_id", "label", "n", F.posexplode("keys").alias("place", "key"))
-        .repartition("key")
-        .sortWithinPartitions("key")
-    )
-    met = materialise(
-        postings.select("key", "set_id", "label", "n", "place").mapInArrow(_meetings(percent), _MEETING),
-        "ngram-meetings",
-    )
+    # As few bytes as will do: of all that is shuffled here, this is the most.
+    postings = labelled.select(
+        "set_id",
+        F.when(F.col("label") != F.col("set_id"), F.col("label")).alias("label"),
+        F.shiftleft("n", 32).alias("n"),
+        F.posexplode("keys").alias("place", "key"),
+    ).select("key", "set_id", "label", (F.col("n") + F.col("place")).alias("at"))
+    postings = postings.repartition("key").sortWithinPartitions("key")
+    met = materialise(postings.mapInArrow(_meetings(percent), _MEETING), "ngram-meetings")
     pair = ["a", "b", "n_a", "n_b", "label_a", "label_b"]
     near = materialise(met.filter("b is not null").select(pair).distinct(), "ngram-near")
-    members = met.filter("b is null").select("key", F.col("a").alias("set_id")).distinct()
-    members = materialise(members, "ngram-members")
+    members = materialise(_members(met), "ngram-members")
+    release(met)
 
     ids = members.select("set_id").union(near.select("a")).union(near.select("b")).distinct()
     ids = materialise(ids, "ngram-ids")
@@ -479,6 +493,7 @@ def _contested_pairs(prefixes: DataFrame, labels: DataFrame, percent: int) -> Da
         .agg(*(F.first(c).alias(c) for c in ("n", "label", "bitmap"))),
         "ngram-payload",
     )
+    release(prefixes, ids)
     maps = [payload.select(F.col("set_id").alias(c), F.col("bitmap").alias(f"map_{c}")) for c in "ab"]
     small = near.join(maps[0], "a").join(maps[1], "b").mapInArrow(_bounded(percent), _PAIR)
 
@@ -501,7 +516,9 @@ def _contested_pairs(prefixes: DataFrame, labels: DataFrame, percent: int) -> Da
     )
     large = placed.mapInArrow(_contested(percent), _PAIR)
     pairs = small.union(large).groupBy(*pair).agg(F.first("most").alias("most"))
-    return materialise(pairs, "ngram-contested")
+    pairs = materialise(pairs, "ngram-contested")
+    release(near, members, payload)
+    return pairs
 
 
 def _logs(first: DataFrame, words: bool, bits: int) -> np.ndarray:
