@@ -1,10 +1,13 @@
 """Personal data: fixed patterns, and bootstrapped contexts that find more.
 
-The base patterns find emails, IPv4 addresses, cards and phone numbers. They are the seeds: the words around
-them are lexical patterns, the strings that stand in a pattern are its instances. Over a few rounds Spark scores
+The base patterns find emails, IPv4 addresses, cards and phone numbers; these are the seeds of their kinds. A fifth kind,
+secret (keys, tokens, passwords), has strings that look random as seeds. Seeds induce patterns of four sorts: the
+two words before a string, the words on both sides, the key it is assigned to with sign and quote (`token = "_`), and the
+shape of a number with its check digit. The strings that stand in a pattern are its instances. Over a few rounds Spark scores
 the graph of patterns and instances: a pattern is as good for a kind as the share of its distinct instances that are
-of that kind, an instance as good as its patterns together make it. Strings that look like a
-kind, were not found by its base pattern, and stand in good patterns are added.
+of that kind, an instance as good as its patterns together make it. Strings that may be of a
+kind, were not found by its base pattern, and stand in good patterns are added. A random-looking string alone is no
+secret: only keys that are assigned such values make it one, and keys of public digests (PUBLIC_KEYS) never do.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tidewatch.llm.common import materialise, query, table, text_or_empty
+from tidewatch.llm.common import join_counted, materialise, query, table, text_or_empty
 
 # Kinds in their order, and the base patterns.
 KINDS = ("email", "ip", "card", "phone")
@@ -24,6 +27,15 @@ EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+# Parts of key names whose values are meant to be seen.
+PUBLIC_KEYS = {
+    "build", "checksum", "commit", "digest", "etag", "hash", "id", "integrity", "md5", "rev", "revision", "sha",
+    "sha1", "sha256", "sha512", "uuid", "version",
+}
+
+#: The base kinds and the one that only the patterns find.
+SECRET = len(KINDS)
+LABELS = (*KINDS, "secret")
 
 #: Rounds of scoring; distinct known instances and confidence that make a pattern good; score that accepts.
 ROUNDS, LEAST_SEEDS, CONFIDENCE, ACCEPT = 3, 8, 0.8, 0.8
@@ -37,7 +49,11 @@ _WORD = re.compile(r"[^\W_]+")
 _DIGITS = re.compile(r"[0-9]")
 _NUMBER = re.compile(r"[0-9 ().+/-]+")
 _ADDRESS = re.compile(r"[0-9A-Fa-f]{0,4}(?:[:.][0-9A-Fa-f]{0,4}){3,7}")
-_EDGES = ".,;:!?\"'<>[]{}"
+_EDGES = ".,;:!?\"'`<>[]{}#*$&|~"
+_QUOTES = "\"'`"
+_TOKEN = re.compile(r"[A-Za-z0-9+/=_.~-]{8,}")
+_CHANGE = re.compile(r"[0-9][A-Za-z]|[A-Za-z][0-9]|[a-z][A-Z]")
+_KEY = re.compile(r"([A-Za-z][A-Za-z0-9_.-]*)[\"']?[ \t]*(=>|:=|=|:)[ \t]*([\"'`]?)$")
 
 
 def luhn(digits: str) -> bool:
@@ -76,20 +92,34 @@ def _looks_like(value: str) -> int:
     mask |= 2 * bool(digits >= 3 and _ADDRESS.fullmatch(value))
     if _NUMBER.fullmatch(value):
         mask |= 4 * (12 <= digits <= 19) | 8 * (7 <= digits <= 15)
+    elif _TOKEN.fullmatch(value) and digits and not value.replace(".", "").isdigit():
+        mask |= 1 << SECRET
     return mask
 
 
+def _random_looking(value: str) -> bool:
+    """At least 20 letters and digits that take turns, as in hexadecimal and base64 keys."""
+    if len(value) < 20 or not _TOKEN.fullmatch(value):
+        return False
+    changes = sum(_CHANGE.match(value, i) is not None for i in range(len(value) - 1))
+    return 5 * changes >= len(value)
+
+
 def _strings(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Runs of strings with digits or @ that no base span touches; numbers side by side are one."""
+    """Strings with digits or @ that no base span touches, cut at white space, quotes and before at =.
+
+    Numbers side by side are one string, and each that is long enough for a card is one as well.
+    """
     out: list[tuple[int, int]] = []
+    alone: list[tuple[int, int]] = []
     reached = 0
     for m in _DIGIT_OR_AT.finditer(text):
         if m.start() < reached:
             continue
         start, end = m.start(), m.end()
-        while start > reached and not text[start - 1].isspace():
+        while start > reached and not text[start - 1].isspace() and text[start - 1] not in "\"'`=":
             start -= 1
-        while end < len(text) and not text[end].isspace():
+        while end < len(text) and not text[end].isspace() and text[end] not in _QUOTES:
             end += 1
         reached = end
         while start < end and text[start] in _EDGES:
@@ -101,16 +131,27 @@ def _strings(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, in
         if out and out[-1][1] + 1 == start and text[start - 1] == " ":
             joined = text[out[-1][0] : end]
             if len(joined) <= 30 and _NUMBER.fullmatch(joined):
+                if end - start >= 12:
+                    alone.append((start, end))
+                if out[-1][1] - out[-1][0] >= 12:
+                    alone.append(out[-1])
                 out[-1] = (out[-1][0], end)
                 continue
         out.append((start, end))
-    return out
+    return sorted({*out, *alone})
 
 
 def _contexts(text: str, start: int, end: int) -> list[str]:
+    """Patterns in which text[start:end] stands; assignments begin with =, shapes with #."""
+    value, found = text[start:end], []
+    if (key := _KEY.search(text[max(0, start - CONTEXT) : start])) is not None:
+        name = key.group(1).lower()
+        if PUBLIC_KEYS.isdisjoint(re.split(r"[_.-]", name)):
+            found.append(f"={name} {key.group(2)} {key.group(3)}_")
+    if _NUMBER.fullmatch(value) and 12 <= len(digits := "".join(_DIGITS.findall(value))) <= 19:
+        found.append(f"#{_DIGITS.sub('9', value)} {'good' if luhn(digits) else 'bad'}")
     left = _WORD.findall(text[max(0, start - CONTEXT) : start].lower())
     right = _WORD.findall(text[end : end + CONTEXT].lower())
-    found = []
     if len(left) >= 2:
         found.append(f"{left[-2]} {left[-1]} _")
     if left and right:
@@ -143,7 +184,9 @@ def _read(id_type: pa.DataType):
                 base.append([dict(zip(("start", "kind", "end"), s)) for s in spans])
                 rows = [(a, b, k, 1 << k) for a, k, b in spans]
                 if "@" in text or _DIGITS.search(text):
-                    rows += [(a, b, -1, _looks_like(text[a:b])) for a, b in _strings(text, spans)]
+                    for a, b in _strings(text, spans):
+                        seed = SECRET if _random_looking(text[a:b]) else -1
+                        rows.append((a, b, seed, _looks_like(text[a:b])))
                 strings.append(
                     [
                         {
@@ -166,31 +209,37 @@ def _read(id_type: pa.DataType):
 
 
 def _score_columns(make):
-    return [make(k).alias(f"s{k}") for k in range(len(KINDS))]
+    return [make(k).alias(f"s{k}") for k in range(len(LABELS))]
+
+
+#: Strings that no base pattern found.
+UNKNOWN = f"kind IN (-1, {SECRET})"
 
 
 def good_patterns(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """edges: context, value, kind (-1: not found by a base pattern), fits. (context, c0…c3), (value, s0…s3).
+    """edges: context, value, kind (-1: no seed), fits, missed (a base pattern missed it somewhere). Returns (context, c0…c4), (value, s0…s4).
 
     c_k is the pattern's confidence for kind k, 0 where it is not good; s_k the score of a string
-    that no base pattern found.
+    that no base pattern found. Only assignments are patterns of secrets.
     """
     known = _score_columns(lambda k: F.when(F.col("kind") == k, 1.0).otherwise(0.0))
     scored = edges.select("context", "value", "kind", "fits", *known)
     for round_ in range(ROUNDS):
-        totals = [F.sum(f"s{k}").alias(f"t{k}") for k in range(len(KINDS))]
+        totals = [F.sum(f"s{k}").alias(f"t{k}") for k in range(len(LABELS))]
         seeds = [
-            F.sum(F.when(F.col(f"s{k}") >= ACCEPT, 1).otherwise(0)).alias(f"n{k}") for k in range(len(KINDS))
+            F.sum(F.when(F.col(f"s{k}") >= ACCEPT, 1).otherwise(0)).alias(f"n{k}") for k in range(len(LABELS))
         ]
         patterns = scored.groupBy("context").agg(F.count("*").alias("n"), *totals, *seeds)
 
         def confidence(k):
             share = F.col(f"t{k}") / (F.col("n") + 1)
-            return F.when((F.col(f"n{k}") >= LEAST_SEEDS) & (share >= CONFIDENCE), share).otherwise(0.0)
+            good = (F.col(f"n{k}") >= LEAST_SEEDS) & (share >= CONFIDENCE)
+            return F.when(good & F.col("context").startswith("=") if k == SECRET else good, share).otherwise(0.0)
 
-        patterns = patterns.select("context", *(confidence(k).alias(f"c{k}") for k in range(len(KINDS))))
-        patterns = materialise(patterns.filter("c0 + c1 + c2 + c3 > 0"), "pii-patterns")
-        unknown = edges.filter("kind = -1 AND fits > 0").join(patterns, "context")
+        patterns = patterns.select("context", *(confidence(k).alias(f"c{k}") for k in range(len(LABELS))))
+        patterns = materialise(patterns.filter("c0 + c1 + c2 + c3 + c4 > 0"), "pii-patterns")
+        unknown = edges.filter("missed AND fits > 0")
+        unknown = join_counted(unknown, patterns, "context").filter("c0 is not null")
 
         def noisy_or(k):
             fits = F.col("fits").bitwiseAND(F.lit(1 << k)) > 0
@@ -200,7 +249,7 @@ def good_patterns(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
         if round_ + 1 < ROUNDS:
             if values.isEmpty():
                 break
-            found = values.select("value", *(F.col(f"s{k}").alias(f"f{k}") for k in range(len(KINDS))))
+            found = values.select("value", *(F.col(f"s{k}").alias(f"f{k}") for k in range(len(LABELS))))
             scored = (
                 edges.join(found, "value", "left")
                 .select(
@@ -221,10 +270,10 @@ def good_patterns(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, text_hash, base, added (arrays of start, kind, end; in code points).
 
-    kind counts KINDS; base are the matches of the fixed patterns, added the strings that good
-    contexts give. NULL counts as empty, which has no spans. Whole texts are read, however long. Spans of
+    kind counts LABELS; base are the matches of the fixed patterns, added the strings that good
+    patterns give. NULL counts as empty, which has no spans. Whole texts are read, however long. Spans of
     different kinds may overlap. Repeated rows are rows of their own, and so are NULL ids. An empty table
-    gives no rows; other columns are ignored. text_hash is xxhash64 of the text.
+    gives no rows; other columns are ignored, whatever their names. Ties between kinds go to the first of LABELS. text_hash is xxhash64 of the text.
     """
     text = text_or_empty(text_col)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
@@ -238,16 +287,18 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     placed = strings.select(
         "row_id", "start", "end", "value", "kind", "fits", F.explode("contexts").alias("context")
     )
-    edges = placed.groupBy("context", "value").agg(F.max("kind").alias("kind"), F.max("fits").alias("fits"))
+    edges = placed.groupBy("context", "value").agg(
+        F.max("kind").alias("kind"), F.bit_or("fits").alias("fits"), F.max(F.expr(UNKNOWN)).alias("missed")
+    )
     patterns, values = good_patterns(materialise(edges, "pii-edges"))
 
     def sure(k):
         return F.when(F.col(f"s{k}") >= ACCEPT, F.col(f"s{k}") * F.signum(f"c{k}")).otherwise(0.0)
 
-    best = F.greatest(*(sure(k) for k in range(len(KINDS))))
-    which = F.coalesce(*(F.when(sure(k) == best, k) for k in range(len(KINDS))))
-    unknown = placed.filter("kind = -1").drop("kind").join(patterns, "context").join(values, "value")
-    unknown = unknown.filter(best > 0).select("row_id", F.struct("start", which.alias("kind"), "end").alias("span"))
+    best = F.greatest(*(sure(k) for k in range(len(LABELS))))
+    which = F.coalesce(*(F.when(sure(k) == best, k) for k in range(len(LABELS))))
+    unknown = join_counted(placed.filter(UNKNOWN).drop("kind"), patterns, "context").filter("c0 is not null")
+    unknown = unknown.join(values, "value").filter(best > 0).select("row_id", F.struct("start", which.alias("kind"), "end").alias("span"))
     added = unknown.groupBy("row_id").agg(F.sort_array(F.collect_set("span")).alias("added"))
     none = F.array().cast(f"array<{_SPAN}>")
     return read.join(added, "row_id", "left").select(
@@ -266,7 +317,7 @@ def _redacted(names: list[str], text_col: str):
                 parts, reached = [], 0
                 for span in sorted(spans, key=lambda s: (s["start"], -s["end"])):
                     if span["start"] >= reached:
-                        parts += [texts[i][reached : span["start"]], f"[{KINDS[span['kind']].upper()}]"]
+                        parts += [texts[i][reached : span["start"]], f"[{LABELS[span['kind']].upper()}]"]
                     reached = max(reached, span["end"])
                 texts[i] = "".join([*parts, texts[i][reached:]])
             batch = batch.set_column(at, text_col, pa.array(texts, pa.string()))
@@ -278,8 +329,17 @@ def _redacted(names: list[str], text_col: str):
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` with every span replaced by its kind in brackets; spans that overlap by that of the first.
 
-    NULL texts stay NULL; all columns stay.
+    All rows and columns stay, in any order; NULL and empty texts stay as they are, whole texts are read. Repeated rows are
+    redacted alike, rows that share an id by their own text; a NULL id is an id. An empty table gives an empty one. Of columns named
+    __id, __hash or __spans the values stay too.
     """
+    columns = docs.columns
+    docs = docs.toDF(*(f"c{i}" for i in range(len(columns))))
+    id_col, text_col = (f"c{columns.index(c)}" for c in (id_col, text_col))
+    return _marked(docs, id_col, text_col).toDF(*columns)
+
+
+def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     spans = find_pii(docs, id_col, text_col).withColumn("__spans", F.concat("base", "added"))
     spans = spans.filter(F.size("__spans") > 0).groupBy("doc_id", "text_hash").agg(F.first("__spans").alias("__spans"))
     spans = materialise(spans, "pii-spans").select(
@@ -296,7 +356,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 
 def _written(spans):
-    names = F.array(*(F.lit(k) for k in KINDS))
+    names = F.array(*(F.lit(k) for k in LABELS))
     return F.array_join(
         F.transform(
             spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"], s["end"])
@@ -318,4 +378,5 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(_written(F.col("base")).cast("binary"), 256).alias("base_sha256"),
         _written(F.sort_array(F.concat("base", "added"))).alias("spans"),
         F.size("added").cast("long").alias("n_added"),
+        F.size(F.filter("added", lambda s: s["kind"] == SECRET)).cast("long").alias("n_secret"),
     )
