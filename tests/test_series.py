@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.functions.timeparts import FEATURES
-from tidewatch.operators import anomaly, dashboard, forecast
+from tidewatch.operators import anomaly, dashboard, forecast, forest
 from tidewatch.operators import series as S
 
 START = date(2024, 1, 1)
@@ -148,6 +148,29 @@ def test_forest_is_repeatable_and_per_series(spark):
     assert lowest == {"a": START + timedelta(days=20), "b": START + timedelta(days=40)}
 
 
+def test_forest_scores_do_not_depend_on_blocks(spark):
+    long = days(spark, 900, odd=(20, 700))
+
+    def run(rows):
+        found = forest.isolation_scores(long, FIELDS, trees=20, sample=32, block_rows=rows)
+        return sorted((r.date, r.anomaly_score) for r in found.collect())
+
+    blocked = run(64)
+    assert len(blocked) == 900 and blocked == run(10_000)
+    assert {d for _, d in sorted((s, d) for d, s in blocked)[:2]} == {
+        START + timedelta(days=20), START + timedelta(days=700)}
+
+
+def test_forest_draw_is_that_of_all_rows(spark):
+    rows = spark.range(20_000).select(
+        F.xxhash64(F.lit(42), F.lit(3), "id").alias("c"), F.lit(20_000).alias("n"))
+    kept = rows.filter(forest.likely_drawn("c", "n", 256))
+    assert 256 < kept.count() < 1200
+    least = [r.c for r in rows.orderBy("c").limit(256).collect()]
+    assert [r.c for r in kept.orderBy("c").limit(256).collect()] == least
+    assert rows.withColumn("n", F.lit(200)).filter(forest.likely_drawn("c", "n", 256)).count() == 20_000
+
+
 def test_forest_imputes_missing_measures(spark):
     gaps = days(spark).withColumn(
         "avg_resolution_min", F.when(F.dayofmonth("date") != 3, F.col("avg_resolution_min")))

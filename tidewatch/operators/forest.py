@@ -1,8 +1,8 @@
 """Isolation forest over daily rows, built and scored as Spark jobs.
 
 After Liu, Ting and Zhou, "Isolation Forest", ICDM 2008. Every (series, tree) pair is one
-group of at most 256 rows; a series has one row per calendar day, so the rows scored with
-its trees are bounded by the calendar as well.
+group of at most `sample` rows, 256 by default. Rows are scored in blocks of about BLOCK_ROWS,
+each with a copy of its series' trees, so that a long series is no single task.
 """
 
 from __future__ import annotations
@@ -12,13 +12,15 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewatch.operators import series as S
 
 EULER = 0.5772156649
+#: Rows of a series that are scored together.
+BLOCK_ROWS = 512
 TREE_FIELDS = ("feature array<int>, threshold array<double>, left array<int>, "
                "right array<int>, depth array<double>")
 
@@ -70,13 +72,25 @@ def path_lengths(x: np.ndarray, tree: dict[str, np.ndarray]) -> np.ndarray:
         at = np.where(inner, below, at)
 
 
+def likely_drawn(chance: str, rows: str, sample: int) -> Column:
+    """Whether a row of a series of `rows` rows can be among the `sample` with the least 64-bit hash.
+
+    Rows pass up to a share that holds 2 * sample + 64 of them on average: for a sample of 256 that is 13
+    standard deviations more than wanted, so the draw stays the same and long series are not sorted.
+    """
+    share = F.least((F.lit(2.0) * sample + 64) / F.col(rows), F.lit(1.0))
+    return (F.col(chance) / F.lit(2.0**64) + 0.5) <= share
+
+
 def isolation_scores(
     daily: DataFrame, features: Sequence[str], by: Sequence[str] = (), trees: int = 100,
-    sample: int = 256, seed: int = 42,
+    sample: int = 256, seed: int = 42, block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Add `anomaly_score` in [-1, 0); the lower, the more unusual.
 
-    Missing measures take the median of their series, then all are standardised.
+    Missing measures take the median of their series, then all are standardised. Every tree is
+    grown from the `sample` rows of its series with the least hash of (seed, tree, date), all rows
+    are scored; neither depends on `block_rows` or on how the rows are dealt to tasks.
     """
     daily, keys = S.keyed(daily, by, "date")
     w = S.whole(keys)
@@ -89,8 +103,12 @@ def isolation_scores(
               for f in filled]
     points = points.withColumn("x", F.array(*scaled)).drop(*filled)
 
-    numbered = points.select(*keys, "date", "x").withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    draw = Window.partitionBy(*keys, "tree").orderBy(F.xxhash64(F.lit(seed), "tree", "date"), "date")
+    points = points.withColumn("_rows", F.count(F.lit(1)).over(w))
+    chance = F.xxhash64(F.lit(seed), "tree", "date")
+    numbered = points.select(*keys, "date", "x", "_rows", F.explode(
+        F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
+    numbered = numbered.withColumn("_chance", chance).filter(likely_drawn("_chance", "_rows", sample))
+    draw = Window.partitionBy(*keys, "tree").orderBy("_chance", "date")
     drawn = numbered.withColumn("_rank", F.row_number().over(draw)).filter(F.col("_rank") <= sample)
     key_fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}"
                            for f in points.select(*keys).schema.fields)
@@ -99,25 +117,28 @@ def isolation_scores(
         rows = rows.sort_values("_rank")
         number = int(rows["tree"].iloc[0])
         tree = grow(np.stack(rows["x"].to_numpy()), np.random.default_rng([seed, number]))
-        out = {k: [rows[k].iloc[0]] for k in keys}
+        out = {k: [rows[k].iloc[0]] for k in [*keys, "tree", "_rows"]}
         return pd.DataFrame({**out, "size": [len(rows)], **{k: [v] for k, v in tree.items()}})
 
     grown = drawn.groupBy(*keys, "tree").applyInPandas(
-        build, f"{key_fields}, size int, {TREE_FIELDS}")
+        build, f"{key_fields}, tree int, _rows long, size int, {TREE_FIELDS}")
 
     def score(rows: pd.DataFrame, forest: pd.DataFrame) -> pd.DataFrame:
-        out = rows.drop(columns="x")
+        out = rows.drop(columns=["x", "_block"])
         if rows.empty or forest.empty:
             return out.assign(anomaly_score=np.zeros(len(out)))
         x = np.stack(rows["x"].to_numpy())
         names = ("feature", "threshold", "left", "right", "depth")
         total = np.zeros(len(x))
-        for tree in forest[list(names)].itertuples(index=False):
+        for tree in forest.sort_values("tree")[list(names)].itertuples(index=False):
             total += path_lengths(x, {n: np.asarray(v) for n, v in zip(names, tree)})
         depth = total / len(forest)
         norm = max(mean_path(float(forest["size"].iloc[0])), 1e-9)
         return out.assign(anomaly_score=-np.power(2.0, -depth / norm))
 
+    blocks = F.ceil(F.col("_rows") / block_rows).cast("int")
+    dealt = points.withColumn("_block", F.pmod(F.hash("date"), blocks)).drop("_rows")
+    copies = grown.withColumn("_block", F.explode(F.sequence(F.lit(0), blocks - 1)))
     schema = T.StructType([*daily.schema.fields, T.StructField("anomaly_score", T.DoubleType())])
-    scored = points.groupBy(*keys).cogroup(grown.groupBy(*keys)).applyInPandas(score, schema)
+    scored = dealt.groupBy(*keys, "_block").cogroup(copies.groupBy(*keys, "_block")).applyInPandas(score, schema)
     return scored if by else scored.drop("_series")
