@@ -8,7 +8,6 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from tidewatch.llm import common, ngram_join, pii, tokens
 from tidewatch.llm.exact_dedup import exact_dedup
@@ -399,10 +398,10 @@ def test_queries_have_the_columns_of_their_contracts(spark):
         "op1_": {"doc_id", "n_shingles", "component_id"},
         "op9_": {"doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"},
         "op4_": {"doc_id", "keep_id", "group_size", "kept", "text_sha256"},
+        "op8_": {"doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"},
     }
     queries = entry.queries()
-    assert len([q for q in queries if re.match(r"op\d+_", q)]) == 10 and "pipeline" in queries
+    assert len([q for q in queries if re.match(r"op\d+_", q)]) == 13 and "pipeline" in queries
     for start, columns in wanted.items():
         name = next(q for q in queries if q.startswith(start))
         assert columns <= set(queries[name](spark, SMALL).columns)
-    assert F is not None
