@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from tidewatch import fixed_values as V
+from tidewatch.functions import columns as C
 from tidewatch.operators import cleaning, dimensions, loading, rollups
 from tidewatch.operators.dedup import POINTER
-from tidewatch.operators.validation import Validated, validate
+from tidewatch.operators.validation import validate
 from tidewatch.session import written
 from tidewatch.sources import readers
 from tidewatch.sources.landing import Landed
@@ -142,9 +143,9 @@ def ingest_records(
     """
     start = _started(store, run_id, source_name, dataset, started_at)
     _set_run(store, start, f"{run_id}/running")
-    tagged = validate(feed, dataset).tagged.persist(StorageLevel.MEMORY_AND_DISK)
+    checked = validate(feed, dataset)
+    checked.judged.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        checked = Validated(tagged)
         (counts,) = checked.totals().collect()  # one row of counts
         malformed = landed.counts()[1] if landed else 0
         totals = _totals(store, counts["valid_rows"], counts["quarantined_rows"] + malformed)
@@ -173,7 +174,7 @@ def ingest_records(
         _set_run(store, _ended(start, str(error), clock()), f"{run_id}/ended")
         raise
     finally:
-        tagged.unpersist()
+        checked.judged.unpersist()
 
 
 class AllQuarantined(ValueError):
@@ -225,12 +226,16 @@ def _load_records(store: Warehouse, valid: DataFrame, dataset: str, run_id: str,
         }), "records")
         store.merge("dim_employee_record", records, "employee_code", loading.upsert_employees, commit)
         return records.count()
-    records = written(records, "records")
     if dataset == "operations":
-        dim_date = _with_days(store, records, "date")
+        # dedup keeps a row of every day, so the days are those of the valid rows; without employees nothing
+        # can be resolved, and the run ends before its rows are sorted and written
+        given = C.normalize_columns(valid, "records")
+        dim_date = _with_days(store, given.select(C.to_day(F.col("date")).alias("date")), "date")
         people = store.read("dim_employee_record")
         if people is None:
             raise ValueError("load the employee records before the operations records")
+    records = written(records, "records")
+    if dataset == "operations":
         rows = loading.resolve_operations(records, dim_date, people)
         existing = _held_days(store, "fact_operations_record", records)
         if existing is not None:

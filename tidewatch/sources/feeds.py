@@ -56,11 +56,12 @@ def raw_workforce(spark: SparkSession, sf_dir: str, shift_days: int = 0,
     """Daily hours from `lineitem`; `shift_days` moves the dates onto those of the tickets."""
     line = table(spark, sf_dir, "lineitem")
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
-    # nation is a fixed list of 25 countries at every scale; supplier grows and is left to Spark
-    place = table(spark, sf_dir, "supplier").join(
+    # nation is a fixed list of 25 countries at every scale; supplier grows and is left to Spark, which knows
+    # the size of the table, but not that of a join: so the lines meet the suppliers first
+    place = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    return line.join(place, F.col("l_suppkey") == F.col("s_suppkey")).join(
         F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey")
-    ).select("s_suppkey", "n_name", "n_regionkey")
-    return line.join(place, F.col("l_suppkey") == F.col("s_suppkey")).selectExpr(
+    ).selectExpr(
         "*", "if(l_linenumber % 3 = 0, 4.0D, 8.0D) as s"
     ).selectExpr(
         "struct(l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice) as row_index",
@@ -91,11 +92,11 @@ def raw_market(spark: SparkSession, sf_dir: str) -> DataFrame:
     region = table(spark, sf_dir, "region").select("r_regionkey", "r_name")
     # both are fixed lists (25 and 5 rows); customer grows and is left to Spark
     place = nation.join(F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey"))
-    buyer = table(spark, sf_dir, "customer").join(
-        F.broadcast(place), F.col("c_nationkey") == F.col("n_nationkey")
-    ).select("c_custkey", "c_mktsegment", "c_acctbal", "r_name")
+    buyer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment", "c_acctbal")
     orders = table(spark, sf_dir, "orders")
-    return orders.join(buyer, F.col("o_custkey") == F.col("c_custkey")).selectExpr(
+    return orders.join(buyer, F.col("o_custkey") == F.col("c_custkey")).join(
+        F.broadcast(place), F.col("c_nationkey") == F.col("n_nationkey")
+    ).selectExpr(
         "o_orderkey as row_index",
         "if(o_orderkey % 103 = 0, 'n/a', cast(cast(o_orderdate as date) as string))"
         " as signal_date",
