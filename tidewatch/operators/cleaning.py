@@ -19,7 +19,7 @@ from tidewatch.operators.dedup import POINTER, dedup
 
 @dataclass(frozen=True)
 class Cleaned:
-    """`tagged` holds every row that survived dedup, with `error_code` NULL for good ones.
+    """`tagged` holds every row that survived dedup, with `error_code` and `raw_data` NULL for good ones.
 
     `clean` and `errors` are filters over it, so persisting `tagged` serves both.
     """
@@ -39,9 +39,9 @@ class Cleaned:
         )
 
 
-def _with_raw(df: DataFrame, *parsed: str) -> DataFrame:
-    """Add the row as JSON; `parsed` helper columns are not part of it."""
-    return df.withColumn("raw_data", C.raw_json(df, skip=(*POINTER, *parsed)))
+def _with_raw(df: DataFrame, bad: Column, *parsed: str) -> DataFrame:
+    """Add the rows that are `bad` as JSON; `parsed` helper columns are not part of it."""
+    return df.withColumn("raw_data", F.when(bad, C.raw_json(df, skip=(*POINTER, *parsed))))
 
 
 def _trimmed(df: DataFrame, names: Sequence[str], change=lambda c: c) -> DataFrame:
@@ -66,18 +66,16 @@ def clean_workforce(df: DataFrame) -> Cleaned:
     # Parsed below the dedup, a date is computed once; above it, every filter on the date
     # would carry a copy of the parsing.
     df = df.withColumn("_date", C.to_day(F.col("date")))
-    df = _with_raw(dedup(df, ["employee_id", "date"]), "_date").drop("date").withColumnRenamed(
-        "_date", "date")
-
-    df = df.withColumns(
-        {c: C.coerce_numeric(F.col(c)) for c in V.WORKFORCE_NUMERIC if c in given}
-    )
+    df = dedup(df, ["employee_id", "date"]).withColumn("_scheduled", C.coerce_numeric(F.col("scheduled_hours")))
+    scheduled = F.col("_scheduled")
+    error = F.when(F.col("_date").isNull(), "invalid_date").when(
+        (scheduled < 0) | (scheduled > 24), "hours_out_of_range")
+    df = _with_raw(df, error.isNotNull(), "_date", "_scheduled").withColumn("error_code", error)
+
+    numbers = {c: C.coerce_numeric(F.col(c)) for c in V.WORKFORCE_NUMERIC if c in given}
+    df = df.withColumns({**numbers, "scheduled_hours": scheduled})
+    df = df.drop("date", "_scheduled").withColumnRenamed("_date", "date")
     scheduled = F.col("scheduled_hours")
-    df = df.withColumn(
-        "error_code",
-        F.when(F.col("date").isNull(), "invalid_date")
-        .when((scheduled < 0) | (scheduled > 24), "hours_out_of_range"),
-    )
     df = df.withColumn("actual_hours", C.clamp_negative(F.col("actual_hours")))
     actual = F.col("actual_hours")
     df = df.withColumn("utilization_rate", C.utilization_rate(actual, scheduled))
@@ -98,7 +96,8 @@ def clean_tickets(df: DataFrame, as_of: str) -> Cleaned:
     now = F.lit(as_of).cast("timestamp_ntz")
     times = {"_created": C.to_moment(F.col("created_at")),
              "_resolved": _as(df, "resolved_at", C.to_moment)}
-    df = _with_raw(dedup(df.withColumns(times), ["ticket_id"]), *times)  # parsed once, see above
+    df = dedup(df.withColumns(times), ["ticket_id"])  # parsed once, see above
+    df = _with_raw(df, F.col("_created").isNull(), *times)
 
     df = df.drop("created_at", "resolved_at").withColumnsRenamed(
         {"_created": "created_at", "_resolved": "resolved_at"})
@@ -126,13 +125,13 @@ def clean_tickets(df: DataFrame, as_of: str) -> Cleaned:
 
 def clean_market_signals(df: DataFrame) -> Cleaned:
     """Market signals; no dedup. Error: invalid_signal_date."""
-    df = _with_raw(C.normalize_columns(df))
-    day = C.to_day(C.first_present(df, "signal_date", "date"))
-    df = df.withColumns({
-        "signal_date": day,
+    df = C.normalize_columns(df)
+    df = df.withColumn("_day", C.to_day(C.first_present(df, "signal_date", "date")))
+    df = _with_raw(df, F.col("_day").isNull(), "_day").withColumns({
+        "signal_date": F.col("_day"),
         "value": _as(df, "value", C.coerce_numeric),
         "change_pct": _as(df, "change_pct", C.coerce_numeric),
-    })
+    }).drop("_day")
     df = C.with_default(C.with_default(df, "source", "unknown"), "category", "general")
     return Cleaned(
         df.withColumn("error_code", F.when(F.col("signal_date").isNull(), "invalid_signal_date"))

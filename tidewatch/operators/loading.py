@@ -19,7 +19,11 @@ from tidewatch.operators.dimensions import absent_from, lookup, member_key
 
 
 def _number(df: DataFrame, name: str):
-    return C.coerce_numeric(C.first_present(df, name))
+    """Text as a number; one that a cleaner has parsed is not turned into text and parsed once more."""
+    value = C.first_present(df, name)
+    if dict(df.dtypes).get(name) == "double":
+        return F.coalesce(F.when(~F.isnan(value), value), F.lit(0.0))
+    return C.coerce_numeric(value)
 
 
 def _code(df: DataFrame, name: str, default: str):
@@ -37,7 +41,7 @@ def operations_facts(clean: DataFrame, source_file: str) -> DataFrame:
         member_key(location).alias("location_key"), location.alias("location_code"),
         *[_number(clean, c).alias(c) for c in ("scheduled_hours", "actual_hours", "overtime_hours")],
         C.parse_flag(F.col("absent")).alias("absent"), "absence_reason",
-        *[C.truncate_int(C.first_present(clean, c)).alias(c)
+        *[_number(clean, c).cast("int").alias(c)
           for c in ("tasks_completed", "tasks_assigned")],
         *[_number(clean, c).alias(c)
           for c in ("utilization_rate", "demand_units", "capacity_units")],

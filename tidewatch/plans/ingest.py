@@ -78,12 +78,14 @@ def ingest_feed(
     try:
         kept = cleaning.Cleaned(tagged)
         table, layout = FACTS[source_type]
-        new = layout(kept.clean, F.col("source_file") if landed else source_file)
+        file = F.col("source_file") if landed else source_file
+        load_dimensions(store, kept.clean, source_type)
         if source_type == "tickets":
-            existing = store.read(table)
+            existing, new = store.read(table), layout(kept.clean, file)
             new = new if existing is None else loading.insert_tickets_if_absent(new, existing)
-        load_dimensions(store, kept.clean, source_type)
-        loaded = store.append(table, new, commit)
+            loaded = store.append(table, new, commit)
+        else:
+            loaded = store.append(table, kept.clean, commit, lambda rows: layout(rows, file))
         _add_days_of(store, table, commit)
         errors = loading.load_errors(kept.errors, source_file, source_type, loaded_at)
         if landed:

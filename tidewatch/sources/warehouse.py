@@ -130,20 +130,24 @@ class Warehouse:
         return within(rows.filter(months), DAYS[table], start, end).drop(MONTH)
 
     # --- writing -------------------------------------------------------------------
-    def _add(self, table: str, rows: DataFrame, number: int, commit: str) -> list[Entry]:
+    def _add(
+        self, table: str, rows: DataFrame, number: int, commit: str,
+        layout: Callable[[DataFrame], DataFrame] = lambda rows: rows,
+    ) -> list[Entry]:
         """Write a new folder; nobody reads it before a manifest names it.
 
         Facts go by month, in files of even size and sorted by day. The rebalance hint groups rows by
         month; AQE then splits a month that holds much of the data over several tasks and joins
-        small ones, which a plain repartition by the month would not.
+        small ones, which a plain repartition by the month would not. `layout` is applied after that.
         """
         load = f"load={number:09d}-{uuid.uuid4().hex[:8]}"
         path = f"{self.root}/{table}/data/{load}"
         day = DAYS.get(table)
         if day is None:
-            rows.write.parquet(path)
+            layout(rows).write.parquet(path)
             return [Entry(load, None, commit, self.spark.read.parquet(path).count())]
-        rows = rows.withColumn(MONTH, F.trunc(day, "month")).hint("rebalance", MONTH)
+        rows = layout(rows.withColumn(MONTH, F.trunc(day, "month")).hint("rebalance", MONTH))
+        rows = rows.withColumn(MONTH, F.trunc(day, "month"))
         rows.sortWithinPartitions(MONTH, day).write.partitionBy(MONTH).parquet(path)
         months = [p.split("/")[-1] for p in self._glob(f"{table}/data/{load}/{MONTH}=*")]
         if not months:
@@ -164,13 +168,20 @@ class Warehouse:
                 self._delete(f"{table}/data/{folder}")
             self._delete(f"{table}/manifest/{n:09d}.json")
 
-    def append(self, table: str, rows: DataFrame, commit: str | None = None) -> int:
-        """Add rows; returns their number. A `commit` that the table already holds adds nothing."""
+    def append(
+        self, table: str, rows: DataFrame, commit: str | None = None,
+        layout: Callable[[DataFrame], DataFrame] = lambda rows: rows,
+    ) -> int:
+        """Add rows; returns their number. A `commit` that the table already holds adds nothing.
+
+        `layout` makes the table's columns of `rows` row by row, once they are dealt to months: keys and other
+        columns that follow from the rest are not shuffled. A fact's day has the same name and value on both sides.
+        """
         number, entries = self._state(table)
         done = [e for e in entries if commit is not None and e.commit == commit]
         if done:
             return done[0].rows
-        new = self._add(table, rows, number + 1, commit or uuid.uuid4().hex)
+        new = self._add(table, rows, number + 1, commit or uuid.uuid4().hex, layout)
         self._switch(table, number + 1, entries + new)
         return new[0].rows
 
