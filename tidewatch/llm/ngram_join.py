@@ -44,9 +44,9 @@ BROADCAST_IDS = 1_000_000
 #: Sets of a block whose pairs are listed as they are; larger blocks go through signature trees.
 SMALL_BLOCK = 32
 #: Texts whose sets a task holds at once.
-ROWS_AT_ONCE = 512
+ROWS_AT_ONCE = 256
 #: Rows of an Arrow batch: texts, sets and bitmaps are large.
-BATCH_ROWS = 2000
+BATCH_ROWS = 1000
 #: Rows of one key that a task holds at once.
 HELD_ROWS = 2048
 
