@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable
 from contextlib import contextmanager
+from functools import wraps
 from weakref import WeakKeyDictionary
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -92,6 +95,29 @@ def arrow_batches(spark: SparkSession, rows: int):
     return setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+#: Rows of whole texts in an Arrow batch, which the JVM and the Python worker both hold.
+TEXT_ROWS = 500
+
+
+def give_back() -> None:
+    """What this Python worker has freed goes back to the system: workers outlive their tasks, also idle ones."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
+
+
+def giving_back(run):
+    """`run`, a function over Arrow batches, whose worker gives its free memory back at the end of the task."""
+
+    @wraps(run)
+    def task(batches):
+        yield from run(batches)
+        give_back()
+
+    return task
+
+
 def join_counted(rows: DataFrame, small: DataFrame, key: str, limit: int = 50_000, salts: int = 32) -> DataFrame:
     """`rows` with the columns of `small` (a written table, one row of fixed width for each key).
 

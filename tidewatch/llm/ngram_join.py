@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from tidewatch.llm import signature_tree
-from tidewatch.llm.common import arrow_batches, materialise, query, release, table
+from tidewatch.llm.common import arrow_batches, giving_back, materialise, query, release, table
 from tidewatch.llm.components import connected_components
 from tidewatch.llm.shingles import PERCENT, WIDTH, blocks, linked, shingle_sets
 
@@ -399,7 +399,7 @@ class _Exact:
             F.broadcast(wanted) if few else wanted, self.rows.doc_id.eqNullSafe(F.col("of"))
         ).drop("doc_id", "of")
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema if f.name != "text")
-        return texts.mapInArrow(_hashes(self.width), schema + ", hashes array<long>")
+        return texts.mapInArrow(giving_back(_hashes(self.width)), schema + ", hashes array<long>")
 
     def links_in_blocks(self, blocks: DataFrame) -> DataFrame:
         """blocks: key, chunk, set_id. Links that connect each chunk."""
@@ -410,7 +410,7 @@ class _Exact:
             .repartition("key", "chunk")
             .sortWithinPartitions("key", "chunk")
         )
-        return materialise(chunks.mapInArrow(_joined(self.percent), "a long, b long"), "ngram-links")
+        return materialise(chunks.mapInArrow(giving_back(_joined(self.percent)), "a long, b long"), "ngram-links")
 
     def links_of_pairs(self, pairs: DataFrame) -> DataFrame:
         """Those of `pairs` (a, b, n_a, n_b, …) whose sets are similar enough."""
@@ -478,7 +478,7 @@ def _contested_pairs(prefixes: DataFrame, labels: DataFrame, percent: int) -> Da
         F.posexplode("keys").alias("place", "key"),
     ).select("key", "set_id", "label", (F.col("n") + F.col("place")).alias("at"))
     postings = postings.repartition("key").sortWithinPartitions("key")
-    met = materialise(postings.mapInArrow(_meetings(percent), _MEETING), "ngram-meetings")
+    met = materialise(postings.mapInArrow(giving_back(_meetings(percent)), _MEETING), "ngram-meetings")
     pair = ["a", "b", "n_a", "n_b", "label_a", "label_b"]
     near = materialise(met.filter("b is not null").select(pair).distinct(), "ngram-near")
     members = materialise(_members(met), "ngram-members")
@@ -495,7 +495,7 @@ def _contested_pairs(prefixes: DataFrame, labels: DataFrame, percent: int) -> Da
     )
     release(prefixes, ids)
     maps = [payload.select(F.col("set_id").alias(c), F.col("bitmap").alias(f"map_{c}")) for c in "ab"]
-    small = near.join(maps[0], "a").join(maps[1], "b").mapInArrow(_bounded(percent), _PAIR)
+    small = near.join(maps[0], "a").join(maps[1], "b").mapInArrow(giving_back(_bounded(percent)), _PAIR)
 
     chunks = members.groupBy("key").agg(F.ceil(F.count("*") / CHUNK_SETS).cast("long").alias("chunks"))
     places = F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)
@@ -514,7 +514,7 @@ def _contested_pairs(prefixes: DataFrame, labels: DataFrame, percent: int) -> Da
         .repartition("key", "part")
         .sortWithinPartitions("key", "part")
     )
-    large = placed.mapInArrow(_contested(percent), _PAIR)
+    large = placed.mapInArrow(giving_back(_contested(percent)), _PAIR)
     pairs = small.union(large).groupBy(*pair).agg(F.first("most").alias("most"))
     pairs = materialise(pairs, "ngram-contested")
     release(near, members, payload)
@@ -560,7 +560,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, width: int, percent: i
     id_type = rows.schema["doc_id"].dataType
     first = materialise(
         rows.mapInArrow(
-            _sets(width, to_arrow_type(id_type)),
+            giving_back(_sets(width, to_arrow_type(id_type))),
             f"doc_id {id_type.simpleString()}, n long, set_id long, words boolean, cell int, count long",
         ),
         "ngram-sets",
@@ -573,7 +573,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, width: int, percent: i
     order = spark.sparkContext.broadcast((_logs(first, False, SKETCH_BITS), _logs(first, True, WORD_BITS)))
     prefixes = materialise(
         rows.mapInArrow(
-            _prefixes(order, width, percent),
+            giving_back(_prefixes(order, width, percent)),
             "set_id long, n long, first array<long>, keys array<long>, bitmap binary",
         ),
         "ngram-prefixes",

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tidewatch.llm.common import materialise, query, table
+from tidewatch.llm.common import TEXT_ROWS, arrow_batches, giving_back, materialise, query, table
 from tidewatch.llm.tokens import Vocabulary, encode, public_vocabulary
 
 LENGTH, OPEN = 2048, 64
@@ -167,7 +167,9 @@ def pack(
         "sequence_id long, offset long, open int"
     )
     # Written once: both kinds of rows must come from the same run of the packing tasks.
-    pieces = materialise(encoded.mapInArrow(_packed(dtype, length, n_open, end_id, arrow), schema), "packed")
+    packed = giving_back(_packed(dtype, length, n_open, end_id, arrow))
+    with arrow_batches(docs.sparkSession, TEXT_ROWS):
+        pieces = materialise(encoded.mapInArrow(packed, schema), "packed")
     closed = pieces.filter("open is null")
     left = pieces.filter("open is not null").withColumn("group", F.expr(f"open div {MERGED}").cast("long"))
     level = 0

@@ -19,7 +19,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tidewatch.llm.common import join_counted, materialise, query, table, text_or_empty
+from tidewatch.llm.common import (
+    TEXT_ROWS,
+    arrow_batches,
+    giving_back,
+    join_counted,
+    materialise,
+    query,
+    table,
+    text_or_empty,
+)
 
 # Kinds in their order, and the base patterns.
 KINDS = ("email", "ip", "card", "phone")
@@ -279,10 +288,11 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
     kind = rows.schema["doc_id"].dataType
     read = rows.mapInArrow(
-        _read(to_arrow_type(kind)),
+        giving_back(_read(to_arrow_type(kind))),
         f"doc_id {kind.simpleString()}, text_hash long, base array<{_SPAN}>, strings array<{_STRING}>",
     )
-    read = materialise(read.withColumn("row_id", F.monotonically_increasing_id()), "pii-read")
+    with arrow_batches(docs.sparkSession, TEXT_ROWS):
+        read = materialise(read.withColumn("row_id", F.monotonically_increasing_id()), "pii-read")
     strings = read.select("row_id", F.explode("strings").alias("string")).select("row_id", "string.*")
     placed = strings.select(
         "row_id", "start", "end", "value", "kind", "fits", F.explode("contexts").alias("context")
@@ -308,7 +318,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def _redacted(names: list[str], text_col: str):
     def run(batches):
-        for batch in batches:
+        for batch in (b.slice(i, TEXT_ROWS) for b in batches for i in range(0, b.num_rows, TEXT_ROWS)):
             at = batch.schema.get_field_index(text_col)
             texts = batch.column(at).to_pylist()
             for i, spans in enumerate(batch.column(batch.schema.get_field_index("__spans")).to_pylist()):
@@ -352,7 +362,7 @@ def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         "left",
     ).drop("__id", "__hash")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return marked.mapInArrow(_redacted(docs.columns, text_col), schema)
+    return marked.mapInArrow(giving_back(_redacted(docs.columns, text_col)), schema)
 
 
 def _written(spans):

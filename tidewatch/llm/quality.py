@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import materialise, query, table
+from tidewatch.llm.common import TEXT_ROWS, arrow_batches, giving_back, materialise, query, table
 from tidewatch.llm.logistic import Logistic
 from tidewatch.llm.shingles import ByteSums, byte_blocks, find_words
 
@@ -107,7 +107,7 @@ def with_views(docs: DataFrame, keep: list[str], text_col: str, lang_col: str, s
     rows = docs.select(*needed)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema)
     made = rows.mapInArrow(
-        _content(kept, text_col), fields + ", __content array<double>, __page array<double>"
+        giving_back(_content(kept, text_col)), fields + ", __content array<double>, __page array<double>"
     )
 
     def cells(column, n):
@@ -198,7 +198,8 @@ def _labels(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
 def _fitted(docs, labels, id_col, text_col, lang_col, source_col, label_col):
     views = with_views(docs, [id_col], text_col, lang_col, source_col).withColumnRenamed(id_col, "doc_id")
     views = views.join(_labels(labels, id_col, label_col), "doc_id", "left")
-    views = materialise(views, "quality-views")
+    with arrow_batches(docs.sparkSession, TEXT_ROWS):
+        views = materialise(views, "quality-views")
     return views, co_train(views)
 
 

@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import json
 import re
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tidewatch.llm.common import query, table, text_or_empty
+from tidewatch.llm.common import give_back, giving_back, query, table, text_or_empty
 from tidewatch.llm.shingles import ByteSums, byte_blocks, spans
 
 #: Bytes of text in a block, and for which there is a bucket.
@@ -123,9 +122,8 @@ class Vocabulary:
         return f"<u{self.id_bytes}"
 
 
-@lru_cache(maxsize=2)
 def _tokenizer(file: str):
-    """Once in each worker; the file's text travels with the task, so executors need no path."""
+    """For one bucket, since a worker would hold it for good; the file's text travels with the task, so executors need no path."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -233,6 +231,7 @@ def _answers(file, dtype: str):
             part = distinct.slice(i, WORDS_AT_ONCE).to_pylist()
             part = tokenizer.encode_batch_fast(part, add_special_tokens=False)
             ids += [np.array(e.ids, dtype).tobytes() for e in part]
+        del tokenizer
         ids = pa.array(ids, pa.binary())
         boxes, start = [], 0
         for n in lengths:
@@ -248,6 +247,7 @@ def _answers(file, dtype: str):
                 )
             )
             start += n
+        give_back()
         columns = [rows.column(c) for c in names[:3]]
         return pa.table([*columns, pa.chunked_array([pa.array(boxes, pa.binary())])], names)
 
@@ -305,7 +305,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     kind = rows.schema["doc_id"].dataType
     file = spark.sparkContext.broadcast(vocabulary.file)
     asked = rows.mapInArrow(
-        _asked(vocabulary.keep_blanks, vocabulary.lower, buckets),
+        giving_back(_asked(vocabulary.keep_blanks, vocabulary.lower, buckets)),
         "key long, kind int, block long, bucket long, mark long, box binary",
     )
     answers = asked.groupBy("key").applyInArrow(
